@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phrasemill.llm import language_id, pii
+from phrasemill.llm import decontaminate, language_id, pii
 from phrasemill.llm.common import table
 from phrasemill.llm.ngram_join import jaccard_components
 
@@ -25,9 +25,13 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_pii": pii.ORACLE}
+    return {"op8_pii": pii.ORACLE, "op10_decontamination": decontaminate.ORACLE}
