@@ -15,8 +15,10 @@ partition nor retry.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -26,7 +28,10 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
-CHUNK = 1 << 19
+CHUNK = 1 << 20
+SPACE = 0x2581
+#: Stands for a literal ▁ of the text: no piece has it, so that decoding can tell it from a space.
+OWN_MARK = 0x110000
 _SPLIT = re.compile(r" *[^ \n]+| +|\n")
 _U = np.uint64
 
@@ -54,23 +59,60 @@ class Pieces:
         if any(re.search(r"[^▁]▁", p) or len(p) > 1 and "\n" in p for p in self.ids):
             raise ValueError("pieces of this model cross words")
         weights = (np.arange(sp.get_piece_size()) + 3.0) ** -alpha
-        weights /= weights.sum()
-        self.weight = weights
-        self.longest = max(map(len, self.ids))
-        self.byte_weight = [weights[i] for i in self.bytes_]
-
-    def edges(self, word: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
-        """``(end, start, weight, ids)`` of the lattice of a word, by end."""
-        found = []
-        for end in range(1, len(word) + 1):
-            c = word[end - 1]
-            for start in range(max(0, end - self.longest), end):
-                i = self.ids.get(word[start:end])
-                if i is not None:
-                    found.append((end, start, self.weight[i], (i,)))
-            raw = (" " if c == "▁" else c).encode("utf-8", "surrogatepass")
-            found.append((end, end - 1, float(np.prod([self.byte_weight[b] for b in raw])), tuple(self.bytes_[b] for b in raw)))
-        return found
+        self.log = np.log(weights / weights.sum())
+        self._trie()
+        # Beyond the pieces come the byte spellings of characters, in the order in which they are met.
+        self.raw_of = np.full(OWN_MARK + 1, -1, np.int32)
+        self.raw: list[bytes] = []
+
+    def spelled(self, code: np.ndarray) -> np.ndarray:
+        """What spells each character by its bytes: numbers beyond the pieces."""
+        if (self.raw_of[code] < 0).any():
+            for c in np.unique(code[self.raw_of[code] < 0]).tolist():
+                self.raw_of[c] = len(self.log) + len(self.raw)
+                self.raw.append(b" " if c == SPACE else "▁".encode() if c == OWN_MARK else chr(c).encode("utf-8", "surrogatepass"))
+        return self.raw_of[code].astype(np.int64)
+
+    def log_of(self) -> np.ndarray:
+        return np.concatenate([self.log, [sum(self.log[self.bytes_[b]] for b in r) for r in self.raw]])
+
+    def emitted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids that each piece and each byte spelling emits, and all these ids."""
+        length = np.concatenate([np.ones(len(self.log), np.int64), [len(r) for r in self.raw]]).astype(np.int64)
+        return length, np.concatenate([np.arange(len(self.log)), [self.bytes_[b] for r in self.raw for b in r]]).astype(np.int32)
+
+    def _trie(self) -> None:
+        """Nodes of the piece trie: ``ends`` has the piece of a node or -1; children by node and character."""
+        at: dict[str, int] = {"": 0}
+        for piece in self.ids:
+            for k in range(1, len(piece) + 1):
+                at.setdefault(piece[:k], len(at))
+        self.ends = np.full(len(at), -1, np.int32)
+        # Characters below 256 and the space mark have a dense table, others a sorted list of (node, character).
+        self.dense = np.full((len(at), 257), -1, np.int32)
+        rare = []
+        for prefix, node in at.items():
+            self.ends[node] = self.ids.get(prefix, -1)
+            if prefix:
+                c = ord(prefix[-1])
+                if c < 256 or c == SPACE:
+                    self.dense[at[prefix[:-1]], min(c, 256)] = node
+                else:
+                    rare.append((at[prefix[:-1]] << 21 | c, node))
+        rare.sort()
+        self.rare = np.array([r[0] for r in rare] or [-1], np.int64)
+        self.rare_node = np.array([r[1] for r in rare] or [-1], np.int32)
+
+    def step(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The child of each node under each character, or -1."""
+        near = (code < 256) | (code == SPACE)
+        out = self.dense[node, np.minimum(code, 256)]
+        if not near.all():
+            far = np.flatnonzero(~near)
+            key = node[far].astype(np.int64) << 21 | code[far]
+            i = np.minimum(np.searchsorted(self.rare, key), len(self.rare) - 1)
+            out[far] = np.where(self.rare[i] == key, self.rare_node[i], -1)
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -78,103 +120,128 @@ def load(model: str, alpha: float) -> Pieces:
     return Pieces(model, alpha)
 
 
+@lru_cache(maxsize=1)
+def lexicon_of(model: str, alpha: float) -> Lexicon:
+    return Lexicon(load(model, alpha))
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
-class Tables:
-    """Backward-sampling tables of words, appended as words appear.
+def _tables(words: list[str], pieces: Pieces) -> tuple[np.ndarray, ...]:
+    """Backward-sampling tables of distinct words.
 
-    State s is a position of a word; its incoming edges are the stretch of ``cum`` with values in (s, s + 1],
-    so that one binary search of ``s + u`` over ``cum`` draws an edge for any number of states at once.
+    A state is a position of a word; ``final`` is each word's last. The edges into a state start at ``begin``;
+    ``cum`` sums up their shares of its forward weight. ``prev`` is the state an edge leads back to, -1 at the
+    word's start; ``seq`` what it emits: a piece or, beyond the pieces, the byte spelling of a character.
+    Returns ``final, begin, cum, prev, seq``.
     """
+    length = np.array([len(w) for w in words])
+    final = np.cumsum(length) - 1
+    first = final - length + 1
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    code = np.where(code == SPACE, OWN_MARK, np.where(code == 32, SPACE, code))
+    n = len(code)
+    pos = np.arange(n) - np.repeat(first, length)
+    left = np.repeat(length, length) - pos
+    # Walk the trie from every position at once until all walks have died.
+    state, start, seq = [], [], []
+    at, node, depth = np.arange(n), np.zeros(n, np.int64), 0
+    while len(at):
+        node = pieces.step(node, code[at + depth])
+        on = node >= 0
+        at, node = at[on], node[on]
+        depth += 1
+        hit = pieces.ends[node] >= 0
+        state.append(at[hit] + depth - 1)
+        start.append(at[hit])
+        seq.append(pieces.ends[node[hit]].astype(np.int64))
+        on = left[at] > depth
+        at, node = at[on], node[on]
+    which = pieces.spelled(code)
+    # Long pieces first: they are the likely ones, and a draw probes its edges in this order.
+    state_, start_ = np.concatenate([*state[::-1], np.arange(n)]), np.concatenate([*start[::-1], np.arange(n)])
+    seq_ = np.concatenate([*seq[::-1], which])
+    log = pieces.log_of()[seq_]
+    order = np.argsort(state_, kind="stable")
+    state_, start_, seq_, log = state_[order], start_[order], seq_[order], log[order]
+    prev = np.where(pos[start_] > 0, start_ - 1, -1)
+    cum, forward = np.zeros(len(state_)), np.zeros(n + 1)  # forward[-1] is the start of every word
+    deep = pos[state_]
+    turn = np.argsort(deep.astype(np.uint16) if deep.max() < 1 << 16 else deep, kind="stable")
+    edge_stops = np.cumsum(np.bincount(deep))
+    for a, b in zip(np.concatenate([[0], edge_stops[:-1]]), edge_stops, strict=True):
+        own = turn[a:b]
+        into = state_[own]
+        heads = np.flatnonzero(np.concatenate([[True], into[1:] != into[:-1]]))
+        size = np.diff(np.append(heads, len(own)))
+        mass = forward[prev[own]] + log[own]
+        top = np.maximum.reduceat(mass, heads)
+        mass = np.exp(mass - np.repeat(top, size))
+        total = np.add.reduceat(mass, heads)
+        run = np.cumsum(mass)
+        run = (run - np.repeat(run[heads] - mass[heads], size)) / np.repeat(total, size)
+        cum[own] = run
+        cum[own[heads + size - 1]] = 2.0
+        forward[into[heads]] = top + np.log(total)
+    begin = np.cumsum(np.bincount(state_, minlength=n)) - np.bincount(state_, minlength=n)
+    return final, begin, cum, prev, seq_.astype(np.int32)
+
+
+class Lexicon:
+    """Tables of the words met so far in this process, up to ``LIMIT`` states; later words last for one run."""
+
+    LIMIT = 1 << 20
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
-        self.final: dict[str, int] = {}
-        self.n_states = 0
-        self.cum: list[float] = []
-        self.prev: list[int] = []  # the state an edge leads back to, -1 at a word's start
-        self.seq: list[int] = []  # its ids as an index of ``seqs``
-        self.seqs: list[tuple[int, ...]] = []
-        self.seq_of: dict[tuple[int, ...], int] = {}
-
-    def add(self, word: str) -> None:
-        base = self.n_states
-        edges = _own_marks(self.pieces, word) if "▁" in word else self.pieces.edges(word.replace(" ", "▁"))
-        n = edges[-1][0]
-        forward = np.zeros(n + 1)
-        forward[0] = 1.0
-        at = 0
-        for end in range(1, n + 1):
-            stop = at
-            while stop < len(edges) and edges[stop][0] == end:
-                stop += 1
-            mass = [forward[s] * w for _, s, w, _ in edges[at:stop]]
-            total = sum(mass)
-            run = 0.0
-            for (_, s, _, ids), m in zip(edges[at:stop], mass, strict=True):
-                run += m
-                if m <= 0:
-                    continue
-                self.cum.append(base + end - 1 + min(run / total, 1.0))
-                self.prev.append(base + s - 1 if s else -1)
-                if ids not in self.seq_of:
-                    self.seq_of[ids] = len(self.seqs)
-                    self.seqs.append(ids)
-                self.seq.append(self.seq_of[ids])
-            self.cum[-1] = base + end
-            at = stop
-            forward[end] = total
-            if total < 1e-50:  # only ratios matter, and only those of the last few positions
-                forward[max(0, end + 1 - self.pieces.longest) : end + 1] /= total
-        self.n_states += n
-        self.final[word] = base + n - 1
-
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return np.array(self.cum), np.array(self.prev, np.int64), np.array(self.seq, np.int64)
-
-
-def _own_marks(pieces: Pieces, word: str) -> list[tuple[int, int, float, tuple[int, ...]]]:
-    """Edges of a word that holds a literal ▁: only its bytes spell it, so that decoding can tell it from a space."""
-    spaced = word.replace("▁", "￾").replace(" ", "▁")
-    edges = []
-    raw = "▁".encode()
-    for end, start, weight, ids in pieces.edges(spaced):
-        if word[end - 1] == "▁":
-            if start == end - 1 and len(ids) > 1:
-                edges.append((end, start, float(np.prod([pieces.byte_weight[b] for b in raw])), tuple(pieces.bytes_[b] for b in raw)))
-        else:
-            edges.append((end, start, weight, ids))
-    return edges
-
-
-def sample(texts: list[str], keys: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+        self.index: dict[str, int] = defaultdict()
+        self.index.default_factory = self.index.__len__
+        self.tables = (*(np.empty(0, np.int64) for _ in range(2)), np.empty(0), np.empty(0, np.int64), np.empty(0, np.int32))
+
+    def look_up(self, texts: list[list[str]]) -> tuple[np.ndarray, tuple]:
+        """The table numbers of all words, and the tables that hold them."""
+        known = len(self.index)
+        words = [np.fromiter(map(self.index.__getitem__, own), np.int64, len(own)) for own in texts]
+        found = np.concatenate(words) if words else np.empty(0, np.int64)
+        tables = self.tables
+        if len(self.index) > known:
+            new = list(islice(self.index, known, None))
+            final, begin, cum, prev, seq = _tables(new, self.pieces)
+            n = len(tables[1])
+            more = (final + n, begin + len(tables[2]), cum, np.where(prev >= 0, prev + n, -1), seq)
+            tables = tuple(map(np.concatenate, zip(tables, more, strict=True)))
+            if len(tables[1]) < self.LIMIT:
+                self.tables = tables
+            else:
+                for w in new:
+                    del self.index[w]
+        return found, tables
+
+
+def sample(texts: list[str], keys: np.ndarray, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
     """Flat piece ids of all texts and the number per text; keys are 64-bit row keys."""
-    tables = Tables(pieces)
-    final = tables.final
-    words, per = [], np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = _SPLIT.findall(" " + text) if text else []
-        per[i] = len(own)
-        for w in own:
-            if w not in final:
-                tables.add(w)
-        words.append(np.fromiter(map(final.__getitem__, own), np.int64, len(own)))
-    state = np.concatenate(words) if words else np.empty(0, np.int64)
-    if not len(state):
+    split = [_SPLIT.findall(" " + text) if text else [] for text in texts]
+    per = np.array([len(own) for own in split], np.int64)
+    found, (final, begin, cum, prev, seq) = lexicon.look_up(split)
+    if not len(found):
         return np.empty(0, np.int32), np.zeros(len(texts), np.int64)
-    cum, prev, seq = tables.arrays()
+    state, pieces = final[found], lexicon.pieces
     doc = np.repeat(np.arange(len(texts)), per)
     first = np.cumsum(per) - per
     seed = _mix(keys.astype(np.int64).view(np.uint64) + _U(0x9E3779B97F4A7C15))
     salt = _mix(seed[doc] + (np.arange(len(doc)) - first[doc]).astype(np.uint64) * _U(0xD1B54A32D192ED03))
     live, drawn, owner, step = np.arange(len(state)), [], [], 0
     while len(live):
-        u = (_mix(salt + _U(step)) >> _U(11)).astype(np.float64) * 2.0**-53
-        edge = np.searchsorted(cum, state + u, side="right")
+        u = (_mix(salt + _U(step)) >> _U(34)).astype(np.float64) * 2.0**-30
+        edge = begin[state]
+        over = np.flatnonzero(cum[edge] <= u)
+        while len(over):
+            edge[over] += 1
+            over = over[cum[edge[over]] <= u[over]]
         drawn.append(seq[edge])
         owner.append(live)
         state = prev[edge]
@@ -189,13 +256,9 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces) -> tuple[np.ndarr
     place = start[who] + count[who] - 1 + rank
     ordered = np.empty(len(who), np.int64)
     ordered[place] = np.concatenate(drawn)
-    length = np.array([len(s) for s in tables.seqs])
-    if length.max() == 1:
-        ids = np.array([s[0] for s in tables.seqs], np.int32)[ordered]
-    else:
-        flat, at = np.concatenate([np.array(s, np.int32) for s in tables.seqs]), np.cumsum(length) - length
-        n = length[ordered]
-        ids = flat[np.repeat(at[ordered], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    length, flat = pieces.emitted()
+    at, n = np.cumsum(length) - length, length[ordered]
+    ids = flat[np.repeat(at[ordered], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
     by_word = np.bincount(np.repeat(np.arange(len(doc)), count), length[ordered], len(doc)).astype(np.int64)
     return ids, np.bincount(doc, by_word, len(texts)).astype(np.int64)
 
@@ -229,7 +292,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["pieces array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = load(model, alpha)
+        known = lexicon_of(model, alpha)
         for batch in batches:
             raw = batch.column(text).to_pylist()
             seeds = batch.column("__seed").to_numpy()
