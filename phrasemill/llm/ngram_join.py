@@ -203,27 +203,30 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (total[end] - total[end - sizes]).view(np.int64)
 
 
-def features(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2, sigs`` of each row: set size, 128-bit set digest, signatures."""
+def features(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, n_shingles, d1, d2`` of each row: set size and 128-bit set digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            for i, flat, sizes in shingle_sets(batch.column("text"), width):
+                digests = [pa.array(_sums(mix(flat ^ k), sizes)) for k in _K[2:4]]
+                ids = batch.column("doc_id").slice(i, len(sizes))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *digests], ["doc_id", "n_shingles", "d1", "d2"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+
+
+def signature_rows(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """``node, sig``: the signatures of each row of ``docs(node, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
             for i, flat, sizes in shingle_sets(batch.column("text"), width):
                 sigs, per = signatures(flat, sizes, p, q)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(i, len(sizes)),
-                        pa.array(sizes, pa.int64()),
-                        pa.array(_sums(mix(flat ^ _K[2]), sizes)),
-                        pa.array(_sums(mix(flat ^ _K[3]), sizes)),
-                        _list(sigs, per),
-                    ],
-                    ["doc_id", "n_shingles", "d1", "d2", "sigs"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[i : i + len(sizes)], per)), pa.array(sigs)], ["node", "sig"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, d1 long, d2 long, sigs array<long>"
-    )
+    return docs.select("node", "text").mapInArrow(run, "node long, sig long")
 
 
 def _gap(n_diff: np.ndarray, n: np.ndarray, p: int, q: int) -> np.ndarray:
@@ -291,12 +294,13 @@ def _prefixes(members: DataFrame, p: int, q: int) -> DataFrame:
     return members.mapInArrow(run, "family long, la long, lb long, h long, node long, e long, out long, side long")
 
 
-def links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
-    """Links ``(a, b)`` that make up the components of the exact join of ``nodes(node, sigs)``.
+def links(docs: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
+    """Links ``(a, b)`` that make up the components of the exact join of ``docs(node, text)``.
 
-    Every pair of linked nodes is either returned or joined by a path of returned links.
+    ``docs`` holds one row of each distinct set. Every pair of linked nodes is either returned or joined by
+    a path of returned links.
     """
-    rows = nodes.select("node", F.explode("sigs").alias("sig"))
+    rows = signature_rows(docs, width, p, q)
     # One exchange of 16-byte rows; the minimum of a signature stands for its pairs.
     star = (
         rows.withColumn("low", F.min("node").over(Window.partitionBy("sig")))
@@ -304,7 +308,7 @@ def links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, p: int = P, q:
         .select(F.col("node").alias("a"), F.col("low").alias("b"))
     )
     family = stored(components(star).select("node", F.col("root").alias("family")))
-    wanted = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(sized(family), "node")
+    wanted = docs.join(sized(family), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +324,7 @@ def links(docs: DataFrame, nodes: DataFrame, width: int = WIDTH, p: int = P, q:
         members.select("family", F.explode("grams").alias("h"))
         .groupBy("family", "h")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(size, "family")
+        .join(sized(size), "family")
         .where("2 * n > size")
         .groupBy("family")
         .agg(F.collect_list("h").alias("core"))  # at most twice the mean set size of the family
@@ -367,19 +371,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, p: int = P, q: int =
     any copies. A null doc_id gets the component of its text's documents, null if there are none.
     Extra columns are ignored, an empty table gives an empty result. doc_id is taken as the key.
     """
-    feats = stored(features(docs, width, p, q))
-    nodes = (
-        feats.where("n_shingles > 0 and doc_id is not null")
-        .groupBy("d1", "d2")
-        .agg(F.min("doc_id").alias("node"), F.first("sigs").alias("sigs"))
-    )
-    joined = components(links(docs, nodes, width, p, q)).where("root <> node")
+    feats = stored(features(docs, width))
     low = feats.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-    known = (
-        low.join(joined, "node", "left")
-        .where("copies > 1 or root is not null")
-        .select("d1", "d2", F.coalesce("root", "node").alias("root"))
-    )
+    low = stored(low.where("node is not null"))
+    # Rows other than the one that stands for its set: copies, and rows without a set or an id.
+    copies = low.where("copies > 1").drop("copies")
+    spare = stored(feats.where("n_shingles > 0").join(copies, ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("node")))
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null")
+    joined = components(links(own.join(sized(spare), "node", "left_anti"), width, p, q)).where("root <> node")
+    known = low.join(joined, "node", "left").where("copies > 1 or root is not null").select("d1", "d2", F.coalesce("root", "node").alias("root"))
     return feats.join(known, ["d1", "d2"], "left").select(
         "doc_id",
         "n_shingles",

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phrasemill.llm import decontaminate, language_id, pii
+from phrasemill.llm import decontaminate, language_id, pieces, pii
 from phrasemill.llm.common import table
 from phrasemill.llm.ngram_join import jaccard_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segmented(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
