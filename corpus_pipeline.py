@@ -50,9 +50,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, lang, source, pieces, n_pieces, lossless``: sampled pieces, checked by decoding them."""
-    return pieces.decode(pieces.encode(docs)).select(
-        "doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), (F.col("decoded") == F.col("text")).alias("lossless")
-    )
+    out = pieces.encode(docs, check="lossless")
+    return out.select("doc_id", "lang", "source", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "lossless")
 
 
 STAGES = [

@@ -23,12 +23,13 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SPACE = 0x2581
 #: Stands for a literal ▁ of the text: no piece has it, so that decoding can tell it from a space.
 OWN_MARK = 0x110000
@@ -71,7 +72,7 @@ class Pieces:
             for c in np.unique(code[self.raw_of[code] < 0]).tolist():
                 self.raw_of[c] = len(self.log) + len(self.raw)
                 self.raw.append(b" " if c == SPACE else "▁".encode() if c == OWN_MARK else chr(c).encode("utf-8", "surrogatepass"))
-        return self.raw_of[code].astype(np.int64)
+        return self.raw_of[code]
 
     def log_of(self) -> np.ndarray:
         return np.concatenate([self.log, [sum(self.log[self.bytes_[b]] for b in r) for r in self.raw]])
@@ -142,14 +143,15 @@ def _tables(words: list[str], pieces: Pieces) -> tuple[np.ndarray, ...]:
     length = np.array([len(w) for w in words])
     final = np.cumsum(length) - 1
     first = final - length + 1
-    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    code = np.where(code == SPACE, OWN_MARK, np.where(code == 32, SPACE, code))
+    code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    code = np.where(code == SPACE, OWN_MARK, np.where(code == 32, SPACE, code)).astype(np.int32)
     n = len(code)
-    pos = np.arange(n) - np.repeat(first, length)
-    left = np.repeat(length, length) - pos
+    pos = (np.arange(n) - np.repeat(first, length)).astype(np.int32)
+    left = np.repeat(length, length).astype(np.int32) - pos
     # Walk the trie from every position at once until all walks have died.
     state, start, seq = [], [], []
-    at, node, depth = np.arange(n), np.zeros(n, np.int64), 0
+    every = np.arange(n, dtype=np.int32)
+    at, node, depth = every, np.zeros(n, np.int32), 0
     while len(at):
         node = pieces.step(node, code[at + depth])
         on = node >= 0
@@ -158,12 +160,12 @@ def _tables(words: list[str], pieces: Pieces) -> tuple[np.ndarray, ...]:
         hit = pieces.ends[node] >= 0
         state.append(at[hit] + depth - 1)
         start.append(at[hit])
-        seq.append(pieces.ends[node[hit]].astype(np.int64))
+        seq.append(pieces.ends[node[hit]])
         on = left[at] > depth
         at, node = at[on], node[on]
     which = pieces.spelled(code)
     # Long pieces first: they are the likely ones, and a draw probes its edges in this order.
-    state_, start_ = np.concatenate([*state[::-1], np.arange(n)]), np.concatenate([*start[::-1], np.arange(n)])
+    state_, start_ = np.concatenate([*state[::-1], every]), np.concatenate([*start[::-1], every])
     seq_ = np.concatenate([*seq[::-1], which])
     log = pieces.log_of()[seq_]
     order = np.argsort(state_, kind="stable")
@@ -194,7 +196,7 @@ def _tables(words: list[str], pieces: Pieces) -> tuple[np.ndarray, ...]:
 class Lexicon:
     """Tables of the words met so far in this process, up to ``LIMIT`` states; later words last for one run."""
 
-    LIMIT = 1 << 20
+    LIMIT = 1 << 18
 
     def __init__(self, pieces: Pieces) -> None:
         self.pieces = pieces
@@ -269,10 +271,11 @@ def spell(ids: np.ndarray, pieces: Pieces) -> str:
     return raw.decode("utf-8", "surrogatepass")[1:]
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _lengths(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``CHUNK`` bytes."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        size += n
         if size >= CHUNK:
             yield start, i + 1
             start, size = i + 1, 0
@@ -280,28 +283,33 @@ def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, alpha: float = ALPHA) -> DataFrame:
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, alpha: float = ALPHA, check: str = "") -> DataFrame:
     """``docs`` with ``pieces``, an array of ids sampled under a seed made of ``key``.
 
     Null text gives null pieces, empty text an empty array; a null key seeds as 0. Rows with the same key
     and text get the same pieces. A column named ``pieces`` is replaced; other columns are carried along.
+    ``check`` names a boolean column that tells whether the pieces, decoded, are the text (null for null).
     """
-    rest = docs.drop("pieces")
+    rest = docs.drop("pieces", *[check] * bool(check))
     seed = F.coalesce(F.xxhash64(key), F.lit(0)).alias("__seed")
     names = rest.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["pieces array<int>"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["pieces array<int>"] + [f"`{check}` boolean"] * bool(check))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = lexicon_of(model, alpha)
         for batch in batches:
-            raw = batch.column(text).to_pylist()
             seeds = batch.column("__seed").to_numpy()
-            for a, b in _runs([t or "" for t in raw]):
-                ids, per = sample([t or "" for t in raw[a:b]], seeds[a:b], known)
+            for a, b in _lengths(batch.column(text)):
+                raw = batch.column(text).slice(a, b - a).to_pylist()
+                own, null = [t or "" for t in raw], [t is None for t in raw]
+                ids, per = sample(own, seeds[a:b], known)
                 offsets = np.zeros(b - a + 1, np.int32)
                 np.cumsum(per, out=offsets[1:])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=pa.array([t is None for t in raw[a:b]]))
-                yield pa.RecordBatch.from_arrays([batch.column(n).slice(a, b - a) for n in names] + [lists], [*names, "pieces"])
+                more = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=pa.array(null))]
+                if check:
+                    same = [spell(ids[i:j], known.pieces) == t for t, i, j in zip(own, offsets, offsets[1:], strict=False)]
+                    more.append(pa.array(same, pa.bool_(), mask=np.array(null)))
+                yield pa.RecordBatch.from_arrays([batch.column(n).slice(a, b - a) for n in names] + more, [*names, "pieces", *[check] * bool(check)])
 
     return rest.select("*", seed).mapInArrow(run, schema)
 
@@ -327,5 +335,5 @@ def segmented(docs: DataFrame, model: str = MODEL, alpha: float = ALPHA) -> Data
 
     ``lossless``: whether the decoded pieces equal the text (null for a null text).
     """
-    out = decode(encode(docs.select("doc_id", "text"), model=model, alpha=alpha), model=model)
-    return out.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), (F.col("decoded") == F.col("text")).alias("lossless"))
+    out = encode(docs.select("doc_id", "text"), model=model, alpha=alpha, check="lossless")
+    return out.select("doc_id", "pieces", F.size("pieces").cast("long").alias("n_pieces"), "lossless")
