@@ -6,13 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phrasemill.llm import decontaminate, language_id, pieces, pii
+from phrasemill.llm import chat, decontaminate, language_id, licenses, pieces, pii, pseudo_likelihood, token_counts
 from phrasemill.llm.common import table
 from phrasemill.llm.ngram_join import jaccard_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.known_licences(spark))
+
+
+def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_pairs(chat.swapped_endings(table(spark, sf_dir, "conversations")))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segmented(table(spark, sf_dir, "documents"))
 
@@ -38,4 +54,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_pii": pii.ORACLE, "op10_decontamination": decontaminate.ORACLE}
+    return {"op4_license_scan": licenses.ORACLE, "op5_preference_pairs": chat.ORACLE, "op8_pii": pii.ORACLE, "op10_decontamination": decontaminate.ORACLE}
