@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from phrasemill.llm import chat, decontaminate, language_id, licenses, pieces, pii, pseudo_likelihood, token_counts
+from phrasemill.llm import chat, decontaminate, language_id, licenses, media, pieces, pii, pseudo_likelihood, token_counts
 from phrasemill.llm.common import table
 from phrasemill.llm.ngram_join import jaccard_components
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.copies(media.pictures_of_vectors(table(spark, sf_dir, "embeddings")), "vec_id")
+
+
 def op2_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents"))
 
