@@ -92,7 +92,7 @@ def norm_phrase(normal: Column) -> Column:
 def variants(phrase: str | Column) -> Column:
     """Alternatives joined by a lone ``+``; ``C++`` and ``A+ grade`` stay whole, an empty split gives the phrase."""
     phrase = F.coalesce(F.col(phrase) if isinstance(phrase, str) else phrase, F.lit(""))
-    parts = F.filter(F.transform(F.split(phrase, r"(?<=[^+\s])\+(?=[^+\s])"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(phrase, r"(?<=[^+\s])\+(?=[^+\s])"), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(F.contains(phrase, F.lit("+")) & (F.size(parts) > 0), parts).otherwise(F.array(phrase))
 
 

@@ -51,6 +51,7 @@ def wilcoxon(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def friedman(scores: DataFrame, block: str, condition: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """``by, n, k, chi2`` over blocks that every condition has scored, ties corrected."""
+    scores = scores.select(*by, block, condition, value)
     # Few conditions per block: the ranks inside a block are a window of k rows.
     k = scores.groupBy(*by).agg(F.count_distinct(condition).alias("k"))
     complete = scores.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy(*by, block)))
@@ -90,6 +91,7 @@ def welch_t(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> Da
 
 def rm_anova(scores: DataFrame, block: str, condition: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     """``by, n, k, f, eta2`` of a one-way repeated-measures analysis over blocks that every condition has."""
+    scores = scores.select(*by, block, condition, value)
     k = scores.groupBy(*by).agg(F.count_distinct(condition).alias("k"))
     blocks = Window.partitionBy(*by, block)
     rows = scores.withColumn("own", F.count(F.lit(1)).over(blocks)).withColumn("of_block", F.avg(value).over(blocks))
