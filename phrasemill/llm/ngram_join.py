@@ -8,8 +8,11 @@ that in one part at least a linked pair differs in at most one shingle; that par
 again into ``N2 = 3`` cells, of which at least two agree. The ``n1 * C(3, 2)`` subsets of cells are
 enumerated as signatures: a linked pair always shares one.
 
-Equal sets collapse to one node first. Nodes that share a signature get an edge to the smallest
-node of the signature only (a star, not all pairs); connected candidates form a family. Inside a
+Equal sets collapse to one node first. Nodes that share a signature are candidates, joined to the
+smallest node of the signature only (a star, not all pairs). A signature covers few shingles where the
+threshold is low, so candidates are sifted once more by another exact condition: linked sets share
+one of their ``|A| - ceil(|A| p/q) + 1`` first shingles in any common order, and with the frequent
+ones last these are rare shingles. Candidates that meet there form families, stars again. Inside a
 family links are found exactly, and still without all pairs, by differences to the family's
 majority set C (shingles that more than half of its members have):
 
@@ -38,6 +41,8 @@ from phrasemill.llm.common import components, sized, stored
 WIDTH, P, Q = 3, 90, 100
 N2 = 3
 CHUNK = 1 << 20
+#: Frequent shingles that are told apart, and shingles that a task holds to count them.
+FREQUENT, HELD = 250_000, 2_000_000
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -294,6 +299,65 @@ def _prefixes(members: DataFrame, p: int, q: int) -> DataFrame:
     return members.mapInArrow(run, "family long, la long, lb long, h long, node long, e long, out long, side long")
 
 
+def _star(rows: DataFrame) -> DataFrame:
+    """Edges of every node of a signature to its smallest: one exchange of 16-byte rows."""
+    low = rows.withColumn("low", F.min("node").over(Window.partitionBy("sig")))
+    return low.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+
+
+def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``FREQUENT`` of the most frequent shingles, sorted, and their counts.
+
+    They only order shingles, and any order is right; counts that a task saw once are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def emit() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+
+        for batch in batches:
+            for _, flat, _ in shingle_sets(batch.column("text"), width):
+                held.append(flat)
+                size += len(flat)
+                if size > HELD:
+                    yield emit()
+                    size = 0
+        if held:
+            yield emit()
+
+    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
+    h = top.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    return h[order], top.column("n").to_numpy()[order]
+
+
+def _rare_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, p: int, q: int) -> DataFrame:
+    """``node, sig``: the first shingles of each set, frequent ones last; linked sets share one of them."""
+    known, count = frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column("node").to_numpy()
+            for i, flat, sizes in shingle_sets(batch.column("text"), width):
+                n = np.zeros(len(flat), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                    n = np.where(known[at] == flat, count[at], 0)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((flat, n, owner))
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                first = place < (sizes - -(-sizes * p // q) + 1)[owner]
+                rows = order[first]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i + owner[rows]]), pa.array(flat[rows].view(np.int64))], ["node", "sig"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, sig long")
+
+
 def links(docs: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
     """Links ``(a, b)`` that make up the components of the exact join of ``docs(node, text)``.
 
@@ -301,13 +365,9 @@ def links(docs: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFr
     a path of returned links.
     """
     rows = signature_rows(docs, width, p, q)
-    # One exchange of 16-byte rows; the minimum of a signature stands for its pairs.
-    star = (
-        rows.withColumn("low", F.min("node").over(Window.partitionBy("sig")))
-        .where("node <> low")
-        .select(F.col("node").alias("a"), F.col("low").alias("b"))
-    )
-    family = stored(components(star).select("node", F.col("root").alias("family")))
+    near = stored(components(_star(rows)).select("node"))
+    texts = docs.join(sized(near), "node")
+    family = stored(components(_star(_rare_rows(texts, _frequent(texts, width), width, p, q))).select("node", F.col("root").alias("family")))
     wanted = docs.join(sized(family), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
