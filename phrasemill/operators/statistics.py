@@ -101,7 +101,9 @@ def rm_anova(scores: DataFrame, block: str, condition: str, value: str, by: Sequ
         F.count(F.lit(1)).alias("n"), F.avg(F.col(value) - F.col("of_block")).alias("effect"), F.sum(F.pow(F.col(value) - F.col("of_block"), F.lit(2.0))).alias("ss")
     )
     agg = per.groupBy(*by, "k").agg(F.max("n").alias("n"), F.sum(F.pow("effect", F.lit(2.0))).alias("e"), F.sum("ss").alias("ss"))
-    out = agg.withColumn("cond", F.col("n") * F.col("e")).withColumn("err", F.col("ss") - F.col("cond"))
+    out = agg.withColumn("cond", F.col("n") * F.col("e")).withColumn("err", F.greatest(F.col("ss") - F.col("cond"), F.lit(0.0)))
+    # Without residual variation F is undefined: null.
+    out = out.withColumn("err", F.when(F.col("err") > 1e-12 * F.col("ss"), F.col("err")).otherwise(0.0))
     return out.select(
         *by, "n", "k",
         F.try_divide(F.col("cond") / (F.col("k") - 1), F.col("err") / ((F.col("k") - 1) * (F.col("n") - 1))).alias("f"),

@@ -482,12 +482,12 @@ def wilcoxon_w(spark: SparkSession, d: str) -> DataFrame:
     return statistics.wilcoxon(_xy(spark, d), ["dataset"]).select("dataset", "n", "w_plus", "w_minus", "ties", "w")
 
 
-_COMPLETE = "cp AS (SELECT *, count(*) OVER (PARTITION BY dataset, doc_id) AS own FROM s), cc AS (SELECT * FROM cp WHERE own = 4)"
+_COMPLETE = "nm AS (SELECT dataset AS nd, count(DISTINCT model) AS k FROM s GROUP BY 1), cp AS (SELECT dataset, doc_id, model, f1, count(*) OVER (PARTITION BY dataset, doc_id) AS own FROM s), cc AS (SELECT cp.*, nm.k FROM cp JOIN nm ON nd = dataset WHERE own = k)"
 
 
 @query(f"{_SC}, {_COMPLETE}, k AS (SELECT *, count(*) OVER (PARTITION BY dataset, doc_id, f1) AS t, rank() OVER (PARTITION BY dataset, doc_id ORDER BY f1) + (count(*) OVER (PARTITION BY dataset, doc_id, f1) - 1) / 2 AS rk FROM cc), "
-       "m AS (SELECT dataset, model, sum(rk) AS r, count(*) AS n, sum(t * t - 1) AS t FROM k GROUP BY ALL), a AS (SELECT dataset, max(n) AS n, 4 AS k, sum((r - n * 5 / 2) * (r - n * 5 / 2)) AS s, sum(t)::DOUBLE AS t FROM m GROUP BY 1) "
-       "SELECT dataset, n, k::BIGINT AS k, CASE WHEN 1 - t / (n * 60) > 0 THEN 12 * s / (n * 20) / (1 - t / (n * 60)) END AS chi2 FROM a")
+       "m AS (SELECT dataset, model, k, sum(rk) AS r, count(*) AS n, sum(t * t - 1) AS t FROM k GROUP BY ALL), a AS (SELECT dataset, max(n) AS n, k, sum((r - n * (k + 1) / 2) * (r - n * (k + 1) / 2)) AS s, sum(t)::DOUBLE AS t FROM m GROUP BY dataset, k) "
+       "SELECT dataset, n, k, CASE WHEN 1 - t / (n * k * (k * k - 1)) > 0 THEN 12 * s / (n * k * (k + 1)) / (1 - t / (n * k * (k * k - 1))) END AS chi2 FROM a")
 def friedman_chi2(spark: SparkSession, d: str) -> DataFrame:
     return statistics.friedman(_ten(spark, d), "doc_id", "model", "f1", ["dataset"])
 
@@ -505,9 +505,9 @@ def welch_t(spark: SparkSession, d: str) -> DataFrame:
     return statistics.welch_t(s, "f1", "g", ["dataset"])
 
 
-@query(f"{_SC}, {_COMPLETE}, gm AS (SELECT dataset, avg(f1) AS gm FROM cc GROUP BY 1), b AS (SELECT dataset, doc_id, avg(f1) AS bm FROM cc GROUP BY ALL), m AS (SELECT dataset, model, avg(f1) AS mm, count(*) AS n FROM cc GROUP BY ALL), "
-       "q AS (SELECT gm.dataset, (SELECT sum(n * (mm - gm) * (mm - gm)) FROM m WHERE m.dataset = gm.dataset) AS cond, (SELECT sum(4 * (bm - gm) * (bm - gm)) FROM b WHERE b.dataset = gm.dataset) AS subj, (SELECT sum((f1 - gm) * (f1 - gm)) FROM cc WHERE cc.dataset = gm.dataset) AS tot, (SELECT max(n) FROM m WHERE m.dataset = gm.dataset) AS n FROM gm) "
-       "SELECT dataset, n, 4::BIGINT AS k, (cond / 3) / ((tot - cond - subj) / (3 * (n - 1))) AS f, cond / (tot - subj) AS eta2 FROM q WHERE n > 1")
+@query(f"{_SC}, {_COMPLETE}, gm AS (SELECT dataset, avg(f1) AS gm FROM cc GROUP BY 1), b AS (SELECT dataset, doc_id, avg(f1) AS bm, max(k) AS bk FROM cc GROUP BY ALL), m AS (SELECT dataset, model, avg(f1) AS mm, count(*) AS n FROM cc GROUP BY ALL), "
+       "q AS (SELECT gm.dataset, (SELECT max(k) FROM cc WHERE cc.dataset = gm.dataset) AS k, (SELECT sum(n * (mm - gm) * (mm - gm)) FROM m WHERE m.dataset = gm.dataset) AS cond, (SELECT sum(bk * (bm - gm) * (bm - gm)) FROM b WHERE b.dataset = gm.dataset) AS subj, (SELECT sum((f1 - gm) * (f1 - gm)) FROM cc WHERE cc.dataset = gm.dataset) AS tot, (SELECT max(n) FROM m WHERE m.dataset = gm.dataset) AS n FROM gm) "
+       "SELECT dataset, n, k, CASE WHEN tot - cond - subj > 1e-12 * (tot - subj) THEN (cond / (k - 1)) / ((tot - cond - subj) / ((k - 1) * (n - 1))) END AS f, CASE WHEN tot - cond - subj > 1e-12 * (tot - subj) THEN cond / (tot - subj) WHEN cond > 1e-12 THEN 1.0 END AS eta2 FROM q WHERE n > 1")
 def rm_anova_f(spark: SparkSession, d: str) -> DataFrame:
     return statistics.rm_anova(_ten(spark, d), "doc_id", "model", "f1", ["dataset"]).where("n > 1")
 
