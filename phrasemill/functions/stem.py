@@ -120,10 +120,10 @@ def stemmed(df: DataFrame, key: list[str], tokens: str, lang: Column, into: str)
 
     ``key`` names the columns that identify a row.
     """
-    rows = df.select(*key, lang.alias("__lang"), F.posexplode(tokens).alias("__at", "__word"))
+    rows = df.select(*key, F.coalesce(lang, F.lit("")).alias("__lang"), F.posexplode(tokens).alias("__at", "__word"))
     known = rows.select("__lang", "__word").distinct().withColumn("__stem", _stems("__word", "__lang"))
     listed = (
-        rows.join(known, [F.coalesce(rows["__lang"], F.lit("")) == F.coalesce(known["__lang"], F.lit("")), rows["__word"] == known["__word"]])
+        rows.join(known, ["__lang", "__word"])
         .select(*key, "__at", "__stem")
         .groupBy(*key)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__stem"))), lambda x: x["__stem"]).alias(into))
