@@ -59,8 +59,11 @@ def _windows(width: int) -> Column:
 
 def _slot_values(df: DataFrame, key: str) -> DataFrame:
     """``key, pos, slot, value``: every slot of the canonical rows with the text that it stands for."""
-    at = {k: F.expr(f"filter(transform(tokens, (t, i) -> CASE WHEN t = '{c}' THEN i END), i -> i IS NOT NULL)") for k, c in SLOTS.items()}
-    pairs = [F.transform(F.arrays_zip(at[k].alias("p"), F.col(f"v_{k}").alias("v")), lambda x, k=k: F.struct(x["p"].alias("pos"), F.lit(k).alias("slot"), F.lower(x["v"]).alias("value"))) for k in SLOTS]
+    def of(kind: str, mark: str) -> Column:
+        at = F.expr(f"filter(transform(tokens, (t, i) -> CASE WHEN t = '{mark}' THEN i END), i -> i IS NOT NULL)")
+        return F.transform(F.arrays_zip(at.alias("p"), F.col(f"v_{kind}").alias("v")), lambda x: F.struct(x["p"].alias("pos"), F.lit(kind).alias("slot"), F.lower(x["v"]).alias("value")))
+
+    pairs = [of(*kind) for kind in SLOTS.items()]
     return df.select(key, F.explode_outer(F.concat(*pairs)).alias("s")).select(key, "s.pos", "s.slot", "s.value").where("pos is not null and value is not null")
 
 
