@@ -110,18 +110,25 @@ class Network:
                 out[rows] += _log_softmax_at(h[rows] @ self.p["word"][band] + self.p["word_bias"][band], target[rows] % WIDTH)
         return out
 
+    def scorer(self) -> Scorer:
+        return Scorer(self)
+
     def gradient(self, context: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean negative log-probability."""
-        n, p = len(target), self.p
+        # In the order of bands, so that each band's rows are a slice.
+        order = np.argsort((target // WIDTH).astype(np.uint8), kind="stable")
+        context, target = context[order], target[order]
+        n, p, own = len(target), self.p, target // WIDTH
         x, h = self._hidden(context)
-        d_band = _softmax_minus(h @ p["band"] + p["band_bias"], target // WIDTH) / n
+        d_band = _softmax_minus(h @ p["band"] + p["band_bias"], own) / n
         g = {"band": h.T @ d_band, "band_bias": d_band.sum(0), "word": np.zeros(SHAPES["word"], np.float32), "word_bias": np.zeros(SHAPES["word_bias"], np.float32)}
         d_h = d_band @ p["band"].T
-        for band in np.unique(target // WIDTH):
-            rows = np.flatnonzero(target // WIDTH == band)
-            d = _softmax_minus(h[rows] @ p["word"][band] + p["word_bias"][band], target[rows] % WIDTH) / n
-            g["word"][band], g["word_bias"][band] = h[rows].T @ d, d.sum(0)
-            d_h[rows] += d @ p["word"][band].T
+        ends = np.cumsum(np.bincount(own, minlength=BANDS))
+        for band, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            if a < b:
+                d = _softmax_minus(h[a:b] @ p["word"][band] + p["word_bias"][band], target[a:b] % WIDTH) / n
+                g["word"][band], g["word_bias"][band] = h[a:b].T @ d, d.sum(0)
+                d_h[a:b] += d @ p["word"][band].T
         d_z = d_h * (1 - h * h)
         g["mixer"], g["mixer_bias"] = x.T @ d_z, d_z.sum(0)
         d_x = (d_z @ p["mixer"].T).reshape(-1, EMBED)
@@ -139,6 +146,54 @@ class Network:
             self.p[k] -= RATE * g / np.sqrt(seen[k])
 
 
+class Scorer:
+    """Log-probabilities of runs of tokens. Each place's part of the first layer is tabled by token beforehand."""
+
+    def __init__(self, net: Network) -> None:
+        p = net.p
+        mixer = p["mixer"].reshape(2 * WINDOW, EMBED, HIDDEN)
+        self.part = [p["embed"] @ m for m in mixer]
+        self.part[0] = self.part[0] + p["mixer_bias"]
+        self.p = p
+        # With bounded logits the exponentials can't overflow and need no shift.
+        top = max(float(np.abs(p["band"]).sum(0).max() + np.abs(p["band_bias"]).max()), float(np.abs(p["word"]).sum(1).max() + np.abs(p["word_bias"]).max()))
+        self.shift = top > 80
+
+    def __call__(self, flat: np.ndarray, at: np.ndarray, block: int = 16384) -> np.ndarray:
+        """As ``log_probs`` of the windows of ``flat`` around the positions ``at``, which are ascending."""
+        out = np.empty(len(at))
+        for i in range(0, len(at), block):
+            own = at[i : i + block]
+            lo, hi = own[0] - WINDOW, own[-1] + WINDOW + 1
+            run = flat[lo:hi]
+            n = len(run) - 2 * WINDOW
+            h = self.part[0][run[:n]]
+            for k, part in zip([k for k in range(-WINDOW, WINDOW + 1) if k][1:], self.part[1:], strict=True):
+                h += part[run[WINDOW + k : WINDOW + k + n]]
+            h = np.tanh(h[own - own[0]])
+            out[i : i + block] = self._of(h, flat[own])
+        return out
+
+    def _of(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+        band, word = target // WIDTH, target % WIDTH
+        out = self._at(h @ self.p["band"] + self.p["band_bias"], band)
+        order = np.argsort(band.astype(np.uint8), kind="stable")
+        h, word = h[order], word[order]
+        inside = np.empty(len(target))
+        ends = np.cumsum(np.bincount(band, minlength=BANDS))
+        for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            if a < b:
+                inside[a:b] = self._at(h[a:b] @ self.p["word"][k] + self.p["word_bias"][k], word[a:b])
+        out[order] += inside
+        return out
+
+    def _at(self, logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+        if self.shift:
+            return _log_softmax_at(logits, at)
+        chosen = logits[np.arange(len(at)), at].astype(np.float64)
+        return chosen - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], np.float32))
+
+
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     logits -= logits.max(1, keepdims=True)
     chosen = logits[np.arange(len(at)), at].astype(np.float64)
@@ -265,12 +320,12 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     vocabulary, start = model.vocabulary, model.flat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, ids = Network.of(start), Ids(vocabulary)
+        scorer, ids = Network.of(start).scorer(), Ids(vocabulary)
         for batch in batches:
             sums, count = [], []
             for own in _runs([v or "" for v in batch.column(text).to_pylist()]):
                 flat, at, per = contexts(own, ids)
-                logs = np.concatenate([net.log_probs(around(flat, at[i : i + 8192]), flat[at[i : i + 8192]]) for i in range(0, len(at), 8192)] or [np.empty(0)])
+                logs = scorer(flat, at)
                 sums.append(np.bincount(np.repeat(np.arange(len(own)), per), logs, len(own)))
                 count.append(per)
             total, n = np.concatenate(sums or [np.empty(0)]), np.concatenate(count or [np.empty(0, np.int64)])
