@@ -45,10 +45,10 @@ def _letter_table() -> np.ndarray:
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashed grams of joined texts, the gram count of each text and its number of letters."""
-    # Lower-casing may change a text's length, so lengths are taken after it; two gaps end every text.
+    # Lower-casing may change a text's length, so lengths are taken after it; two gaps end every text, one is first.
     low = [t.lower() for t in texts]
-    ends = np.cumsum([len(t) + 2 for t in low])
-    joined = "  ".join(low) + "  "
+    ends = np.cumsum([len(t) + 2 for t in low]) + 1
+    joined = " " + "  ".join(low) + "  "
     code = _letter_table()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
     h = code * np.uint32(0x9E3779B1)
     two = h[:-1] * np.uint32(31) + code[1:] * np.uint32(0x85EBCA6B)
