@@ -249,22 +249,27 @@ def _differences(members: DataFrame, p: int, q: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {"e": [], "added": [], "removed": []}
-            for grams, core in zip(batch.column("grams"), batch.column("core"), strict=True):
-                a, c = grams.values.to_numpy(), core.values.to_numpy() if core.is_valid else np.empty(0, np.int64)
-                added, removed = (np.sort(np.setdiff1d(x, y, True)) for x, y in ((a, c), (c, a)))
-                rows["e"].append(int(_gap(len(added) + len(removed), len(a), p, q)))
-                rows["added"].append(added)
-                rows["removed"].append(removed)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("family"), batch.column("node"), pa.array(rows["e"], pa.int64())]
-                + [pa.array(rows[k], pa.list_(pa.int64())) for k in ("added", "removed")],
-                ["family", "node", "e", "added", "removed"],
-            )
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                e, added, removed = [], [], []
+                for grams, core in zip(part.column("grams"), part.column("core"), strict=True):
+                    a, c = grams.values.to_numpy(), core.values.to_numpy() if core.is_valid else np.empty(0, np.int64)
+                    for out, x, y in ((added, a, c), (removed, c, a)):
+                        out.append(np.sort(np.setdiff1d(x, y, True)))
+                    e.append(int(_gap(len(added[-1]) + len(removed[-1]), len(a), p, q)))
+                lists = [_list(np.concatenate(x), np.array([len(y) for y in x])) for x in (added, removed)]
+                yield pa.RecordBatch.from_arrays([part.column("family"), part.column("node"), pa.array(e, pa.int64()), *lists], ["family", "node", "e", "added", "removed"])
 
     return members.mapInArrow(run, "family long, node long, e long, added array<long>, removed array<long>")
 
 
+def _repeated(rows: list[tuple], parts: list[np.ndarray], names: tuple[str, ...]) -> pa.RecordBatch:
+    """One row per element of ``parts``, with the values of its part's row."""
+    n = [len(x) for x in parts]
+    cols = [pa.array(np.repeat(np.array(c, np.int64), n)) for c in zip(*rows, strict=True)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(parts))], [*names, "h"])
+
+
 def _prefixes(members: DataFrame, p: int, q: int) -> DataFrame:
     """``family, la, lb, h, node, e, out, side``: the elements on which unlinked members can meet.
 
@@ -276,27 +281,28 @@ def _prefixes(members: DataFrame, p: int, q: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = {k: [] for k in ("family", "la", "lb", "h", "node", "e", "out", "side")}
-            for row in batch.to_pylist():
-                d = np.array(row["added"] + row["removed"], np.int64)
-                if not len(d):
-                    continue
-                e, mine = row["e"], int(_level(np.array([row["e"]]))[0])
-                for other in row["levels"]:
-                    low = 1 << (other - 1) if other else row["e_min"]
+            fixed = zip(*(batch.column(k).to_pylist() for k in ("family", "node", "e", "e_min", "outlier", "levels")), strict=True)
+            names = ("family", "la", "lb", "node", "e", "out", "side")
+            rows, parts, size = [], [], 0
+            for (family, node, e, e_min, outlier, levels), *lists in zip(fixed, batch.column("added"), batch.column("removed"), strict=True):
+                d = np.concatenate([x.values.to_numpy() for x in lists])
+                mine = int(_level(np.array([e]))[0])
+                for other in levels if len(d) else ():
                     if mine == other == 0:
                         continue  # both are linked with the member of least e
-                    t = max(1, -(-(e + low) // scale))
+                    t = max(1, -(-(e + (1 << (other - 1) if other else e_min)) // scale))
                     prefix = d[: max(0, len(d) - t + 1)]
-                    for side in ([0] if mine > other else [1] if mine < other else [0, 1]):
-                        cols["h"].append(prefix)
-                        fixed = {"family": row["family"], "la": max(mine, other), "lb": min(mine, other), "node": row["node"], "e": e, "out": row["outlier"], "side": side}
-                        for k, v in fixed.items():
-                            cols[k].append(np.full(len(prefix), v, np.int64))
-            if cols["h"]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in cols.values()], list(cols))
-
-    return members.mapInArrow(run, "family long, la long, lb long, h long, node long, e long, out long, side long")
+                    for side in [0] if mine > other else [1] if mine < other else [0, 1]:
+                        rows.append((family, max(mine, other), min(mine, other), node, e, int(outlier), side))
+                        parts.append(prefix)
+                        size += len(prefix)
+                if size > CHUNK // 8:
+                    yield _repeated(rows, parts, names)
+                    rows, parts, size = [], [], 0
+            if rows:
+                yield _repeated(rows, parts, names)
+
+    return members.mapInArrow(run, "family long, la long, lb long, node long, e long, out long, side long, h long")
 
 
 def _star(rows: DataFrame) -> DataFrame:
