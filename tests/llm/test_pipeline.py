@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as cp
 from phrasemill.llm import decontaminate, language_id, ngram_join, pii
 
@@ -8,11 +10,11 @@ BENCH = "a rather unusual question about seven green lamps hanging over the narr
 
 def test_stages_against_brute_force(spark, tmp_path):
     words = {"en": "the of and with that this from have", "de": "der die und nicht mit sich auf ein"}
-    rows = []
+    rows, rng = [], random.Random(4)
     for lang, ws in words.items():
         w = ws.split()
-        for k in range(40):
-            rows.append((len(rows), " ".join(w[(k * j + j * j) % 8] + "xyzuvk"[(k + j) % 6] for j in range(1, 60)), lang, "s", 0))
+        for _ in range(40):
+            rows.append((len(rows), " ".join(rng.choice(w) + rng.choice("xyzuvk") for _ in range(60)), lang, "s", 0))
     rows += [(200, rows[0][1], "en", "s", 0), (201, rows[1][1] + " more", "en", "s", 0), (202, "123 456", None, "s", 0), (203, None, None, None, None), (204, f"{rows[2][1][:200]} {BENCH} {rows[3][1][:200]}", "en", "s", 0), (205, f"mail a@b.co {rows[4][1][:150]}", "en", "s", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, BENCH)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
