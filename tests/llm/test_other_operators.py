@@ -110,6 +110,33 @@ def test_media(spark):
     assert media.copies(spark.createDataFrame([], "id long, data binary")).count() == 0
 
 
+def test_media_bands_meet_at_reach(spark):
+    rng = np.random.default_rng(4)
+    n, rows, pairs = 300, [], {}
+    for i in range(n):
+        d = rng.integers(0, 256, media.BITS // 8, np.uint8)
+        other, far = np.unpackbits(d), (8, 12, 15, 20, 24)[i % 5]
+        other[rng.choice(media.BITS, far, replace=False)] ^= 1
+        rows += [(2 * i, bytearray(d.tobytes())), (2 * i + 1, bytearray(np.packbits(other).tobytes()))]
+        pairs.setdefault(far, []).append((2 * i, 2 * i + 1))
+    bands = {}
+    for r in media._bands(spark.createDataFrame(rows, "node long, bits binary")).collect():
+        bands.setdefault(r.band, set()).add(r.node)
+    met = {(a, b) for nodes in bands.values() for a in nodes for b in nodes if a < b}
+    recall = {far: np.mean([p in met for p in own]) for far, own in pairs.items()}
+    assert recall[8] == recall[12] == recall[15] == 1 and recall[20] > 0.9 and recall[24] > 0.85
+    assert met <= {p for own in pairs.values() for p in own}
+
+
+def test_media_chains_keep_all_within_reach():
+    rng = np.random.default_rng(5)
+    d = np.repeat(rng.integers(0, 1 << 63, (90, 4)).astype(np.uint64), 30, axis=0)
+    d[:, 1:] ^= np.uint64(1) << rng.integers(0, 64, (len(d), 3)).astype(np.uint64)
+    d = d[rng.permutation(len(d))]
+    label = media.chains(d)
+    assert np.array_equal(np.unique(d[:, 0], return_inverse=True)[1][label], np.unique(d[:, 0], return_inverse=True)[1]) and len(np.unique(label)) == 90
+
+
 def test_picture_formats():
     grey = np.arange(48.0).reshape(6, 8)
     assert np.array_equal(media.decode(media.png(grey)), grey)
