@@ -5,27 +5,33 @@ conditional log-probabilities of all its tokens. The network embeds the context,
 two-step softmax (band of the vocabulary, then word of the band). It is trained here, in numpy:
 
 * the vocabulary comes from word counts over all documents (counted per task, then summed by word); words
-  beyond it share hashed buckets, so that every token has a probability;
-* each round, every task starts from the same parameters, masks a share of the positions of each of its
-  documents, drawn by a hash of the text, and takes gradient steps on them; the tasks' parameters
+  beyond it share hashed buckets for the network, and a bucket's probability is dealt among its words by their
+  counts (a table joined on the word; one count a bucket is kept for words that were never counted);
+* each round, every task starts from the same parameters, masks one of ``ROUNDS`` parts of the positions of each
+  of its documents, drawn by a hash of the text, and takes gradient steps on them, so that all rounds together
+  train on every position once; the tasks' parameters
   are averaged by their numbers of targets, first in ``FOLD`` partial means, then on the driver, which
   sees at most ``FOLD`` parameter vectors whatever the input;
-* scoring maps over whole texts without a shuffle.
+* scoring maps over whole texts; only words beyond the vocabulary that were counted twice or more are joined.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from phrasemill.llm.common import sized, stored
+
 WINDOW = 2
 BANDS, WIDTH = 32, 64
 VOCABULARY = BANDS * WIDTH
@@ -34,7 +40,7 @@ WORDS = VOCABULARY - BUCKETS - 1
 #: The last id stands for what is beyond a text's ends.
 EDGE = VOCABULARY - 1
 EMBED, HIDDEN = 12, 16
-ROUNDS, MASKED, STEP, RATE = 2, 8, 2048, 0.1
+ROUNDS, STEP, RATE = 2, 2048, 0.1
 FOLD = 64
 #: Entries of a task's word count or id cache before it is emptied.
 MEMORY = 200_000
@@ -221,14 +227,16 @@ def _runs(texts: list[str]) -> Iterator[list[str]]:
         yield own
 
 
-def contexts(texts: list[str], ids: Ids) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(padded ids, positions of tokens in them, number of tokens per text)``."""
+def contexts(texts: list[str], ids: Ids, beyond: list[Counter] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(padded ids, positions of tokens in them, number of tokens per text)``; ``beyond`` gets each text's words in buckets."""
     edge = np.full(WINDOW, EDGE)
     parts, per = [edge], []
     for t in texts:
         own = words(t)
         per.append(len(own))
         parts += [np.fromiter(map(ids.__getitem__, own), np.int64, len(own)), edge]
+        if beyond is not None:
+            beyond.append(Counter(itertools.compress(own, parts[-2] >= WORDS)))
     flat, per_ = np.concatenate(parts), np.array(per, np.int64)
     return flat, np.arange(per_.sum()) + WINDOW * (1 + np.repeat(np.arange(len(texts)), per_)), per_
 
@@ -237,6 +245,14 @@ def around(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return flat[at[:, None] + np.array([k for k in range(-WINDOW, WINDOW + 1) if k])]
 
 
+def drawn(texts: list[str], per: np.ndarray, round_: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Which tokens of the texts a round trains on; each belongs to one of ``rounds`` rounds."""
+    salt = np.repeat([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], per).astype(np.uint64)
+    place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    draw = (salt + place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (draw >> np.uint64(40)) % np.uint64(rounds) == round_
+
+
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """``word, n`` over all rows; every task counts first and empties its counter when it is full."""
 
@@ -260,14 +276,24 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Model:
+    """``rare``: ``word, n`` of the words beyond the vocabulary that were counted more than once; ``totals``: counts of each bucket."""
+
     vocabulary: list[str]
     flat: np.ndarray
+    rare: DataFrame | None = None
+    totals: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     """Vocabulary and network from all rows. Without any token the network stays as initialised."""
-    top = count_words(docs, text).orderBy(F.desc("n"), "word").limit(WORDS).collect()
+    counts = stored(count_words(docs, text))
+    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
     model = Model([r.word for r in top], Network.new().flat())
+    known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in model.vocabulary], "word string"))
+    others = counts.join(known, "word", "left_anti")
+    model.rare = others.where("n > 1")
+    for row in others.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        model.totals[row.bucket] = row.n
     for round_ in range(rounds if top else 0):
         vocabulary, start = model.vocabulary, model.flat
 
@@ -286,9 +312,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
                     flat, at, per = contexts(own, ids)
                     if not len(at):
                         continue
-                    salt = np.repeat([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in own], per).astype(np.uint64)
-                    draw = (salt + at.astype(np.uint64) + np.uint64(round_)) * np.uint64(0x9E3779B97F4A7C15)
-                    at = at[(draw >> np.uint64(40)) % np.uint64(MASKED) == 0]
+                    at = at[drawn(own, per, round_, rounds)]
                     at = np.random.Generator(np.random.PCG64(len(at))).permutation(at)
                     context, target = around(flat, at), flat[at]
                     total += len(at)
@@ -318,22 +342,35 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_tokens, log_prob, mean_log_prob`` of each row; the mean is null without tokens."""
     vocabulary, start = model.vocabulary, model.flat
+    # A word's share of its bucket is n / (total + 1), n being 1 for words that were never counted.
+    below = np.concatenate([np.zeros(WORDS), np.log(model.totals + 1), [0.0]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, ids = Network.of(start).scorer(), Ids(vocabulary)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            sums, count = [], []
+            sums, count, beyond = [], [], []
             for own in _runs([v or "" for v in batch.column(text).to_pylist()]):
-                flat, at, per = contexts(own, ids)
-                logs = scorer(flat, at)
+                flat, at, per = contexts(own, ids, beyond)
+                logs = scorer(flat, at) - below[flat[at]]
                 sums.append(np.bincount(np.repeat(np.arange(len(own)), per), logs, len(own)))
                 count.append(per)
             total, n = np.concatenate(sums or [np.empty(0)]), np.concatenate(count or [np.empty(0, np.int64)])
-            mean = pa.array(total / np.maximum(n, 1), pa.float64(), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(n, pa.int64()), pa.array(total), mean], [key, "n_tokens", "log_prob", "mean_log_prob"])
+            rows = pa.array(np.arange(row, row + len(n)))
+            row += len(n)
+            found, times = pa.array([list(c) for c in beyond], pa.list_(pa.string())), pa.array([list(c.values()) for c in beyond], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, batch.column(key), pa.array(n, pa.int64()), pa.array(total), found, times], ["row", key, "n_tokens", "log_prob", "words", "times"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    schema = f"row long, `{key}` {kind}, n_tokens long, log_prob double, words array<string>, times array<long>"
+    scored = docs.select(key, text).mapInArrow(run, schema)
+    if model.rare is not None:
+        scored = stored(scored)
+        beyond = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+        shares = beyond.join(sized(model.rare), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
+        scored = scored.join(shares, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob")
+    return scored.select(key, "n_tokens", "log_prob", mean)
 
 
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:

@@ -70,6 +70,29 @@ def test_pseudo_likelihood(spark):
     assert pseudo_likelihood.pseudo_likelihood(df.where("false")).count() == 0
 
 
+def test_every_position_is_trained_once():
+    texts = ["a b c d e f g h " * 40, "", "x y", "a b c d e f g h " * 40]
+    per = np.array([len(pseudo_likelihood.words(t)) for t in texts])
+    each = [pseudo_likelihood.drawn(texts, per, k) for k in range(pseudo_likelihood.ROUNDS)]
+    assert np.array_equal(np.sum(each, 0), np.ones(per.sum())) and min(e.sum() for e in each) > 100
+
+
+def test_words_of_a_bucket_have_their_own_share(spark):
+    pl = pseudo_likelihood
+    first = "zq0"
+    other = next(w for w in (f"zq{i}" for i in range(1, 10_000)) if pl.Ids([])[w] == pl.Ids([])[first])
+    common = " ".join(f"w{i}" for i in range(pl.WORDS))
+    rows = [(i, common) for i in range(4)] + [(10, f"w0 w1 {first} w2 w3"), (11, f"w0 w1 {first} w2 w3"), (12, f"w0 w1 {other} w2 w3"), (None, f"w0 w1 {first} w2 w3")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pl.fit(df)
+    assert model.totals.sum() == 4 and first not in model.vocabulary
+    got = {r.doc_id: r.log_prob for r in pl.score(df, model).collect()}
+    assert got[10] == pytest.approx(got[12] + np.log(3)) and got[10] == got[11] == got[None]
+    unseen = next(w for w in (f"zr{i}" for i in range(10_000)) if pl.Ids([])[w] == pl.Ids([])[first])
+    new = pl.score(spark.createDataFrame([(1, f"w0 w1 {unseen} w2 w3")], "doc_id long, text string"), model).first()
+    assert new.log_prob == pytest.approx(got[12])
+
+
 def test_licences(spark):
     mit = dict(licenses.TEXTS)["MIT"]
     british = "copyright (c) 2020 someone\n" + mit.replace('"', "'").upper().replace("SUBLICENSE", "SUBLICENCE") + "\n"
