@@ -4,7 +4,8 @@ Numbers, names and units become typed placeholders; the remaining words are lowe
 punctuation. Every window of ``WIDTH`` canonical tokens is hashed and joined with the windows of the
 benchmark items. Along each alignment (document position minus item position) the slots must be
 consistent: one benchmark value always stands for one document value, so that a re-parameterised question
-is caught and a mere lookalike is not. All of it is DataFrame expressions.
+is caught and a mere lookalike is not; ``MIN_RUN`` windows without any slot on one alignment are a copy, whatever
+the slots beside them hold. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -77,19 +78,20 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_share: floa
     """
     bench = _canonical(items.where("item_id is not null").select("item_id", "text").dropDuplicates(), "text")
     literal = F.expr(f"transform(sequence(1, greatest(size(tokens) - {width - 1}, 1)), i -> size(filter(slice(tokens, i, {width}), t -> t > '\x03')) >= least({MIN_LITERALS}, size(tokens)))")
+    plain = F.expr(f"transform(sequence(1, greatest(size(tokens) - {width - 1}, 1)), i -> forall(slice(tokens, i, {width}), t -> t > '\x03'))")
     wanted = (
         bench.where("size(tokens) > 0")
-        .withColumn("w", F.arrays_zip(_windows(width).alias("h"), literal.alias("ok")))
+        .withColumn("w", F.arrays_zip(_windows(width).alias("h"), literal.alias("ok"), plain.alias("plain")))
         .select("item_id", F.posexplode_outer("w").alias("ipos", "w"))
         .where("w.ok")
-        .select("item_id", "ipos", F.col("w.h").alias("h"))
+        .select("item_id", "ipos", F.col("w.h").alias("h"), F.col("w.plain").alias("plain"))
     )
     wanted = stored(wanted)
     total = wanted.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
     rows = _canonical(docs.where("doc_id is not null").select("doc_id", "text"), "text").select("doc_id", "tokens")
     rows = rows.withColumn("w", _windows(width)).select("doc_id", F.posexplode_outer("w").alias("dpos", "h"))
-    hits = stored(rows.join(sized(wanted), "h").select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("diag")).distinct())
-    lines = hits.groupBy("doc_id", "item_id", "diag").agg(F.count(F.lit(1)).alias("run"), F.min("ipos").alias("lo"), (F.max("ipos") + width).alias("hi"))
+    hits = stored(rows.join(sized(wanted), "h").select("doc_id", "item_id", "ipos", "plain", (F.col("dpos") - F.col("ipos")).alias("diag")).distinct())
+    lines = hits.groupBy("doc_id", "item_id", "diag").agg(F.count(F.lit(1)).alias("run"), F.count_if("plain").alias("plain"), F.min("ipos").alias("lo"), (F.max("ipos") + width).alias("hi"))
     slots = _slot_values(bench, "item_id").select("item_id", F.col("pos").alias("ip"), "slot", F.col("value").alias("theirs"))
     needed = stored(lines.join(slots, "item_id").where("ip >= lo and ip < hi").select("doc_id", "item_id", "diag", (F.col("ip") + F.col("diag")).alias("pos"), "slot", "theirs"))
     within = docs.select("doc_id", "text").join(sized(needed.select("doc_id").distinct()), "doc_id", "left_semi")
@@ -101,7 +103,7 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_share: floa
         .groupBy("doc_id", "item_id", "diag")
         .agg(F.max(F.col("a") != F.col("b")).alias("clash"), F.min((F.col("a") == F.col("theirs")) & (F.col("b") == F.col("theirs"))).alias("same"))
     )
-    kept = lines.join(mapping, ["doc_id", "item_id", "diag"], "left").where("not coalesce(clash, false)").select("doc_id", "item_id", "diag", "run", F.coalesce("same", F.lit(True)).alias("same"))
+    kept = lines.join(mapping, ["doc_id", "item_id", "diag"], "left").where(F.expr("not coalesce(clash, false)") | (F.col("plain") >= min_run)).select("doc_id", "item_id", "diag", "run", F.coalesce("same", F.lit(True)).alias("same"))
     return (
         hits.join(kept, ["doc_id", "item_id", "diag"])
         .groupBy("doc_id", "item_id")

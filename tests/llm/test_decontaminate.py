@@ -29,3 +29,9 @@ def test_short_items_and_empty_tables(spark):
 def test_names_are_slots(spark):
     item = "the story says that Alice went to the market and that Alice bought bread for the evening"
     assert _run(spark, [(1, item.replace("Alice", "Robert")), (2, item.replace("Alice", "Robert", 1))], [(7, item)]) == {(1, 7): False}
+
+
+def test_long_copy_with_one_changed_number(spark):
+    passage = "the old mill by the river ground 12 sacks of corn before the miller closed the heavy wooden doors for the long cold winter and counted all 12 sacks again"
+    near = passage.replace("12", "30", 1)
+    assert _run(spark, [(1, f"x {near} y"), (2, passage)], [(7, passage)]) == {(1, 7): False, (2, 7): True}
