@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,12 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; a new local folder only where it is unset."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; a folder of the warehouse only where it is unset."""
     sc = spark.sparkContext
     named = sc.getCheckpointDir()
     if named:
         return named
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/.checkpoints"
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
@@ -37,7 +37,24 @@ def stored(df: DataFrame) -> DataFrame:
     """The frame written as Parquet in the shared folder and read again."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more, and lets go of the shuffles of ended jobs.
+
+    Spark deletes a shuffle's files once the driver has collected what refers to it, which a driver with memory
+    to spare does seldom; a long operator asks for it here.
+    """
+    spark = tables[0].sparkSession
+    jvm = spark._jvm
+    for table in tables:
+        path = jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -3,18 +3,25 @@
 A document's set holds its distinct ``width``-word shingles as 64-bit hashes. Sets are put into
 size bands such that two sets with Jaccard similarity >= p/q lie in one band or in neighbouring
 ones; each band has a Hamming threshold ``k``, the largest symmetric difference a linked pair of
-that band can have. The shingle domain is partitioned into ``n1`` parts, ``n1 = ceil((k+1)/2)``, so
-that in one part at least a linked pair differs in at most one shingle; that part is partitioned
-again into ``N2 = 3`` cells, of which at least two agree. The ``n1 * C(3, 2)`` subsets of cells are
-enumerated as signatures: a linked pair always shares one.
-
-Equal sets collapse to one node first. Nodes that share a signature are candidates, joined to the
-smallest node of the signature only (a star, not all pairs). A signature covers few shingles where the
-threshold is low, so candidates are sifted once more by another exact condition: linked sets share
-one of their ``|A| - ceil(|A| p/q) + 1`` first shingles in any common order, and with the frequent
-ones last these are rare shingles. Candidates that meet there form families, stars again. Inside a
-family links are found exactly, and still without all pairs, by differences to the family's
-majority set C (shingles that more than half of its members have):
+that band can have. The shingle domain is partitioned into ``n1 = n0 + e`` parts with
+``n0 = ceil((k+1)/2)``, so that in at least ``e + 1`` parts a linked pair differs in at most one
+shingle; a part is partitioned again into ``N2 = 3`` cells, of which at least two agree there. The
+``n1 * C(3, 2)`` subsets of cells are enumerated as signatures: a linked pair always shares one.
+
+Where the threshold is low, kept cells are often empty, and sets that have nothing in common would
+meet there. A set with at most ``e`` parts in which kept cells are empty leaves those signatures out: of the
+``e + 1`` agreeing parts one has none of them, so nothing is lost. Any other set keeps all.
+
+Equal sets collapse to one node first. Nodes that share a signature form a bucket, and equal buckets
+are taken once. All pairs of a bucket of at most ``SMALL`` nodes are candidates, of a larger one those with
+its smallest node. Candidates are sifted by parity sketches (the bits in which two sketches differ
+bound the symmetric difference from below) and then compared exactly.
+
+A large bucket whose nodes are not all joined by then is open, and the nodes of open buckets go through a
+second, independent partition of the domain: a linked pair not found yet shares an open bucket of every
+level. What is open after ``LEVELS`` partitions are texts much alike, not chance. Stars of their
+buckets form families, in which links are found exactly and still without all pairs, by differences to the
+family's majority set C (shingles that more than half of its members have):
 
 * with ``D = A xor C`` and ``e = |D|/w - |A|`` scaled to integers, A and B are linked exactly when
   ``2 |D_A & D_B|`` is at least ``e_A + e_B`` (see ``_gap``);
@@ -36,13 +43,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import components, sized, stored
+from phrasemill.llm.common import components, discard, sized, stored
 
 WIDTH, P, Q = 3, 90, 100
 N2 = 3
 CHUNK = 1 << 20
-#: Frequent shingles that are told apart, and shingles that a task holds to count them.
-FREQUENT, HELD = 250_000, 2_000_000
+#: Independent partitions that open buckets go through, and the most nodes of a bucket all of whose pairs are compared.
+LEVELS, SMALL = 3, 8
+#: Kept cells that hold fewer shingles on average than this get one more part for each ten.
+DENSE = 10
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -157,20 +166,27 @@ def _bands(p: int, q: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     return ends_, (q - p) * 2 * ends_ // (q + p)
 
 
-def signatures(flat: np.ndarray, sizes: np.ndarray, p: int = P, q: int = Q) -> tuple[np.ndarray, np.ndarray]:
-    """PartEnum signatures of consecutive sets: flat int64 signatures and the number per set."""
+def signatures(flat: np.ndarray, sizes: np.ndarray, p: int = P, q: int = Q, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """PartEnum signatures of consecutive sets: flat int64 signatures and the number per set.
+
+    ``level`` chooses one of many independent partitions of the shingle domain.
+    """
     if not len(flat):
         return np.empty(0, np.int64), np.zeros(len(sizes), np.int64)
     ends, ks = _bands(p, q, 1 << int(sizes.max()).bit_length())
     band = np.searchsorted(ends, sizes)  # ends[band - 1] < size <= ends[band]
     owner = np.repeat(np.arange(len(sizes)), sizes)
     low, high = (flat & _U(0xFFFFFFFF)).astype(np.float64), (flat >> _U(32)).astype(np.float64)
-    part_of, cell_of = mix(flat ^ _K[0]) >> _U(11), (mix(flat ^ _K[1]) >> _U(11)) % _U(N2)
+    seed = mix(np.array([level], np.uint64))
+    part_of, cell_of = mix(flat ^ _K[0] ^ seed) >> _U(11), (mix(flat ^ _K[1] ^ seed) >> _U(11)) % _U(N2)
+    sparse = (N2 - 1) * (q + p) < DENSE * N2 * (q - p)  # shingles that kept cells hold on average
     out, who = [], []
     for step in (0, 1):
         at = band + step
         k = np.where(sizes > 0, ks[np.minimum(at, len(ks) - 1)], 0)
-        n1 = np.where(k > 0, (k + 2) // 2, 0)  # ceil((k + 1) / 2)
+        n0 = np.where(k > 0, (k + 2) // 2, 0)  # ceil((k + 1) / 2)
+        spare = (n0 + 5) // 10 if sparse else np.zeros_like(n0)
+        n1 = n0 + spare
         base = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(n1 * N2, out=base[1:])
         if not base[-1]:
@@ -186,8 +202,10 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, p: int = P, q: int = Q) -> t
         left_out = np.arange(N2, dtype=np.uint64)[None, :]
         lo, hi = lo.sum(1, keepdims=True) - lo, hi.sum(1, keepdims=True) - hi
         sig = mix(mix(lo * _K[0] + tag[:, None]) + mix(hi * _K[1] + left_out))
-        out.append(sig.reshape(-1).view(np.int64))
-        who.append(np.repeat(doc, N2))
+        empty = (lo | hi) == 0
+        kept = ~(empty & (np.bincount(doc[empty.any(1)], minlength=len(sizes)) <= spare)[doc][:, None])
+        out.append(sig[kept].view(np.int64))
+        who.append(np.repeat(doc, kept.sum(1)))
     if not out:
         return np.empty(0, np.int64), np.zeros(len(sizes), np.int64)
     who_, sig_ = np.concatenate(who), np.concatenate(out)
@@ -195,6 +213,33 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, p: int = P, q: int = Q) -> t
     return sig_[order], np.bincount(who_, minlength=len(sizes))
 
 
+def sketches(flat: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parity sketches of consecutive sets: bit i tells whether an odd number of elements falls on i.
+
+    A sketch has two to four bits an element, a power of two, so that its halves fold by exclusive or.
+    """
+    bits = np.array([max(64, 2 << int(n - 1).bit_length()) if n else 64 for n in sizes.tolist()], np.int64)
+    start = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(bits, out=start[1:])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    at = start[owner] + (mix(flat ^ _K[3]) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=start[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [packed[a // 8 : b // 8] for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """A lower bound of the symmetric difference of the two sets behind sketches ``a`` and ``b``."""
+    x, y, n = int.from_bytes(a, "little"), int.from_bytes(b, "little"), min(len(a), len(b)) * 8
+    for wide, other in ((len(a) * 8, 0), (len(b) * 8, 1)):
+        while wide > n:
+            wide //= 2
+            if other:
+                y = (y >> wide) ^ (y & ((1 << wide) - 1))
+            else:
+                x = (x >> wide) ^ (x & ((1 << wide) - 1))
+    return (x ^ y).bit_count()
+
+
 def _list(flat: np.ndarray, sizes: np.ndarray) -> pa.Array:
     offsets = np.zeros(len(sizes) + 1, np.int32)
     np.cumsum(sizes, out=offsets[1:])
@@ -208,27 +253,29 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return (total[end] - total[end - sizes]).view(np.int64)
 
 
-def features(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, d1, d2`` of each row: set size and 128-bit set digest."""
+def features(docs: DataFrame, width: int, with_text: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, d1, d2`` of each row: set size and 128-bit set digest; and its text if wanted."""
+    more = ["text"] if with_text else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, flat, sizes in shingle_sets(batch.column("text"), width):
                 digests = [pa.array(_sums(mix(flat ^ k), sizes)) for k in _K[2:4]]
-                ids = batch.column("doc_id").slice(i, len(sizes))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *digests], ["doc_id", "n_shingles", "d1", "d2"])
+                ids, *texts = (batch.column(k).slice(i, len(sizes)) for k in ["doc_id", *more])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(sizes, pa.int64()), *digests, *texts], ["doc_id", "n_shingles", "d1", "d2", *more])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
+    schema = "doc_id long, n_shingles long, d1 long, d2 long" + ", text string" * with_text
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def signature_rows(docs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+def signature_rows(docs: DataFrame, width: int, p: int, q: int, level: int = 0) -> DataFrame:
     """``node, sig``: the signatures of each row of ``docs(node, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes = batch.column("node").to_numpy()
             for i, flat, sizes in shingle_sets(batch.column("text"), width):
-                sigs, per = signatures(flat, sizes, p, q)
+                sigs, per = signatures(flat, sizes, p, q, level)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[i : i + len(sizes)], per)), pa.array(sigs)], ["node", "sig"])
 
     return docs.select("node", "text").mapInArrow(run, "node long, sig long")
@@ -305,75 +352,103 @@ def _prefixes(members: DataFrame, p: int, q: int) -> DataFrame:
     return members.mapInArrow(run, "family long, la long, lb long, node long, e long, out long, side long, h long")
 
 
-def _star(rows: DataFrame) -> DataFrame:
-    """Edges of every node of a signature to its smallest: one exchange of 16-byte rows."""
-    low = rows.withColumn("low", F.min("node").over(Window.partitionBy("sig")))
-    return low.where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+def _buckets(docs: DataFrame, width: int, p: int, q: int, level: int) -> DataFrame:
+    """``node, low, n, bucket``: nodes that share a signature, the smallest of them and their number.
 
+    Signatures that the same nodes share make one bucket.
+    """
+    w = Window.partitionBy("sig")
+    met = signature_rows(docs, width, p, q, level).select(
+        "node", F.count(F.lit(1)).over(w).alias("n"), F.min("node").over(w).alias("low"), F.bit_xor(F.xxhash64("node")).over(w).alias("mark")
+    )
+    met = met.where("n > 1").select("node", "low", "n", F.xxhash64("n", "low", "mark").alias("bucket"))
+    return met.dropDuplicates(["bucket", "node"])
 
-def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``FREQUENT`` of the most frequent shingles, sorted, and their counts.
 
-    They only order shingles, and any order is right; counts that a task saw once are left out.
-    """
+def _candidates(buckets: DataFrame) -> DataFrame:
+    """Distinct ``a, b``: all pairs of small buckets, and the stars of large ones."""
+    few = buckets.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    few = few.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    many = buckets.where(F.col("n") > SMALL).select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
+    return few.unionByName(many).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
 
-        def emit() -> pa.RecordBatch:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h[n > 1].view(np.int64)), pa.array(n[n > 1])], ["h", "n"])
+def _of_nodes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose node occurs in ``pairs``."""
+    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    return docs.join(sized(nodes), "node")
+
 
+def _linked(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """Those of the candidate ``pairs`` (a table) whose sets are similar enough, as a table."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, flat, _ in shingle_sets(batch.column("text"), width):
-                held.append(flat)
-                size += len(flat)
-                if size > HELD:
-                    yield emit()
-                    size = 0
-        if held:
-            yield emit()
-
-    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toArrow()
-    h = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], top.column("n").to_numpy()[order]
-
-
-def _rare_rows(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], width: int, p: int, q: int) -> DataFrame:
-    """``node, sig``: the first shingles of each set, frequent ones last; linked sets share one of them."""
-    known, count = frequent
+            for i, flat, sizes in shingle_sets(batch.column("text"), width):
+                cols = [batch.column("node").slice(i, len(sizes)), pa.array(sizes, pa.int64()), pa.array(sketches(flat, sizes), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "n", "bits"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            least = np.fromiter(map(least_difference, batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()), np.int64, len(n))
+            yield batch.select(["a", "b"]).filter(pa.array((q + p) * least <= (q - p) * n))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column("node").to_numpy()
             for i, flat, sizes in shingle_sets(batch.column("text"), width):
-                n = np.zeros(len(flat), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                    n = np.where(known[at] == flat, count[at], 0)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((flat, n, owner))
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                first = place < (sizes - -(-sizes * p // q) + 1)[owner]
-                rows = order[first]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[i + owner[rows]]), pa.array(flat[rows].view(np.int64))], ["node", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, len(sizes)), _list(flat.view(np.int64), sizes)], ["node", "grams"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, sig long")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, True))
+                same.append(q * both >= p * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
+
+    def ends(values: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+        return tuple(values.select(F.col("node").alias(end), *(F.col(k).alias(new + end) for k, new in zip(values.columns[1:], names, strict=True))) for end in "ab")
+
+    sketched = stored(_of_nodes(docs, pairs).mapInArrow(sketch, "node long, n long, bits binary"))
+    at_a, at_b = ends(sketched, "n", "bits_")
+    near = stored(pairs.join(at_a, "a").join(at_b, "b").mapInArrow(sift, "a long, b long"))
+    grams = stored(_of_nodes(docs, near).mapInArrow(sets, "node long, grams array<long>"))
+    at_a, at_b = ends(grams, "g")
+    linked = stored(near.join(at_a, "a").join(at_b, "b").mapInArrow(compare, "a long, b long"))
+    discard(sketched, near, grams)
+    return linked
 
 
 def links(docs: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
-    """Links ``(a, b)`` that make up the components of the exact join of ``docs(node, text)``.
+    """Links ``(a, b)`` (a table) that make up the components of the exact join of ``docs(node, text)``.
 
     ``docs`` holds one row of each distinct set. Every pair of linked nodes is either returned or joined by
     a path of returned links.
     """
-    rows = signature_rows(docs, width, p, q)
-    near = stored(components(_star(rows)).select("node"))
-    texts = docs.join(sized(near), "node")
-    family = stored(components(_star(_rare_rows(texts, _frequent(texts, width), width, p, q))).select("node", F.col("root").alias("family")))
+    found, texts = None, docs
+    for level in range(LEVELS):
+        buckets = stored(_buckets(texts, width, p, q, level))
+        pairs = stored(_candidates(buckets))
+        new = _linked(texts, pairs, width, p, q)
+        found = found.unionByName(new) if found else new
+        large = buckets.where(F.col("n") > SMALL)
+        root = components(found).where("root <> node")
+        rooted = large.join(root, "node", "left").select("bucket", "node", "low", F.coalesce("root", "node").alias("root"))
+        ends = rooted.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
+        stars = stored(large.join(ends, "bucket", "left_semi").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+        discard(buckets, pairs, *([texts] if level else []))
+        if stars.isEmpty():
+            return found
+        # A bucket's smallest node is one of its nodes.
+        texts = stored(docs.join(sized(stored(stars.select(F.col("a").alias("node")).distinct())), "node"))
+    return found.unionByName(_within_families(texts, stars, width, p, q))
+
+
+def _within_families(docs: DataFrame, stars: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """Links ``(a, b)`` that join what is linked inside the components of ``stars(a, b)``."""
+    family = stored(components(stars).select("node", F.col("root").alias("family")))
     wanted = docs.join(sized(family), "node")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,21 +487,43 @@ def links(docs: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFr
     found = _prefixes(rest, p, q)
     left = found.where("side = 0").select("family", "la", "lb", "h", F.col("node").alias("a"), F.col("e").alias("ea"), "out")
     right = found.where("side = 1").select("family", "la", "lb", "h", F.col("node").alias("b"), F.col("e").alias("eb"), F.col("out").alias("out_b"))
-    pairs = (
+    pairs = stored(
         left.join(right, ["family", "la", "lb", "h"])
         .where("a <> b and (la <> lb or a < b) and out + out_b > 0")
         .select("family", "a", "b", "ea", "eb")
         .distinct()
     )
-    both = F.concat("added", "removed")
-    sets_ = diff.select("family", "node", both.alias("d"))
+    paired = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets_ = diff.join(sized(paired), "node", "left_semi").select("family", "node", F.concat("added", "removed").alias("d"))
     checked = (
         pairs.join(sets_.select("family", F.col("node").alias("a"), F.col("d").alias("da")), ["family", "a"])
         .join(sets_.select("family", F.col("node").alias("b"), F.col("d").alias("db")), ["family", "b"])
         .where(F.size(F.array_intersect("da", "db")) * F.lit(2 * (p + q)) >= F.col("ea") + F.col("eb"))
         .select("a", "b")
     )
-    return direct.unionByName(checked)
+    result = stored(direct.unionByName(checked))
+    discard(family, members, diff, pairs, paired)
+    return result
+
+
+def _several(feats: DataFrame) -> DataFrame:
+    """``doc_id`` of the ids whose rows hold several sets."""
+    of_id = feats.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id")
+    return of_id.agg(F.min(F.struct("d1", "d2")).alias("lo"), F.max(F.struct("d1", "d2")).alias("hi")).where("lo <> hi").select("doc_id")
+
+
+def _own_nodes(docs: DataFrame, feats: DataFrame, several: DataFrame, low: DataFrame, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes below every id for sets that only the ids of ``several`` hold: ``d1, d2, node``, their texts, and the edges of those ids."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(several, "doc_id", "left_semi")
+    held = stored(features(rows, width, True).where("n_shingles > 0"))
+    least = feats.agg(F.least(F.min("doc_id"), F.lit(0))).first()[0]
+    loose = held.select("d1", "d2").distinct().join(low, ["d1", "d2"], "left_anti")
+    loose = stored(loose.withColumn("node", F.lit(least) - 1 - F.monotonically_increasing_id()))
+    texts = held.join(loose, ["d1", "d2"]).groupBy("node").agg(F.min("text").alias("text"))
+    nodes = low.select("d1", "d2", "node").unionByName(loose)
+    ends = held.join(nodes, ["d1", "d2"]).select("doc_id", "node").distinct()
+    star = ends.groupBy("doc_id").agg(F.min("node").alias("b"))
+    return loose, stored(texts), stored(ends.join(star, "doc_id").select(F.col("node").alias("a"), "b"))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
@@ -434,18 +531,35 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, p: int = P, q: int =
 
     Two documents link when ``q * |A & B| >= p * |A | B|``; ``component_id`` is the smallest doc_id
     that links reach. Null or wordless text: empty set, no link, its own id. Repeated rows link like
-    any copies. A null doc_id gets the component of its text's documents, null if there are none.
-    Extra columns are ignored, an empty table gives an empty result. doc_id is taken as the key.
+    any copies, and rows that repeat an id with other texts are one document, linked by any of them. A null
+    doc_id gets the component of its text's documents, null if there are none. Extra columns are ignored,
+    an empty table gives an empty result.
     """
     feats = stored(features(docs, width))
-    low = feats.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+    several = stored(_several(feats))
+    repeated = not several.isEmpty()
+    single = feats.join(sized(several), "doc_id", "left_anti") if repeated else feats
+    low = single.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
     low = stored(low.where("node is not null"))
     # Rows other than the one that stands for its set: copies, and rows without a set or an id.
     copies = low.where("copies > 1").drop("copies")
-    spare = stored(feats.where("n_shingles > 0").join(copies, ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("node")))
-    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null")
-    joined = components(links(own.join(sized(spare), "node", "left_anti"), width, p, q)).where("root <> node")
-    known = low.join(joined, "node", "left").where("copies > 1 or root is not null").select("d1", "d2", F.coalesce("root", "node").alias("root"))
+    spare = single.where("n_shingles > 0").join(copies, ["d1", "d2"]).where("doc_id <> node").select(F.col("doc_id").alias("node"))
+    spare = stored(spare.unionByName(several.select(F.col("doc_id").alias("node"))))
+    own = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null").join(sized(spare), "node", "left_anti")
+    if not repeated:
+        joined = components(links(own, width, p, q)).where("root <> node")
+        known = low
+    else:
+        loose, texts, edges = _own_nodes(docs, feats, several, low, width)
+        joined = components(links(own.unionByName(texts), width, p, q).unionByName(edges))
+        known = low.select("d1", "d2", "node").unionByName(loose)
+    known = known.join(joined, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"), *(() if repeated else ("copies", "node")))
+    if not repeated:  # a set of one row needs no entry unless it is linked
+        known = known.where("copies > 1 or root <> node").drop("copies", "node")
+    if repeated:  # the smallest node of a component need not be an id there
+        known = stored(known)
+        ids = feats.where("n_shingles > 0").join(known, ["d1", "d2"]).groupBy("root").agg(F.min("doc_id").alias("id"))
+        known = known.join(ids, "root").select("d1", "d2", F.col("id").alias("root"))
     return feats.join(known, ["d1", "d2"], "left").select(
         "doc_id",
         "n_shingles",

@@ -77,3 +77,44 @@ def test_linked_sets_share_a_signature():
                 continue
             sig, per = nj.signatures(np.concatenate([a, b]), np.array([len(a), len(b)]))
             assert len(a) == len(b) and (a == b).all() or set(sig[: per[0]].tolist()) & set(sig[per[0] :].tolist())
+
+
+def test_repeated_ids(spark):
+    """An id whose rows hold several texts is one document, linked by any of them."""
+    words = [f"w{i}" for i in range(60)]
+    a, b, near = "p q r s t", " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(5, a), (7, a), (7, b), (8, near), (9, "u v w x y"), (9, "u v w x z"), (10, "u v w x z"), (None, b), (11, None), (11, a + " e")]
+    got = sorted(map(tuple, nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(5, 3, 5), (7, 3, 5), (7, 58, 5), (8, 58, 5), (9, 3, 9), (9, 3, 9), (10, 3, 9), (None, 58, 5), (11, 0, 11), (11, 4, 11)]
+    assert got == sorted(want, key=str)
+
+
+def test_hot_families(spark, monkeypatch):
+    """Large buckets of unlinked and linked near copies go through all levels and the families."""
+    monkeypatch.setattr(nj, "SMALL", 2)
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(3000)}"
+    base, rows = [word() for _ in range(150)], []
+    passage = [word() for _ in range(70)]
+    for i in range(70):
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 6])):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append((2 * i, " ".join(copy)))
+        rows.append((2 * i + 1, " ".join([word() for _ in range(60)] + passage)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, p in ((3, 90), (5, 80)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in nj.jaccard_components(df, width, p, 100).collect()}
+        want = _brute(rows, width, p, 100)
+        assert got == want
+        assert 1 < len({c for i, (_, c) in want.items() if i % 2 == 0}) < 70
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 40, 300, 2000):
+        base = np.unique(rng.integers(1, 2**63, n + n // 3 + 2).astype(np.uint64))
+        a, b = base[:n], base[n // 5 :]
+        x, y = nj.sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
+        assert nj.least_difference(x, y) == nj.least_difference(y, x) <= len(np.setxor1d(a, b))
+        assert nj.least_difference(x, x) == 0
