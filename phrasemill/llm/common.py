@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only after a count has shown at most so many rows.
@@ -62,6 +62,32 @@ def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
 
 
+def buckets_of(rows: DataFrame) -> DataFrame:
+    """``node, low, n, bucket`` of ``rows(node, sig)``: nodes that share a signature, the smallest of them and their number.
+
+    One exchange of 16-byte rows. Signatures that the same nodes share make one bucket.
+    """
+    w = Window.partitionBy("sig")
+    met = rows.select("node", F.count(F.lit(1)).over(w).alias("n"), F.min("node").over(w).alias("low"), F.bit_xor(F.xxhash64("node")).over(w).alias("mark"))
+    return met.where("n > 1").select("node", "low", "n", F.xxhash64("n", "low", "mark").alias("bucket")).dropDuplicates(["bucket", "node"])
+
+
+def candidates(buckets: DataFrame, small: int) -> DataFrame:
+    """Distinct ``a, b``: all pairs of buckets of at most ``small`` nodes, and the stars of larger ones."""
+    few = buckets.where(F.col("n") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("m"))
+    few = few.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    many = buckets.where(F.col("n") > small).select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
+    return few.unionByName(many).distinct()
+
+
+def still_open(buckets: DataFrame, small: int, links: DataFrame) -> DataFrame:
+    """The rows of buckets of more than ``small`` nodes that ``links(a, b)`` don't join to one component."""
+    large = buckets.where(F.col("n") > small)
+    rooted = large.join(components(links).where("root <> node"), "node", "left").select("bucket", F.coalesce("root", "node").alias("root"))
+    ends = rooted.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
+    return large.join(ends, "bucket", "left_semi")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)``, root being the smallest node.
 

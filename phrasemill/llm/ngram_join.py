@@ -40,10 +40,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import components, discard, sized, stored
+from phrasemill.llm.common import buckets_of, candidates, components, discard, sized, still_open, stored
 
 WIDTH, P, Q = 3, 90, 100
 N2 = 3
@@ -352,27 +352,6 @@ def _prefixes(members: DataFrame, p: int, q: int) -> DataFrame:
     return members.mapInArrow(run, "family long, la long, lb long, node long, e long, out long, side long, h long")
 
 
-def _buckets(docs: DataFrame, width: int, p: int, q: int, level: int) -> DataFrame:
-    """``node, low, n, bucket``: nodes that share a signature, the smallest of them and their number.
-
-    Signatures that the same nodes share make one bucket.
-    """
-    w = Window.partitionBy("sig")
-    met = signature_rows(docs, width, p, q, level).select(
-        "node", F.count(F.lit(1)).over(w).alias("n"), F.min("node").over(w).alias("low"), F.bit_xor(F.xxhash64("node")).over(w).alias("mark")
-    )
-    met = met.where("n > 1").select("node", "low", "n", F.xxhash64("n", "low", "mark").alias("bucket"))
-    return met.dropDuplicates(["bucket", "node"])
-
-
-def _candidates(buckets: DataFrame) -> DataFrame:
-    """Distinct ``a, b``: all pairs of small buckets, and the stars of large ones."""
-    few = buckets.where(F.col("n") <= SMALL).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    few = few.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    many = buckets.where(F.col("n") > SMALL).select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
-    return few.unionByName(many).distinct()
-
-
 def _of_nodes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose node occurs in ``pairs``."""
     nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
@@ -429,15 +408,11 @@ def links(docs: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFr
     """
     found, texts = None, docs
     for level in range(LEVELS):
-        buckets = stored(_buckets(texts, width, p, q, level))
-        pairs = stored(_candidates(buckets))
+        buckets = stored(buckets_of(signature_rows(texts, width, p, q, level)))
+        pairs = stored(candidates(buckets, SMALL))
         new = _linked(texts, pairs, width, p, q)
         found = found.unionByName(new) if found else new
-        large = buckets.where(F.col("n") > SMALL)
-        root = components(found).where("root <> node")
-        rooted = large.join(root, "node", "left").select("bucket", "node", "low", F.coalesce("root", "node").alias("root"))
-        ends = rooted.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
-        stars = stored(large.join(ends, "bucket", "left_semi").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+        stars = stored(still_open(buckets, SMALL, found).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
         discard(buckets, pairs, *([texts] if level else []))
         if stars.isEmpty():
             return found

@@ -133,31 +133,79 @@ def test_media(spark):
     assert media.copies(spark.createDataFrame([], "id long, data binary")).count() == 0
 
 
-def test_media_bands_meet_at_reach(spark):
+def _turned(a, degrees, scale=1.0):
+    """The picture turned about its middle and resized, by linear interpolation, on its own frame."""
+    n = a.shape[0]
+    y, x = np.mgrid[:n, :n] - (n - 1) / 2
+    c, s = np.cos(np.radians(degrees)) / scale, np.sin(np.radians(degrees)) / scale
+    fy, fx = np.clip(y * c + x * s + (n - 1) / 2, 0, n - 1.001), np.clip(x * c - y * s + (n - 1) / 2, 0, n - 1.001)
+    i, j = fy.astype(int), fx.astype(int)
+    v, u = fy - i, fx - j
+    return a[i, j] * (1 - v) * (1 - u) + a[i + 1, j] * v * (1 - u) + a[i, j + 1] * (1 - v) * u + a[i + 1, j + 1] * v * u
+
+
+def test_media_edits_of_larger_pictures(spark):
+    rng = np.random.default_rng(8)
+
+    def scene():
+        a = rng.standard_normal((160, 160))
+        for _ in range(3):
+            a = media._blur(a)
+        return 128 + 40 * a / a.std()
+
+    base = [scene() for _ in range(4)]
+    a = base[0]
+    edits = [media.shrunk(a, 1.25), _turned(a, 10), _turned(a, 25, 0.9), media.shrunk(a, 1.5), a[30:130, 20:150], a[::-1, ::-1] + rng.normal(0, 4, a.shape)]
+    rows = [(i, media.png(p)) for i, p in enumerate([*base, *edits])]
+    got = {r.id: (r.class_id, r.class_size) for r in media.copies(spark.createDataFrame(rows, "id long, data binary")).collect()}
+    assert [got[i] for i in range(4)] == [(0, 7), (1, 1), (2, 1), (3, 1)]
+    assert [got[i][0] for i in range(4, 10)] == [0] * 6
+
+
+def test_media_keys_meet():
     rng = np.random.default_rng(4)
-    n, rows, pairs = 300, [], {}
-    for i in range(n):
-        d = rng.integers(0, 256, media.BITS // 8, np.uint8)
-        other, far = np.unpackbits(d), (8, 12, 15, 20, 24)[i % 5]
-        other[rng.choice(media.BITS, far, replace=False)] ^= 1
-        rows += [(2 * i, bytearray(d.tobytes())), (2 * i + 1, bytearray(np.packbits(other).tobytes()))]
-        pairs.setdefault(far, []).append((2 * i, 2 * i + 1))
-    bands = {}
-    for r in media._bands(spark.createDataFrame(rows, "node long, bits binary")).collect():
-        bands.setdefault(r.band, set()).add(r.node)
-    met = {(a, b) for nodes in bands.values() for a in nodes for b in nodes if a < b}
-    recall = {far: np.mean([p in met for p in own]) for far, own in pairs.items()}
-    assert recall[8] == recall[12] == recall[15] == 1 and recall[20] > 0.9 and recall[24] > 0.85
-    assert met <= {p for own in pairs.values() for p in own}
-
-
-def test_media_chains_keep_all_within_reach():
-    rng = np.random.default_rng(5)
-    d = np.repeat(rng.integers(0, 1 << 63, (90, 4)).astype(np.uint64), 30, axis=0)
-    d[:, 1:] ^= np.uint64(1) << rng.integers(0, 64, (len(d), 3)).astype(np.uint64)
-    d = d[rng.permutation(len(d))]
-    label = media.chains(d)
-    assert np.array_equal(np.unique(d[:, 0], return_inverse=True)[1][label], np.unique(d[:, 0], return_inverse=True)[1]) and len(np.unique(label)) == 90
+    a = rng.integers(0, 256, (400, media.BITS // 8), np.uint8)
+    for far in (1, 3, 2 * media.PARTS - 1):
+        b = np.unpackbits(a, axis=1)
+        for row in b:
+            row[rng.choice(media.BITS, far, replace=False)] ^= 1
+        b = np.packbits(b, axis=1)
+        for level in (0, 1):
+            assert (media.keys(a, level) == media.keys(b, level)).any(1).all()
+            assert not (media.keys(a, level)[:-1] == media.keys(b, level)[1:]).any()
+
+
+def test_media_recall_against_all_pairs(spark, monkeypatch):
+    """Noisy, cropped and shaded copies, of which some share a frame: classes against consensus of all pairs."""
+    monkeypatch.setattr(media, "SMALL", 2)
+    monkeypatch.setattr(media, "PIVOTS", 2)
+    rng = np.random.default_rng(9)
+    pictures = []
+    for i in range(25):
+        base = media.picture_of(rng.standard_normal(64))
+        for _ in range(1 + i % 3):
+            p = base + rng.normal(0, rng.choice([2, 5, 8]), base.shape)
+            pictures.append(p[: rng.integers(50, 64), : rng.integers(50, 64)])
+    logo = media.picture_of(rng.standard_normal(64))[:30, :30]
+    for _ in range(12):
+        p = media.picture_of(rng.standard_normal(64))
+        p[:30, :30] = logo
+        pictures.append(p)
+    pictures += [pictures[0], pictures[0]]
+    data = [media.png(p) for p in pictures]
+    known = [media.describe(media.decode(d)) for d in data]
+    parent, links = list(range(len(data))), 0
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    pairs = [(i, j) for i in range(len(data)) for j in range(i + 1, len(data)) if media.consensus(known[i], known[j]) >= media.MIN_VOTES]
+    for i, j in pairs:
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    df = spark.createDataFrame(list(enumerate(data)), "id long, data binary")
+    got = {r.id: r.class_id for r in media.copies(df).collect()}
+    assert len(pairs) > 30 and np.mean([got[i] == got[j] for i, j in pairs]) >= 0.9
+    assert all(root(i) == root(c) for i, c in got.items())
 
 
 def test_picture_formats():
