@@ -6,18 +6,24 @@ two-step softmax (band of the vocabulary, then word of the band). It is trained
 
 * the vocabulary comes from word counts over all documents (counted per task, then summed by word); words
   beyond it share hashed buckets for the network, and a bucket's probability is dealt among its words by their
-  counts (a table joined on the word; one count a bucket is kept for words that were never counted);
+  counts (of the ``COMMON`` most frequent ones in every task, of all others from a table joined on the word; one
+  count a bucket is kept for words that were never counted);
+* every text is cut into words once more, to 16-bit ids that training and scoring read;
 * each round, every task starts from the same parameters, masks one of ``ROUNDS`` parts of the positions of each
-  of its documents, drawn by a hash of the text, and takes gradient steps on them, so that all rounds together
+  of its documents, drawn by a hash of the ids, and takes gradient steps on them, so that all rounds together
   train on every position once; the tasks' parameters
   are averaged by their numbers of targets, first in ``FOLD`` partial means, then on the driver, which
   sees at most ``FOLD`` parameter vectors whatever the input;
-* scoring maps over whole texts; only words beyond the vocabulary that were counted twice or more are joined.
+* scoring maps over the ids of whole texts.
+
+As tasks take their steps locally, the parameters (not the method) depend on how the rows are dealt to tasks: the
+same files give the same scores, files written anew slightly different ones.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -30,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import sized, stored
+from phrasemill.llm.common import discard, sized, stored
 
 WINDOW = 2
 BANDS, WIDTH = 32, 64
@@ -44,7 +50,10 @@ ROUNDS, STEP, RATE = 2, 2048, 0.1
 FOLD = 64
 #: Entries of a task's word count or id cache before it is emptied.
 MEMORY = 200_000
-CHUNK = 1 << 19
+#: Words beyond the vocabulary whose counts every task holds.
+COMMON = 200_000
+#: Tokens that a task trains on or scores at once.
+CHUNK = 1 << 17
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 SHAPES = {
@@ -116,9 +125,6 @@ class Network:
                 out[rows] += _log_softmax_at(h[rows] @ self.p["word"][band] + self.p["word_bias"][band], target[rows] % WIDTH)
         return out
 
-    def scorer(self) -> Scorer:
-        return Scorer(self)
-
     def gradient(self, context: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
         """Gradient of the mean negative log-probability."""
         # In the order of bands, so that each band's rows are a slice.
@@ -214,40 +220,29 @@ def _softmax_minus(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return logits
 
 
-def _runs(texts: list[str]) -> Iterator[list[str]]:
-    """Consecutive texts of about ``CHUNK`` characters together."""
-    own, size = [], 0
-    for t in texts:
-        own.append(t)
-        size += len(t)
-        if size >= CHUNK:
-            yield own
-            own, size = [], 0
-    if own:
-        yield own
-
-
-def contexts(texts: list[str], ids: Ids, beyond: list[Counter] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(padded ids, positions of tokens in them, number of tokens per text)``; ``beyond`` gets each text's words in buckets."""
-    edge = np.full(WINDOW, EDGE)
-    parts, per = [edge], []
-    for t in texts:
-        own = words(t)
-        per.append(len(own))
-        parts += [np.fromiter(map(ids.__getitem__, own), np.int64, len(own)), edge]
-        if beyond is not None:
-            beyond.append(Counter(itertools.compress(own, parts[-2] >= WORDS)))
-    flat, per_ = np.concatenate(parts), np.array(per, np.int64)
-    return flat, np.arange(per_.sum()) + WINDOW * (1 + np.repeat(np.arange(len(texts)), per_)), per_
+def padded(ids: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(first row, padded ids, positions of tokens in them, number of tokens per row)`` for runs of about ``CHUNK`` tokens."""
+    ids = ids.cast(pa.large_binary())
+    offsets = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] // 2
+    data = np.frombuffer(ids.buffers()[2] or b"", np.uint16)
+    i = 0
+    while i < len(ids):
+        j = min(len(ids), max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1))
+        per = np.diff(offsets[i : j + 1])
+        at = np.arange(per.sum()) + WINDOW * (1 + np.repeat(np.arange(j - i), per))
+        flat = np.full(len(at) + WINDOW * (j - i + 1), EDGE, np.int64)
+        flat[at] = data[offsets[i] : offsets[j]]
+        yield i, flat, at, per
+        i = j
 
 
 def around(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     return flat[at[:, None] + np.array([k for k in range(-WINDOW, WINDOW + 1) if k])]
 
 
-def drawn(texts: list[str], per: np.ndarray, round_: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Which tokens of the texts a round trains on; each belongs to one of ``rounds`` rounds."""
-    salt = np.repeat([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], per).astype(np.uint64)
+def drawn(ids: list[bytes], per: np.ndarray, round_: int, rounds: int = ROUNDS) -> np.ndarray:
+    """Which tokens of the rows a round trains on; each belongs to one of ``rounds`` rounds."""
+    salt = np.repeat(np.array([zlib.crc32(x) for x in ids], np.uint64), per)
     place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
     draw = (salt + place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     return (draw >> np.uint64(40)) % np.uint64(rounds) == round_
@@ -276,29 +271,66 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Model:
-    """``rare``: ``word, n`` of the words beyond the vocabulary that were counted more than once; ``totals``: counts of each bucket."""
+    """``common``: counts of the most frequent words beyond the vocabulary; ``rare``: ``word, n`` of the others that were
+    counted more than once; ``totals``: counts of each bucket."""
 
     vocabulary: list[str]
     flat: np.ndarray
+    common: dict[str, int] = field(default_factory=dict)
     rare: DataFrame | None = None
     totals: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))
 
 
-def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
-    """Vocabulary and network from all rows. Without any token the network stays as initialised."""
+def lexicon(docs: DataFrame, text: str = "text") -> Model:
+    """The words of all rows, and a network as initialised."""
     counts = stored(count_words(docs, text))
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    model = Model([r.word for r in top], Network.new().flat())
-    known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in model.vocabulary], "word string"))
-    others = counts.join(known, "word", "left_anti")
-    model.rare = others.where("n > 1")
-    for row in others.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).collect():
-        model.totals[row.bucket] = row.n
-    for round_ in range(rounds if top else 0):
-        vocabulary, start = model.vocabulary, model.flat
-
-        def run(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary, start=start, round_=round_) -> Iterator[pa.RecordBatch]:
-            net, ids, seen, total = Network.of(start), Ids(vocabulary), {}, 0
+    top = counts.orderBy(F.desc("n"), "word").limit(WORDS + COMMON).toArrow()
+    listed, n = top.column("word").to_pylist(), top.column("n").to_pylist()
+    model = Model(listed[:WORDS], Network.new().flat(), dict(zip(listed[WORDS:], n[WORDS:], strict=True)))
+    for word, k in model.common.items():
+        model.totals[zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS] += k
+    if len(model.common) == COMMON:  # words as frequent as the last one listed are told apart by name
+        last, least = listed[-1], n[-1]
+        others = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)))
+        model.rare = others.where("n > 1")
+        for row in others.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+            model.totals[row.bucket] += row.n
+    return model
+
+
+def encoded(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``row, key, ids, more, words, times`` (a table): 16-bit ids of each row's tokens, the summed log counts of its
+    common words, and how often it holds each of the other words beyond the vocabulary."""
+    vocabulary, common = model.vocabulary, model.common
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, log = Ids(vocabulary), {w: math.log(n) for w, n in common.items()}
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            blobs, more, beyond = [], [], []
+            for value in batch.column(text):
+                own = words(value.as_py() or "")
+                found = np.fromiter(map(ids.__getitem__, own), np.uint16, len(own))
+                blobs.append(found.tobytes())
+                outside = Counter(itertools.compress(own, (found >= WORDS).tolist()))
+                more.append(math.fsum(k * log[w] for w, k in outside.items() if w in log))
+                beyond.append({w: k for w, k in outside.items() if w not in log})
+            rows = pa.array(np.arange(row, row + len(blobs)))
+            row += len(blobs)
+            lists = pa.array([list(c) for c in beyond], pa.list_(pa.string())), pa.array([list(c.values()) for c in beyond], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows, batch.column(key), pa.array(blobs, pa.binary()), pa.array(more, pa.float64()), *lists], ["row", key, "ids", "more", "words", "times"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return stored(docs.select(key, text).mapInArrow(run, f"row long, `{key}` {kind}, ids binary, more double, words array<string>, times array<long>"))
+
+
+def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
+    """Trains the network of ``model`` on all positions of ``rows(ids)``. Without any token it stays as initialised."""
+    for round_ in range(rounds):
+        start = model.flat
+
+        def run(batches: Iterator[pa.RecordBatch], start=start, round_=round_) -> Iterator[pa.RecordBatch]:
+            net, seen, total = Network.of(start), {}, 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
             def learn(least: int) -> None:
@@ -308,16 +340,14 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
                     held[:] = [(c[STEP:], t[STEP:])] if len(t) > STEP else []
 
             for batch in batches:
-                for own in _runs([v or "" for v in batch.column(text).to_pylist()]):
-                    flat, at, per = contexts(own, ids)
+                for first, flat, at, per in padded(batch.column("ids")):
+                    at = at[drawn(batch.column("ids").slice(first, len(per)).to_pylist(), per, round_, rounds)]
                     if not len(at):
                         continue
-                    at = at[drawn(own, per, round_, rounds)]
                     at = np.random.Generator(np.random.PCG64(len(at))).permutation(at)
-                    context, target = around(flat, at), flat[at]
                     total += len(at)
                     for i in range(0, len(at), STEP):
-                        held.append((context[i : i + STEP], target[i : i + STEP]))
+                        held.append((around(flat, at[i : i + STEP]), flat[at[i : i + STEP]]))
                         learn(STEP)
             learn(1)
             if total:
@@ -332,51 +362,55 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())], ["n", "flat"])
 
         schema = "n long, flat binary"
-        parts = docs.select(text).mapInArrow(run, schema).repartition(FOLD).mapInArrow(mean, schema).collect()
+        parts = rows.select("ids").mapInArrow(run, schema).repartition(FOLD).mapInArrow(mean, schema).collect()
         n = sum(r.n for r in parts)
         if n:
             model.flat = sum(r.n / n * np.frombuffer(r.flat, np.float32).astype(np.float64) for r in sorted(parts, key=lambda r: (r.n, bytes(r.flat)))).astype(np.float32)
-    return model
 
 
-def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_tokens, log_prob, mean_log_prob`` of each row; the mean is null without tokens."""
-    vocabulary, start = model.vocabulary, model.flat
+def score(rows: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
+    """``key, n_tokens, log_prob, mean_log_prob`` of each of the ``encoded`` rows; the mean is null without tokens."""
+    start = model.flat
     # A word's share of its bucket is n / (total + 1), n being 1 for words that were never counted.
     below = np.concatenate([np.zeros(WORDS), np.log(model.totals + 1), [0.0]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, ids = Network.of(start).scorer(), Ids(vocabulary)
-        row = TaskContext.get().partitionId() << 33
+        scorer = Scorer(Network.of(start))
         for batch in batches:
-            sums, count, beyond = [], [], []
-            for own in _runs([v or "" for v in batch.column(text).to_pylist()]):
-                flat, at, per = contexts(own, ids, beyond)
+            sums, count = [np.empty(0)], [np.empty(0, np.int64)]
+            for _, flat, at, per in padded(batch.column("ids")):
                 logs = scorer(flat, at) - below[flat[at]]
-                sums.append(np.bincount(np.repeat(np.arange(len(own)), per), logs, len(own)))
+                sums.append(np.bincount(np.repeat(np.arange(len(per)), per), logs, len(per)))
                 count.append(per)
-            total, n = np.concatenate(sums or [np.empty(0)]), np.concatenate(count or [np.empty(0, np.int64)])
-            rows = pa.array(np.arange(row, row + len(n)))
-            row += len(n)
-            found, times = pa.array([list(c) for c in beyond], pa.list_(pa.string())), pa.array([list(c.values()) for c in beyond], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows, batch.column(key), pa.array(n, pa.int64()), pa.array(total), found, times], ["row", key, "n_tokens", "log_prob", "words", "times"])
+            total = np.concatenate(sums) + batch.column("more").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column(key), pa.array(np.concatenate(count)), pa.array(total)], ["row", key, "n_tokens", "log_prob"])
 
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"row long, `{key}` {kind}, n_tokens long, log_prob double, words array<string>, times array<long>"
-    scored = docs.select(key, text).mapInArrow(run, schema)
+    kind = rows.schema[key].dataType.simpleString()
+    scored = rows.select("row", key, "ids", "more").mapInArrow(run, f"row long, `{key}` {kind}, n_tokens long, log_prob double")
     if model.rare is not None:
-        scored = stored(scored)
-        beyond = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
+        beyond = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
         shares = beyond.join(sized(model.rare), "word").groupBy("row").agg(F.sum(F.col("times") * F.log("n")).alias("more"))
         scored = scored.join(shares, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob")
     return scored.select(key, "n_tokens", "log_prob", mean)
 
 
+def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
+    """Lexicon and trained network of all rows."""
+    model = lexicon(docs, text)
+    rows = encoded(docs.select(F.lit(0).alias("doc_id"), text), model, "doc_id", text)
+    train(rows, model, rounds)
+    discard(rows)
+    return model
+
+
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """The scores of ``docs(doc_id, text, ...)`` under a network trained on all of them.
 
     Null, empty and wordless texts: no token, log_prob 0, mean null. Repeated rows score alike (and weigh as
     often in training). An empty table gives an empty result; other columns are ignored.
     """
-    return score(docs, fit(docs))
+    model = lexicon(docs)
+    rows = encoded(docs, model)
+    train(rows, model)
+    return score(rows, model)

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from phrasemill.llm import chat, licenses, media, pseudo_likelihood, token_counts
@@ -73,12 +75,60 @@ def test_pseudo_likelihood(spark):
 def test_every_position_is_trained_once():
     texts = ["a b c d e f g h " * 40, "", "x y", "a b c d e f g h " * 40]
     per = np.array([len(pseudo_likelihood.words(t)) for t in texts])
-    each = [pseudo_likelihood.drawn(texts, per, k) for k in range(pseudo_likelihood.ROUNDS)]
+    each = [pseudo_likelihood.drawn([t.encode() for t in texts], per, k) for k in range(pseudo_likelihood.ROUNDS)]
     assert np.array_equal(np.sum(each, 0), np.ones(per.sum())) and min(e.sum() for e in each) > 100
 
 
-def test_words_of_a_bucket_have_their_own_share(spark):
+def test_scorer_equals_the_network_token_by_token(spark):
     pl = pseudo_likelihood
+    net, rng = pl.Network.new(3), np.random.default_rng(2)
+    for p in net.p.values():
+        p += rng.normal(0, 0.3, p.shape).astype(np.float32)
+    rows = [rng.integers(0, pl.VOCABULARY - 1, n).astype(np.uint16) for n in (0, 1, 2, 700, 0, 40)]
+    (_, flat, at, per), = pl.padded(pa.array([r.tobytes() for r in rows], pa.binary()))
+    assert per.tolist() == [len(r) for r in rows]
+    got = pl.Scorer(net)(flat, at, 128)
+    assert got == pytest.approx(net.log_probs(pl.around(flat, at), flat[at]), abs=1e-3)
+    p, k = {name: v.astype(float) for name, v in net.p.items()}, 0
+    for r in rows:
+        full = [pl.EDGE] * pl.WINDOW + r.tolist() + [pl.EDGE] * pl.WINDOW
+        for i in range(pl.WINDOW, len(full) - pl.WINDOW)[:50]:
+            x = np.concatenate([p["embed"][full[i + d]] for d in range(-pl.WINDOW, pl.WINDOW + 1) if d])
+            h = np.tanh(x @ p["mixer"] + p["mixer_bias"])
+            band, word = divmod(full[i], pl.WIDTH)
+            total = 0
+            for logits, own in ((h @ p["band"] + p["band_bias"], band), (h @ p["word"][band] + p["word_bias"][band], word)):
+                total += logits[own] - np.log(np.exp(logits).sum())
+            assert got[k + i - pl.WINDOW] == pytest.approx(total, abs=2e-3)
+        k += len(r)
+
+
+def test_held_out_texts_are_likelier_than_under_unigrams(spark):
+    """Texts of a Markov chain that were not trained on, against the frequencies of single words."""
+    pl, rng = pseudo_likelihood, np.random.default_rng(6)
+    following = {i: rng.integers(0, 40, 3) for i in range(40)}
+
+    def text(n):
+        w = [0]
+        for _ in range(n):
+            w.append(int(rng.choice(following[w[-1]])))
+        return " ".join(f"w{x}" for x in w)
+
+    taught, held = [(i, text(300)) for i in range(300)], [(i, text(300)) for i in range(1000, 1020)]
+    model = pl.fit(spark.createDataFrame(taught, "doc_id long, text string").coalesce(2))
+    rows = pl.encoded(spark.createDataFrame([*held, held[0]], "doc_id long, text string"), model)
+    got = pl.score(rows, model).collect()
+    assert len({r.log_prob for r in got if r.doc_id == 1000}) == 1  # repeated rows score alike
+    counts = Counter(w for _, t in taught for w in t.split())
+    n = sum(counts.values())
+    unigram = np.mean([np.log((counts[w] + 1) / (n + 41)) for _, t in held for w in t.split()])
+    assert np.mean([r.mean_log_prob for r in got]) > unigram + 0.2
+
+
+@pytest.mark.parametrize("held", [200_000, 0])
+def test_words_of_a_bucket_have_their_own_share(spark, monkeypatch, held):
+    pl = pseudo_likelihood
+    monkeypatch.setattr(pl, "COMMON", held)
     first = "zq0"
     other = next(w for w in (f"zq{i}" for i in range(1, 10_000)) if pl.Ids([])[w] == pl.Ids([])[first])
     common = " ".join(f"w{i}" for i in range(pl.WORDS))
@@ -86,10 +136,11 @@ def test_words_of_a_bucket_have_their_own_share(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     model = pl.fit(df)
     assert model.totals.sum() == 4 and first not in model.vocabulary
-    got = {r.doc_id: r.log_prob for r in pl.score(df, model).collect()}
+    got = {r.doc_id: r.log_prob for r in pl.score(pl.encoded(df, model), model).collect()}
     assert got[10] == pytest.approx(got[12] + np.log(3)) and got[10] == got[11] == got[None]
     unseen = next(w for w in (f"zr{i}" for i in range(10_000)) if pl.Ids([])[w] == pl.Ids([])[first])
-    new = pl.score(spark.createDataFrame([(1, f"w0 w1 {unseen} w2 w3")], "doc_id long, text string"), model).first()
+    new = spark.createDataFrame([(1, f"w0 w1 {unseen} w2 w3")], "doc_id long, text string")
+    new = pl.score(pl.encoded(new, model), model).first()
     assert new.log_prob == pytest.approx(got[12])
 
 
