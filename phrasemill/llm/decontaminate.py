@@ -1,161 +1,199 @@
 """Benchmark decontamination by template windows.
 
 Numbers, names and units become typed placeholders; the remaining words are lower-cased and stripped of
-punctuation. Every window of ``WIDTH`` canonical tokens is hashed and joined with the windows of the
-benchmark items. Along each alignment (document position minus item position) the slots must be
-consistent: one benchmark value always stands for one document value, so that a re-parameterised question
-is caught and a mere lookalike is not; ``MIN_RUN`` windows without any slot on one alignment are a copy, whatever
-the slots beside them hold. All of it is DataFrame expressions.
+punctuation. A capitalised word that opens a text, a line, a sentence or a quotation may be a name or not, so
+it is read both ways. Every window of ``WIDTH`` canonical tokens is hashed and joined with the windows of the
+benchmark items:
+
+* a window with ``MIN_LITERALS`` words or more by its template, under each reading of its opening words;
+* a window of fewer words (formulas, series, lists of names) by its words and the slots' own values.
+
+Along each alignment (document position minus item position) the slots must be consistent: one benchmark
+value always stands for one document value. Where it does not, the windows around the values that differ
+from the benchmark's are dropped and the others count, so that a re-parameterised question is caught, a long
+copy isn't lost to one changed number, and a mere lookalike is left alone. All of it is DataFrame expressions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import sized, stored
+from phrasemill.llm.common import discard, sized, stored
 
 WIDTH = 5
-#: Windows with fewer literal words say too little; they are not looked up.
+#: Windows with fewer words are looked up with the values of their slots.
 MIN_LITERALS = 3
+#: Shorter items say too little inside another text; they match only a text of the same tokens.
+MIN_TOKENS = 3
 #: An item counts as leaked when this share of its windows is found, or ...
 MIN_SHARE = 0.5
 #: ... when so many windows lie on one alignment (13 words in a row).
 MIN_RUN = 9
 
-# RE2 and Java read these alike: no look-around.
+# RE2 and Java read these alike: no look-around. A slot is wrapped in its mark and END, an opening word follows OPEN.
+OPEN, END = "\x04", "\x05"
+OPENING = "(^|[\\n.!?:\"“”(\\[][\"“(\\[ \\t\\r\\n]*)(\\p{Lu})"
 NAME = r"([\p{Ll}0-9,;] )(\p{Lu}[\p{L}'-]*(?: \p{Lu}[\p{L}'-]*)*)"
 UNIT = (
     r"([0-9]) ?(km|kg|mg|cm|mm|ml|m|g|l|h|s|min|sec|hours?|minutes?|seconds?|days?|weeks?|months?|years?|"
     r"miles?|metres?|meters?|litres?|liters?|grams?|dollars?|euros?|percent)([^\p{L}0-9]|$)"
 )
-NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
-OTHER = r"[^\p{L}\p{M}\x01\x02\x03]+"
+NUMBER = r"([0-9]+(?:[.,][0-9]+)*)"
 SLOTS = {"name": "\x01", "unit": "\x02", "number": "\x03"}
+TOKEN = "[\x01-\x03][^\x05]*\x05|\x04?[\\p{L}\\p{M}]+"
 
 
-# The outer generators below keep Spark from deriving a filter on the size of the generated array, for
-# which it would evaluate the whole expression, lambdas included, once more under the scan.
-
-
-def _canonical(df: DataFrame, text: str) -> DataFrame:
-    """Adds ``tokens`` and, for each kind of slot, the replaced values in order of appearance."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    # A text's own control characters must not pass for slots.
-    df = df.withColumn("__t", F.translate(body, "".join(SLOTS.values()), "   "))
-    df = df.withColumn("v_name", F.regexp_extract_all("__t", F.lit(NAME), F.lit(2))).withColumn("__t", F.regexp_replace("__t", NAME, "$1 \x01 "))
-    df = df.withColumn("v_unit", F.regexp_extract_all("__t", F.lit(UNIT), F.lit(2))).withColumn("__t", F.regexp_replace("__t", UNIT, "$1 \x02 $3"))
-    df = df.withColumn("v_number", F.regexp_extract_all("__t", F.lit(NUMBER), F.lit(0))).withColumn("__t", F.regexp_replace("__t", NUMBER, " \x03 "))
-    line = F.trim(F.regexp_replace(F.lower("__t"), OTHER, " "))
-    return df.withColumn("__t", line).withColumn("tokens", F.when(F.col("__t") == "", F.array().cast("array<string>")).otherwise(F.split("__t", " "))).drop("__t")
-
-
-def _windows(width: int) -> Column:
-    """Hashes of all windows of ``tokens``; a shorter list is one window, an empty one none."""
-    return F.expr(
-        f"CASE WHEN size(tokens) = 0 THEN cast(array() AS array<bigint>) WHEN size(tokens) < {width} THEN array(xxhash64(tokens)) "
-        f"ELSE transform(sequence(1, size(tokens) - {width - 1}), i -> xxhash64(slice(tokens, i, {width}))) END"
-    )
-
-
-def _slot_values(df: DataFrame, key: str) -> DataFrame:
-    """``key, pos, slot, value``: every slot of the canonical rows with the text that it stands for."""
-    def of(kind: str, mark: str) -> Column:
-        at = F.expr(f"filter(transform(tokens, (t, i) -> CASE WHEN t = '{mark}' THEN i END), i -> i IS NOT NULL)")
-        return F.transform(F.arrays_zip(at.alias("p"), F.col(f"v_{kind}").alias("v")), lambda x: F.struct(x["p"].alias("pos"), F.lit(kind).alias("slot"), F.lower(x["v"]).alias("value")))
+def _canonical(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``tokens``: words (after OPEN if they open a sentence) and slots (their mark, the value, END)."""
+    # A text's own control characters must not pass for marks.
+    t = F.translate(F.coalesce(F.col(text), F.lit("")), "".join(SLOTS.values()) + OPEN + END, " " * 5)
+    t = F.regexp_replace(t, OPENING, f"$1{OPEN}$2")
+    t = F.regexp_replace(t, NAME, f"$1 \x01$2{END} ")
+    t = F.regexp_replace(t, UNIT, f"$1 \x02$2{END} $3")
+    t = F.regexp_replace(t, NUMBER, f" \x03$1{END} ")
+    return df.withColumn("tokens", F.regexp_extract_all(F.lower(t), F.lit(TOKEN), F.lit(0)))
 
-    pairs = [of(*kind) for kind in SLOTS.items()]
-    return df.select(key, F.explode_outer(F.concat(*pairs)).alias("s")).select(key, "s.pos", "s.slot", "s.value").where("pos is not null and value is not null")
 
+def _windows(df: DataFrame, widths: list[int]) -> DataFrame:
+    """``pos, h`` beside the other columns of ``df(tokens, ...)``: the hashes of every window.
 
-def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, min_share: float = MIN_SHARE, min_run: int = MIN_RUN) -> DataFrame:
+    ``widths``: what shorter windows are wanted besides those of ``WIDTH``.
+    """
+    others = [c for c in df.columns if c != "tokens"]
+    # The outer generators keep Spark from deriving a filter on the size of the generated array, for which it
+    # would evaluate the whole expression once more under the scan.
+    starts = F.when(F.size("tokens") > 0, F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.slice("tokens", i, F.lit(WIDTH))))
+    rows = df.select(*others, F.size("tokens").alias("n"), F.posexplode_outer(starts).alias("pos", "w"))
+    token = [F.get("w", F.lit(k)) for k in range(WIDTH)]
+    # Slots sort before OPEN, words behind it.
+    template = [F.when(t < OPEN, F.substring(t, 1, 1)).otherwise(F.ltrim(t, F.lit(OPEN))) for t in token]
+    opened = [F.when(t.startswith(OPEN), F.lit(SLOTS["name"])).otherwise(F.when(t < OPEN, F.substring(t, 1, 1)).otherwise(t)) for t in token]
+    value = [F.ltrim(t, F.lit(OPEN)) for t in token]
+    words = reduce(Column.__add__, [(t >= OPEN).cast("int") for t in token])
+    plain = reduce(Column.__add__, [(t >= END).cast("int") for t in token])
+    full = F.size("w") == WIDTH
+    hashes = [
+        F.when(full, F.when(words >= MIN_LITERALS, F.xxhash64(*template)).otherwise(F.xxhash64(*value))),
+        F.when(full & (plain < words) & (plain >= MIN_LITERALS), F.xxhash64(*opened)),
+        F.when((F.col("n") < MIN_TOKENS) & (F.col("pos") == 0), F.xxhash64(*value, F.lit(0))),
+        *(F.when((F.size("w") >= k) & (F.col("n") >= MIN_TOKENS), F.xxhash64(*value[:k], F.lit(k))) for k in widths),
+    ]
+    return rows.select(*others, "pos", F.explode_outer(F.array_compact(F.array(*hashes))).alias("h")).where("h is not null")
+
+
+def _slots(df: DataFrame, key: str) -> DataFrame:
+    """``key, pos, slot, value``: every slot and opening word of ``df(key, tokens)``."""
+    rows = df.select(key, F.posexplode_outer("tokens").alias("pos", "t")).where(F.col("t") < END)
+    kind = reduce(lambda c, kv: c.when(F.col("t").startswith(kv[1]), kv[0]), SLOTS.items(), F).otherwise("name")
+    return rows.select(key, "pos", kind.alias("slot"), F.translate("t", "".join(SLOTS.values()) + OPEN + END, "").alias("value"))
+
+
+def leaks(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE, min_run: int = MIN_RUN) -> DataFrame:
     """``doc_id, item_id, n_windows, item_windows, same_slots`` of each leaked item of each document.
 
     ``docs(doc_id, text, ...)`` and ``items(item_id, text, ...)``; other columns are ignored. Null, empty
-    and wordless texts match nothing. A text of fewer than ``width`` tokens is one window and matches only a
-    text of the same tokens. Rows that repeat a doc_id count as one document; rows without an id
-    are left out. ``same_slots``: all slots in the matched stretch have the benchmark's own values.
+    and wordless texts match nothing. An item of fewer than ``WIDTH`` tokens is one window of them, slots by their
+    values; of fewer than ``MIN_TOKENS``, it matches only a text of the same tokens. Rows that repeat a
+    doc_id count as one document; rows without an id are left out. ``n_windows``: the item's windows that are found
+    on alignments with consistent slots; ``same_slots``: all slots there have the benchmark's own values.
     """
-    bench = _canonical(items.where("item_id is not null").select("item_id", "text").dropDuplicates(), "text")
-    literal = F.expr(f"transform(sequence(1, greatest(size(tokens) - {width - 1}, 1)), i -> size(filter(slice(tokens, i, {width}), t -> t > '\x03')) >= least({MIN_LITERALS}, size(tokens)))")
-    plain = F.expr(f"transform(sequence(1, greatest(size(tokens) - {width - 1}, 1)), i -> forall(slice(tokens, i, {width}), t -> t > '\x03'))")
-    wanted = (
-        bench.where("size(tokens) > 0")
-        .withColumn("w", F.arrays_zip(_windows(width).alias("h"), literal.alias("ok"), plain.alias("plain")))
-        .select("item_id", F.posexplode_outer("w").alias("ipos", "w"))
-        .where("w.ok")
-        .select("item_id", "ipos", F.col("w.h").alias("h"), F.col("w.plain").alias("plain"))
-    )
-    wanted = stored(wanted)
+    bench = _canonical(items.where("item_id is not null").select("item_id", "text").dropDuplicates()).select("item_id", "tokens")
+    bench = stored(bench.where(F.size("tokens") > 0))
+    short = sorted(r.n for r in bench.select(F.size("tokens").alias("n")).where(F.col("n").between(MIN_TOKENS, WIDTH - 1)).distinct().collect())
+    # A window that is shorter than the item and than WIDTH is no window of it.
+    whole = bench.where(F.size("tokens") < WIDTH)
+    wanted = _windows(bench.where(F.size("tokens") >= WIDTH), [])
+    for k in short:
+        wanted = wanted.unionByName(_windows(whole.where(F.size("tokens") == k), [k]))
+    wanted = stored(wanted.unionByName(_windows(whole.where(F.size("tokens") < MIN_TOKENS), [])).withColumnRenamed("pos", "ipos").distinct())
     total = wanted.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
-    rows = _canonical(docs.where("doc_id is not null").select("doc_id", "text"), "text").select("doc_id", "tokens")
-    rows = rows.withColumn("w", _windows(width)).select("doc_id", F.posexplode_outer("w").alias("dpos", "h"))
-    hits = stored(rows.join(sized(wanted), "h").select("doc_id", "item_id", "ipos", "plain", (F.col("dpos") - F.col("ipos")).alias("diag")).distinct())
-    lines = hits.groupBy("doc_id", "item_id", "diag").agg(F.count(F.lit(1)).alias("run"), F.count_if("plain").alias("plain"), F.min("ipos").alias("lo"), (F.max("ipos") + width).alias("hi"))
-    slots = _slot_values(bench, "item_id").select("item_id", F.col("pos").alias("ip"), "slot", F.col("value").alias("theirs"))
-    needed = stored(lines.join(slots, "item_id").where("ip >= lo and ip < hi").select("doc_id", "item_id", "diag", (F.col("ip") + F.col("diag")).alias("pos"), "slot", "theirs"))
+    rows = _windows(_canonical(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", "tokens"), short).withColumnRenamed("pos", "dpos")
+    hits = stored(rows.join(sized(wanted), "h").select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("diag")).distinct())
+    # The slots that the found windows hold, here and there.
+    theirs = _slots(bench, "item_id").select("item_id", F.col("pos").alias("ip"), "slot", F.col("value").alias("theirs"))
+    inside = theirs.select("*", F.explode(F.sequence(F.greatest(F.col("ip") - (WIDTH - 1), F.lit(0)), "ip")).alias("ipos"))
+    needed = stored(hits.join(sized(inside), ["item_id", "ipos"]).select("doc_id", "item_id", "diag", "ip", (F.col("ip") + F.col("diag")).alias("pos"), "slot", "theirs").distinct())
     within = docs.select("doc_id", "text").join(sized(needed.select("doc_id").distinct()), "doc_id", "left_semi")
-    ours = _slot_values(_canonical(within, "text"), "doc_id").select("doc_id", "pos", "slot", F.col("value").alias("ours")).distinct()
-    filled = needed.join(ours, ["doc_id", "pos", "slot"])
-    mapping = (
-        filled.groupBy("doc_id", "item_id", "diag", "slot", "theirs")
-        .agg(F.min("ours").alias("a"), F.max("ours").alias("b"))
-        .groupBy("doc_id", "item_id", "diag")
-        .agg(F.max(F.col("a") != F.col("b")).alias("clash"), F.min((F.col("a") == F.col("theirs")) & (F.col("b") == F.col("theirs"))).alias("same"))
-    )
-    kept = lines.join(mapping, ["doc_id", "item_id", "diag"], "left").where(F.expr("not coalesce(clash, false)") | (F.col("plain") >= min_run)).select("doc_id", "item_id", "diag", "run", F.coalesce("same", F.lit(True)).alias("same"))
-    return (
-        hits.join(kept, ["doc_id", "item_id", "diag"])
-        .groupBy("doc_id", "item_id")
-        .agg(F.countDistinct("ipos").alias("n_windows"), F.max("run").alias("run"), F.min("same").alias("same_slots"))
-        .join(total, "item_id")
+    ours = _slots(_canonical(within), "doc_id").select("doc_id", "pos", "slot", F.col("value").alias("ours")).distinct()
+    filled = stored(needed.join(ours, ["doc_id", "pos", "slot"]))
+    line = ["doc_id", "item_id", "diag"]
+    several = filled.groupBy(*line, "slot", "theirs").agg(F.min("ours").alias("a"), F.max("ours").alias("b")).where("a <> b")
+    clash = filled.join(several.drop("a", "b"), [*line, "slot", "theirs"], "left_semi").where("ours <> theirs")
+    lost = clash.select(*line, F.explode(F.sequence(F.col("ip") - (WIDTH - 1), "ip")).alias("ipos")).distinct()
+    kept = hits.join(lost, [*line, "ipos"], "left_anti")
+    same = filled.groupBy(*line).agg(F.min(F.col("ours") == F.col("theirs")).alias("same"))
+    runs = kept.groupBy(*line).agg(F.count(F.lit(1)).alias("run")).join(same, line, "left")
+    runs = runs.groupBy("doc_id", "item_id").agg(F.max("run").alias("run"), F.min(F.coalesce("same", F.lit(True))).alias("same_slots"))
+    found = kept.groupBy("doc_id", "item_id").agg(F.countDistinct("ipos").alias("n_windows")).join(runs, ["doc_id", "item_id"])
+    result = (
+        found.join(total, "item_id")
         .where((F.col("n_windows") >= F.lit(min_share) * F.col("item_windows")) | (F.col("run") >= min_run))
         .select("doc_id", "item_id", "n_windows", "item_windows", "same_slots")
     )
+    discard(needed)
+    return result
 
 
 def _oracle() -> str:
+    marks = " || ".join(f"chr({i})" for i in range(1, 6))
+
     def canon(source: str, key: str) -> str:
-        t1 = "translate(coalesce(text, ''), chr(1) || chr(2) || chr(3), '   ')"
-        name, unit = NAME.replace("'", "''"), UNIT
-        return (
-            f"SELECT {key}, v_name, v_unit, regexp_extract_all(t3, '{NUMBER}') AS v_number, "
-            f"list_filter(string_split(trim(regexp_replace(lower(regexp_replace(t3, '{NUMBER}', ' ' || chr(3) || ' ', 'g')), '{OTHER}', ' ', 'g')), ' '), lambda x: x <> '') AS tokens "
-            f"FROM (SELECT {key}, v_name, regexp_extract_all(t2, '{unit}', 2) AS v_unit, regexp_replace(t2, '{unit}', '\\1 ' || chr(2) || ' \\3', 'g') AS t3 "
-            f"FROM (SELECT {key}, regexp_extract_all(t1, '{name}', 2) AS v_name, regexp_replace(t1, '{name}', '\\1 ' || chr(1) || ' ', 'g') AS t2 "
-            f"FROM (SELECT {key}, {t1} AS t1 FROM {source} WHERE {key} IS NOT NULL)))"
-        )
+        t = f"translate(coalesce(text, ''), {marks}, '     ')"
+        name, opening = NAME.replace("'", "''"), OPENING.replace("\\n", "\n").replace("\\t", "\t").replace("\\r", "\r")
+        for pattern, new in (
+            (opening, "'\\1' || chr(4) || '\\2'"),
+            (name, "'\\1 ' || chr(1) || '\\2' || chr(5) || ' '"),
+            (UNIT, "'\\1 ' || chr(2) || '\\2' || chr(5) || ' \\3'"),
+            (NUMBER, "' ' || chr(3) || '\\1' || chr(5) || ' '"),
+        ):
+            t = f"regexp_replace({t}, '{pattern}', {new}, 'g')"
+        token = "'[' || chr(1) || '-' || chr(3) || '][^' || chr(5) || ']*' || chr(5) || '|' || chr(4) || '?[\\p{L}\\p{M}]+'"
+        return f"SELECT {key}, regexp_extract_all(lower({t}), {token}) AS tokens FROM {source} WHERE {key} IS NOT NULL"
 
     def windows(source: str, key: str) -> str:
+        value = "list_transform(w, lambda t: ltrim(t, chr(4)))"
+        template = "list_transform(w, lambda t: CASE WHEN t < chr(4) THEN left(t, 1) ELSE ltrim(t, chr(4)) END)"
+        opened = "list_transform(w, lambda t: CASE WHEN left(t, 1) = chr(4) THEN chr(1) WHEN t < chr(4) THEN left(t, 1) ELSE t END)"
+        words, plain = "len(list_filter(w, lambda t: t >= chr(4)))", "len(list_filter(w, lambda t: t >= chr(5)))"
+        hashes = [
+            f"CASE WHEN len(w) = {WIDTH} THEN CASE WHEN {words} >= {MIN_LITERALS} THEN 't' || array_to_string({template}, ' ') ELSE 'v' || array_to_string({value}, ' ') END END",
+            f"CASE WHEN len(w) = {WIDTH} AND {plain} < {words} AND {plain} >= {MIN_LITERALS} THEN 't' || array_to_string({opened}, ' ') END",
+            f"CASE WHEN n < {MIN_TOKENS} AND pos = 0 THEN 'w' || array_to_string({value}, ' ') END",
+            *(f"CASE WHEN len(w) >= {k} AND n >= {MIN_TOKENS} THEN '{k}' || array_to_string({value}[1:{k}], ' ') END" for k in range(MIN_TOKENS, WIDTH)),
+        ]
         return (
-            f"SELECT {key}, i - 1 AS pos, array_to_string(tokens[i:i + {WIDTH - 1}], ' ') AS h, "
-            f"len(list_filter(tokens[i:i + {WIDTH - 1}], lambda t: t > chr(3))) >= least({MIN_LITERALS}, len(tokens)) AS ok "
-            f"FROM (SELECT {key}, tokens, unnest(range(1, greatest(len(tokens) - {WIDTH - 1}, 1) + 1)) AS i FROM {source} WHERE len(tokens) > 0)"
+            f"SELECT {key}, pos, n, h, len(w) AS size FROM (SELECT {key}, pos, n, w, unnest([{', '.join(hashes)}]) AS h FROM (SELECT {key}, len(tokens) AS n, i - 1 AS pos, tokens[i:i + {WIDTH - 1}] AS w "
+            f"FROM (SELECT {key}, tokens, unnest(range(1, len(tokens) + 1)) AS i FROM {source}))) WHERE h IS NOT NULL"
         )
 
     def slots(source: str, key: str) -> str:
-        return " UNION ALL ".join(
-            f"SELECT {key}, u.pos, '{k}' AS slot, lower(u.value) AS value FROM (SELECT {key}, unnest(list_transform(range(1, len(v_{k}) + 1), "
-            f"lambda j: {{'pos': list_filter(range(1, len(tokens) + 1), lambda i: tokens[i] = chr({ord(c)}))[j] - 1, 'value': v_{k}[j]}})) AS u FROM {source}) WHERE u.pos IS NOT NULL"
-            for k, c in SLOTS.items()
+        kind = "CASE left(t, 1) " + " ".join(f"WHEN chr({ord(c)}) THEN '{k}'" for k, c in SLOTS.items()) + " ELSE 'name' END"
+        return (
+            f"SELECT {key}, i - 1 AS pos, {kind} AS slot, translate(t, {marks}, '') AS value "
+            f"FROM (SELECT {key}, unnest(range(1, len(tokens) + 1)) AS i, unnest(tokens) AS t FROM {source}) WHERE t < chr(5)"
         )
 
+    line = "doc_id, item_id, diag"
     return (
-        f"WITH dc AS ({canon('documents', 'doc_id')}), bc AS ({canon('benchmark', 'item_id')}), "
-        f"dw AS ({windows('dc', 'doc_id')}), bw AS (SELECT item_id, pos, h FROM ({windows('bc', 'item_id')}) WHERE ok), "
+        f"WITH dc AS ({canon('documents', 'doc_id')}), bc AS ({canon('(SELECT DISTINCT item_id, text FROM benchmark)', 'item_id')}), dw AS ({windows('dc', 'doc_id')}), "
+        f"bw AS (SELECT DISTINCT item_id, pos, h FROM ({windows('bc', 'item_id')}) WHERE n >= {WIDTH} AND (h LIKE 't%' OR h LIKE 'v%') OR n < {WIDTH} AND pos = 0 AND (h LIKE 'w%' OR left(h, 1) = n::VARCHAR)), "
         "total AS (SELECT item_id, count(DISTINCT pos) AS item_windows FROM bw GROUP BY 1), "
         "hits AS (SELECT DISTINCT doc_id, item_id, bw.pos AS ipos, dw.pos - bw.pos AS diag FROM dw JOIN bw USING (h)), "
-        f"lines AS (SELECT doc_id, item_id, diag, count(*) AS run, min(ipos) AS lo, max(ipos) + {WIDTH} AS hi FROM hits GROUP BY ALL), "
         f"bs AS ({slots('bc', 'item_id')}), ds AS ({slots('(SELECT * FROM dc WHERE doc_id IN (SELECT doc_id FROM hits))', 'doc_id')}), "
-        "filled AS (SELECT l.doc_id, l.item_id, l.diag, bs.slot, bs.value AS theirs, ds.value AS ours FROM lines l JOIN bs ON bs.item_id = l.item_id AND bs.pos >= lo AND bs.pos < hi "
-        "JOIN ds ON ds.doc_id = l.doc_id AND ds.pos = bs.pos + l.diag AND ds.slot = bs.slot), "
-        "mapped AS (SELECT doc_id, item_id, diag, slot, theirs, min(ours) AS a, max(ours) AS b FROM filled GROUP BY ALL), "
-        "mapping AS (SELECT doc_id, item_id, diag, bool_or(a <> b) AS clash, bool_and(a = theirs AND b = theirs) AS same FROM mapped GROUP BY ALL), "
-        "kept AS (SELECT l.doc_id, l.item_id, l.diag, l.run, coalesce(m.same, true) AS same FROM lines l LEFT JOIN mapping m "
-        "ON m.doc_id = l.doc_id AND m.item_id = l.item_id AND m.diag = l.diag WHERE NOT coalesce(m.clash, false)) "
-        "SELECT h.doc_id, h.item_id, count(DISTINCT h.ipos) AS n_windows, any_value(t.item_windows) AS item_windows, bool_and(k.same) AS same_slots "
-        "FROM hits h JOIN kept k ON k.doc_id = h.doc_id AND k.item_id = h.item_id AND k.diag = h.diag JOIN total t ON t.item_id = h.item_id "
-        f"GROUP BY h.doc_id, h.item_id HAVING count(DISTINCT h.ipos) >= {MIN_SHARE} * any_value(t.item_windows) OR max(k.run) >= {MIN_RUN}"
+        f"needed AS (SELECT DISTINCT {line.replace('item_id', 'hits.item_id')}, bs.pos AS ip, slot, value AS theirs FROM hits JOIN bs ON bs.item_id = hits.item_id AND bs.pos BETWEEN ipos AND ipos + {WIDTH - 1}), "
+        "filled AS (SELECT DISTINCT n.*, ds.value AS ours FROM needed n JOIN ds ON ds.doc_id = n.doc_id AND ds.pos = n.ip + n.diag AND ds.slot = n.slot), "
+        f"several AS (SELECT {line}, slot, theirs FROM filled GROUP BY ALL HAVING min(ours) <> max(ours)), "
+        f"clash AS (SELECT DISTINCT {line}, ip FROM filled JOIN several USING ({line}, slot, theirs) WHERE ours <> theirs), "
+        f"kept AS (SELECT * FROM hits h WHERE NOT EXISTS (SELECT 1 FROM clash c WHERE c.doc_id = h.doc_id AND c.item_id = h.item_id AND c.diag = h.diag AND c.ip BETWEEN h.ipos AND h.ipos + {WIDTH - 1})), "
+        f"same AS (SELECT {line}, bool_and(ours = theirs) AS same FROM filled GROUP BY ALL), "
+        f"lines AS (SELECT {line}, count(*) AS run FROM kept GROUP BY ALL), "
+        f"runs AS (SELECT doc_id, item_id, max(run) AS run, bool_and(coalesce(same, true)) AS same_slots FROM lines LEFT JOIN same USING ({line}) GROUP BY 1, 2), "
+        "found AS (SELECT doc_id, item_id, count(DISTINCT ipos) AS n_windows FROM kept GROUP BY 1, 2) "
+        "SELECT doc_id, item_id, n_windows, item_windows, same_slots FROM found JOIN runs USING (doc_id, item_id) JOIN total USING (item_id) "
+        f"WHERE n_windows >= {MIN_SHARE} * item_windows OR run >= {MIN_RUN}"
     )
 
 
