@@ -42,13 +42,12 @@ def stored(df: DataFrame) -> DataFrame:
     return table
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables of ``stored`` that nothing reads any more, and lets go of the shuffles of ended jobs.
 
     Spark deletes a shuffle's files once the driver has collected what refers to it, which a driver with memory
     to spare does seldom; a long operator asks for it here.
     """
-    spark = tables[0].sparkSession
     jvm = spark._jvm
     for table in tables:
         path = jvm.org.apache.hadoop.fs.Path(table.stored_at)

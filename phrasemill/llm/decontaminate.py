@@ -35,7 +35,7 @@ MIN_RUN = 9
 
 # RE2 and Java read these alike: no look-around. A slot is wrapped in its mark and END, an opening word follows OPEN.
 OPEN, END = "\x04", "\x05"
-OPENING = "(^|[\\n.!?:\"“”(\\[][\"“(\\[ \\t\\r\\n]*)(\\p{Lu})"
+OPENING = "([\\n.!?:\"“”(\\[][\"“(\\[ \\t\\r\\n]*)(\\p{Lu})"  # after a line break put first
 NAME = r"([\p{Ll}0-9,;] )(\p{Lu}[\p{L}'-]*(?: \p{Lu}[\p{L}'-]*)*)"
 UNIT = (
     r"([0-9]) ?(km|kg|mg|cm|mm|ml|m|g|l|h|s|min|sec|hours?|minutes?|seconds?|days?|weeks?|months?|years?|"
@@ -49,8 +49,8 @@ TOKEN = "[\x01-\x03][^\x05]*\x05|\x04?[\\p{L}\\p{M}]+"
 def _canonical(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``tokens``: words (after OPEN if they open a sentence) and slots (their mark, the value, END)."""
     # A text's own control characters must not pass for marks.
-    t = F.translate(F.coalesce(F.col(text), F.lit("")), "".join(SLOTS.values()) + OPEN + END, " " * 5)
-    t = F.regexp_replace(t, OPENING, f"$1{OPEN}$2")
+    t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\x01-\x05]", " ")
+    t = F.regexp_replace(F.concat(F.lit("\n"), t), OPENING, f"$1{OPEN}$2")
     t = F.regexp_replace(t, NAME, f"$1 \x01$2{END} ")
     t = F.regexp_replace(t, UNIT, f"$1 \x02$2{END} $3")
     t = F.regexp_replace(t, NUMBER, f" \x03$1{END} ")
@@ -63,25 +63,34 @@ def _windows(df: DataFrame, widths: list[int]) -> DataFrame:
     ``widths``: what shorter windows are wanted besides those of ``WIDTH``.
     """
     others = [c for c in df.columns if c != "tokens"]
+    # A token's code: the hash of its text, and in the last three bits 1 to 3 for a slot's kind, 4 for an opening word.
+    code = F.transform("tokens", _code)
+    df = df.select(*others, F.size("tokens").alias("n"), code.alias("codes"))
+    shifted = [F.col("codes")] + [F.slice("codes", F.lit(k + 1), F.size("codes")) for k in range(1, WIDTH)]
     # The outer generators keep Spark from deriving a filter on the size of the generated array, for which it
     # would evaluate the whole expression once more under the scan.
-    starts = F.when(F.size("tokens") > 0, F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.slice("tokens", i, F.lit(WIDTH))))
-    rows = df.select(*others, F.size("tokens").alias("n"), F.posexplode_outer(starts).alias("pos", "w"))
-    token = [F.get("w", F.lit(k)) for k in range(WIDTH)]
-    # Slots sort before OPEN, words behind it.
-    template = [F.when(t < OPEN, F.substring(t, 1, 1)).otherwise(F.ltrim(t, F.lit(OPEN))) for t in token]
-    opened = [F.when(t.startswith(OPEN), F.lit(SLOTS["name"])).otherwise(F.when(t < OPEN, F.substring(t, 1, 1)).otherwise(t)) for t in token]
-    value = [F.ltrim(t, F.lit(OPEN)) for t in token]
-    words = reduce(Column.__add__, [(t >= OPEN).cast("int") for t in token])
-    plain = reduce(Column.__add__, [(t >= END).cast("int") for t in token])
-    full = F.size("w") == WIDTH
+    zipped = F.arrays_zip(*(c.alias(f"c{k}") for k, c in enumerate(shifted)))
+    rows = df.select(*others, "n", F.posexplode_outer(zipped).alias("pos", "w")).select(*others, "n", "pos", "w.*")
+    token = [F.col(f"c{k}") for k in range(WIDTH)]
+    kind = [t.bitwiseAND(7) for t in token]
+    value = [t.bitwiseAND(-8) for t in token]
+    template = [F.when(k.between(1, 3), k).otherwise(v) for k, v in zip(kind, value, strict=True)]
+    opened = [F.when(k == 4, F.lit(1)).otherwise(t) for k, t in zip(kind, template, strict=True)]
+    slots = reduce(Column.__add__, [k.between(1, 3).cast("int") for k in kind])
+    opening = reduce(Column.__add__, [(k == 4).cast("int") for k in kind])
+    full = token[-1].isNotNull()
     hashes = [
-        F.when(full, F.when(words >= MIN_LITERALS, F.xxhash64(*template)).otherwise(F.xxhash64(*value))),
-        F.when(full & (plain < words) & (plain >= MIN_LITERALS), F.xxhash64(*opened)),
-        F.when((F.col("n") < MIN_TOKENS) & (F.col("pos") == 0), F.xxhash64(*value, F.lit(0))),
-        *(F.when((F.size("w") >= k) & (F.col("n") >= MIN_TOKENS), F.xxhash64(*value[:k], F.lit(k))) for k in widths),
+        F.when(full, F.when(slots <= WIDTH - MIN_LITERALS, F.xxhash64(*template)).otherwise(F.xxhash64(*value))),
+        F.when(full & (opening > 0) & (slots + opening <= WIDTH - MIN_LITERALS), F.xxhash64(*opened)),
+        *([F.when((F.col("n") < MIN_TOKENS) & (F.col("pos") == 0), F.xxhash64(*value, F.lit(0)))] if 0 in widths else []),
+        *(F.when(token[k - 1].isNotNull() & (F.col("n") >= MIN_TOKENS), F.xxhash64(*value[:k], F.lit(k))) for k in widths if k),
     ]
-    return rows.select(*others, "pos", F.explode_outer(F.array_compact(F.array(*hashes))).alias("h")).where("h is not null")
+    return rows.select(*others, "pos", F.explode_outer(F.array(*hashes)).alias("h")).where("h is not null")
+
+
+def _code(token: Column) -> Column:
+    first = F.ascii(token)
+    return F.xxhash64(F.when(first == 4, F.substring(token, 2, 1 << 30)).otherwise(token)).bitwiseAND(-8).bitwiseOR(F.when(first <= 4, first).otherwise(0).cast("long"))
 
 
 def _slots(df: DataFrame, key: str) -> DataFrame:
@@ -102,13 +111,15 @@ def leaks(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE, min_r
     """
     bench = _canonical(items.where("item_id is not null").select("item_id", "text").dropDuplicates()).select("item_id", "tokens")
     bench = stored(bench.where(F.size("tokens") > 0))
-    short = sorted(r.n for r in bench.select(F.size("tokens").alias("n")).where(F.col("n").between(MIN_TOKENS, WIDTH - 1)).distinct().collect())
+    # Widths of the items below WIDTH, 0 for those that match whole texts only.
+    width = F.when(F.size("tokens") < MIN_TOKENS, 0).otherwise(F.size("tokens")).alias("n")
+    short = sorted(r.n for r in bench.select(width).where(F.col("n") < WIDTH).distinct().collect())
     # A window that is shorter than the item and than WIDTH is no window of it.
     whole = bench.where(F.size("tokens") < WIDTH)
     wanted = _windows(bench.where(F.size("tokens") >= WIDTH), [])
     for k in short:
-        wanted = wanted.unionByName(_windows(whole.where(F.size("tokens") == k), [k]))
-    wanted = stored(wanted.unionByName(_windows(whole.where(F.size("tokens") < MIN_TOKENS), [])).withColumnRenamed("pos", "ipos").distinct())
+        wanted = wanted.unionByName(_windows(whole.select("*", width).where(F.col("n") == k).drop("n"), [k]))
+    wanted = stored(wanted.withColumnRenamed("pos", "ipos").distinct())
     total = wanted.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
     rows = _windows(_canonical(docs.where("doc_id is not null").select("doc_id", "text")).select("doc_id", "tokens"), short).withColumnRenamed("pos", "dpos")
     hits = stored(rows.join(sized(wanted), "h").select("doc_id", "item_id", "ipos", (F.col("dpos") - F.col("ipos")).alias("diag")).distinct())
@@ -133,7 +144,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_share: float = MIN_SHARE, min_r
         .where((F.col("n_windows") >= F.lit(min_share) * F.col("item_windows")) | (F.col("run") >= min_run))
         .select("doc_id", "item_id", "n_windows", "item_windows", "same_slots")
     )
-    discard(needed)
+    discard(docs.sparkSession, needed)
     return result
 
 
@@ -141,7 +152,7 @@ def _oracle() -> str:
     marks = " || ".join(f"chr({i})" for i in range(1, 6))
 
     def canon(source: str, key: str) -> str:
-        t = f"translate(coalesce(text, ''), {marks}, '     ')"
+        t = f"chr(10) || translate(coalesce(text, ''), {marks}, '     ')"
         name, opening = NAME.replace("'", "''"), OPENING.replace("\\n", "\n").replace("\\t", "\t").replace("\\r", "\r")
         for pattern, new in (
             (opening, "'\\1' || chr(4) || '\\2'"),

@@ -35,6 +35,7 @@ A family whose unlinked members all share the same differences is the worst case
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,12 +47,12 @@ from pyspark.sql import functions as F
 from phrasemill.llm.common import buckets_of, candidates, components, discard, sized, still_open, stored
 
 WIDTH, P, Q = 3, 90, 100
-N2 = 3
 CHUNK = 1 << 20
 #: Independent partitions that open buckets go through, and the most nodes of a bucket all of whose pairs are compared.
-LEVELS, SMALL = 3, 8
-#: Kept cells that hold fewer shingles on average than this get one more part for each ten.
-DENSE = 10
+LEVELS, SMALL = 3, 64
+#: Where kept cells hold fewer shingles on average than this, sets get one more part for each ten, and
+#: those of thresholds up to ``SMALL_K`` more signatures.
+DENSE, SMALL_K = 10, 22
 
 _U = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -166,6 +167,17 @@ def _bands(p: int, q: int, largest: int) -> tuple[np.ndarray, np.ndarray]:
     return ends_, (q - p) * 2 * ends_ // (q + p)
 
 
+def _plan(k: int, p: int, q: int) -> tuple[int, int]:
+    """Cells of a part, and how many of them a signature leaves out, for a band of Hamming threshold ``k``.
+
+    Where the threshold is high, one of three cells. Low thresholds need more: small sets can afford more
+    signatures, which then cover more of their shingles.
+    """
+    if 2 * (q + p) >= 3 * DENSE * (q - p) or k > SMALL_K:
+        return 3, 1
+    return (8, 4) if k in (3, 4) else (6, 2)
+
+
 def signatures(flat: np.ndarray, sizes: np.ndarray, p: int = P, q: int = Q, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """PartEnum signatures of consecutive sets: flat int64 signatures and the number per set.
 
@@ -175,37 +187,39 @@ def signatures(flat: np.ndarray, sizes: np.ndarray, p: int = P, q: int = Q, leve
         return np.empty(0, np.int64), np.zeros(len(sizes), np.int64)
     ends, ks = _bands(p, q, 1 << int(sizes.max()).bit_length())
     band = np.searchsorted(ends, sizes)  # ends[band - 1] < size <= ends[band]
+    plans = [_plan(int(k), p, q) for k in ks]
     owner = np.repeat(np.arange(len(sizes)), sizes)
     low, high = (flat & _U(0xFFFFFFFF)).astype(np.float64), (flat >> _U(32)).astype(np.float64)
     seed = mix(np.array([level], np.uint64))
-    part_of, cell_of = mix(flat ^ _K[0] ^ seed) >> _U(11), (mix(flat ^ _K[1] ^ seed) >> _U(11)) % _U(N2)
-    sparse = (N2 - 1) * (q + p) < DENSE * N2 * (q - p)  # shingles that kept cells hold on average
+    part_of, cell_of = mix(flat ^ _K[0] ^ seed) >> _U(11), mix(flat ^ _K[1] ^ seed) >> _U(11)
     out, who = [], []
     for step in (0, 1):
-        at = band + step
-        k = np.where(sizes > 0, ks[np.minimum(at, len(ks) - 1)], 0)
-        n0 = np.where(k > 0, (k + 2) // 2, 0)  # ceil((k + 1) / 2)
-        spare = (n0 + 5) // 10 if sparse else np.zeros_like(n0)
-        n1 = n0 + spare
-        base = np.zeros(len(sizes) + 1, np.int64)
-        np.cumsum(n1 * N2, out=base[1:])
-        if not base[-1]:
-            continue
-        live = n1[owner] > 0
-        own = owner[live]
-        cell = base[own] + (part_of[live] % n1[own].astype(np.uint64)).astype(np.int64) * N2 + cell_of[live].astype(np.int64)
-        lo = np.bincount(cell, low[live], base[-1]).astype(np.uint64).reshape(-1, N2)
-        hi = np.bincount(cell, high[live], base[-1]).astype(np.uint64).reshape(-1, N2)
-        doc = np.repeat(np.arange(len(sizes)), n1)
-        part = np.arange(len(doc)) - base[doc] // N2
-        tag = mix((at[doc].astype(np.uint64) << _U(32)) ^ part.astype(np.uint64) ^ _K[2])
-        left_out = np.arange(N2, dtype=np.uint64)[None, :]
-        lo, hi = lo.sum(1, keepdims=True) - lo, hi.sum(1, keepdims=True) - hi
-        sig = mix(mix(lo * _K[0] + tag[:, None]) + mix(hi * _K[1] + left_out))
-        empty = (lo | hi) == 0
-        kept = ~(empty & (np.bincount(doc[empty.any(1)], minlength=len(sizes)) <= spare)[doc][:, None])
-        out.append(sig[kept].view(np.int64))
-        who.append(np.repeat(doc, kept.sum(1)))
+        at = np.minimum(band + step, len(ks) - 1)
+        for cells, left in sorted(set(plans)):
+            k = np.where(sizes > 0, ks[at], 0) * np.array([x == (cells, left) for x in plans])[at]
+            n0 = np.where(k > 0, k // (left + 1) + 1, 0)  # ceil((k + 1) / (left + 1))
+            # With this many shingles on average in the cells that are kept, none is hardly ever seen.
+            spare = (n0 + 5) // 10 if (cells - left) * (left + 1) * (q + p) < 2 * DENSE * cells * (q - p) else np.zeros_like(n0)
+            n1 = n0 + spare
+            base = np.zeros(len(sizes) + 1, np.int64)
+            np.cumsum(n1 * cells, out=base[1:])
+            if not base[-1]:
+                continue
+            live = n1[owner] > 0
+            own = owner[live]
+            cell = base[own] + (part_of[live] % n1[own].astype(np.uint64)).astype(np.int64) * cells + (cell_of[live] % _U(cells)).astype(np.int64)
+            lo = np.bincount(cell, low[live], base[-1]).astype(np.uint64).reshape(-1, cells)
+            hi = np.bincount(cell, high[live], base[-1]).astype(np.uint64).reshape(-1, cells)
+            doc = np.repeat(np.arange(len(sizes)), n1)
+            part = np.arange(len(doc)) - base[doc] // cells
+            tag = mix((at[doc].astype(np.uint64) << _U(32)) ^ part.astype(np.uint64) ^ _K[2])
+            chosen = [list(c) for c in itertools.combinations(range(cells), cells - left)]
+            lo, hi = (np.stack([x[:, c].sum(1) for c in chosen], 1) for x in (lo, hi))
+            sig = mix(mix(lo * _K[0] + tag[:, None]) + mix(hi * _K[1] + np.arange(len(chosen), dtype=np.uint64)))
+            empty = (lo | hi) == 0
+            kept = ~(empty & (np.bincount(doc[empty.any(1)], minlength=len(sizes)) <= spare)[doc][:, None])
+            out.append(sig[kept].view(np.int64))
+            who.append(np.repeat(doc, kept.sum(1)))
     if not out:
         return np.empty(0, np.int64), np.zeros(len(sizes), np.int64)
     who_, sig_ = np.concatenate(who), np.concatenate(out)
@@ -396,7 +410,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int) -> Da
     grams = stored(_of_nodes(docs, near).mapInArrow(sets, "node long, grams array<long>"))
     at_a, at_b = ends(grams, "g")
     linked = stored(near.join(at_a, "a").join(at_b, "b").mapInArrow(compare, "a long, b long"))
-    discard(sketched, near, grams)
+    discard(docs.sparkSession, sketched, near, grams)
     return linked
 
 
@@ -413,7 +427,7 @@ def links(docs: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFr
         new = _linked(texts, pairs, width, p, q)
         found = found.unionByName(new) if found else new
         stars = stored(still_open(buckets, SMALL, found).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
-        discard(buckets, pairs, *([texts] if level else []))
+        discard(docs.sparkSession, buckets, pairs, *([texts] if level else []))
         if stars.isEmpty():
             return found
         # A bucket's smallest node is one of its nodes.
@@ -477,7 +491,7 @@ def _within_families(docs: DataFrame, stars: DataFrame, width: int, p: int, q: i
         .select("a", "b")
     )
     result = stored(direct.unionByName(checked))
-    discard(family, members, diff, pairs, paired)
+    discard(docs.sparkSession, family, members, diff, pairs, paired)
     return result
 
 

@@ -400,7 +400,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
     model = lexicon(docs, text)
     rows = encoded(docs.select(F.lit(0).alias("doc_id"), text), model, "doc_id", text)
     train(rows, model, rounds)
-    discard(rows)
+    discard(docs.sparkSession, rows)
     return model
 
 
