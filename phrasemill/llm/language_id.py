@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: ISO 639-1 codes of closely related languages. A code that is not listed is a family of its own.
@@ -26,6 +26,8 @@ FAMILIES = {
 DIM = 4096
 #: Bound of the training sample, per language.
 SAMPLE_PER_LANG = 600
+#: Bound of the languages that are learned: the commonest labels. Rows of others are predicted all the same.
+MAX_LANGS = 200
 CHUNK = 1 << 18
 
 
@@ -173,32 +175,34 @@ def _labelled(docs: DataFrame) -> DataFrame:
     return docs.where("text is not null and lang is not null")
 
 
-def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
-    """A model from at most ``per_lang`` rows of each language of ``docs(doc_id, text, lang)``.
+def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, most: int = MAX_LANGS) -> LanguageModel:
+    """A model from at most ``per_lang`` rows of each of the ``most`` commonest languages of ``docs(doc_id, text, lang)``.
 
-    The sample is drawn by a hash of doc_id and text; only feature vectors reach the driver. Texts without
-    letters are passed over. No labelled row gives a model that predicts ``und`` everywhere.
+    The sample is what comes first by a hash of doc_id and text; only feature vectors reach the driver. Texts
+    without letters are passed over. No labelled row gives a model that predicts ``und`` everywhere.
     """
-    counts = {r[0]: r[1] for r in _labelled(docs).groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in _labelled(docs).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     if not counts:
         return LanguageModel()
-    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, per_lang / n))])
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
+    # A few more than are wanted, since a hash doesn't draw the exact number; the first of them are taken.
+    share = F.create_map(*[F.lit(x) for g, n in counts.items() for x in (g, min(1.0, (1.2 * per_lang + 50) / n))])
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    drawn = _labelled(docs).withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")] * (1 << 30))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, langs = batch.column("text").to_pylist(), batch.column("lang")
+            texts = batch.column("text").to_pylist()
             for a, b in _runs(texts):
-                x = vectors(texts[a:b])
-                yield pa.RecordBatch.from_arrays(
-                    [langs.slice(a, b - a), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "x"]
-                )
-
-    rows = _labelled(docs).where(drawn).select("lang", "text").mapInArrow(run, "lang string, x binary").limit(2 * per_lang * len(counts)).collect()
-    rows = sorted((r for r in rows if any(r.x)), key=lambda r: (r.lang, bytes(r.x)))
-    if not rows:
+                x = [v.tobytes() if v.any() else None for v in vectors(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(a, b - a), batch.column("draw").slice(a, b - a), pa.array(x, pa.binary())], ["lang", "draw", "x"])
+
+    rows = drawn.select("lang", "draw", "text").mapInArrow(run, "lang string, draw long, x binary").where("x is not null")
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "x"))
+    sample = rows.withColumn("place", first).where(F.col("place") <= per_lang).orderBy("lang", "place").select("lang", "x").toArrow()
+    if not sample.num_rows:
         return LanguageModel()
-    return LanguageModel.fit(np.stack([np.frombuffer(r.x, np.float32) for r in rows]), [r.lang for r in rows])
+    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(sample.num_rows, -1)
+    return LanguageModel.fit(x, sample.column("lang").to_pylist())
 
 
 def predict(docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:

@@ -22,7 +22,6 @@ same files give the same scores, files written anew slightly different ones.
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
 import zlib
@@ -46,10 +45,10 @@ WORDS = VOCABULARY - BUCKETS - 1
 #: The last id stands for what is beyond a text's ends.
 EDGE = VOCABULARY - 1
 EMBED, HIDDEN = 12, 16
-ROUNDS, STEP, RATE = 2, 2048, 0.1
+ROUNDS, STEP, RATE = 2, 4096, 0.15
 FOLD = 64
-#: Entries of a task's word count or id cache before it is emptied.
-MEMORY = 200_000
+#: Words of a task's count before it is emptied.
+MEMORY = 500_000
 #: Words beyond the vocabulary whose counts every task holds.
 COMMON = 200_000
 #: Tokens that a task trains on or scores at once.
@@ -71,20 +70,16 @@ def words(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-class Ids(dict):
-    """Ids of words by falling count; others get a bucket by their hash."""
+def bucket(word: str) -> int:
+    """The id of the bucket that a word beyond the vocabulary falls in."""
+    return WORDS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
 
-    def __init__(self, vocabulary: list[str]) -> None:
-        super().__init__(zip(vocabulary, range(WORDS), strict=False))
-        self.own = len(self)
+
+class Places(dict):
+    """Places of words in the order of their counts; words that are not listed have place -1."""
 
     def __missing__(self, word: str) -> int:
-        i = WORDS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
-        if len(self) > self.own + MEMORY:
-            for other in [w for w, n in self.items() if n >= WORDS]:
-                del self[other]
-        self[word] = i
-        return i
+        return -1
 
 
 @dataclass
@@ -132,17 +127,19 @@ class Network:
         context, target = context[order], target[order]
         n, p, own = len(target), self.p, target // WIDTH
         x, h = self._hidden(context)
-        d_band = _softmax_minus(h @ p["band"] + p["band_bias"], own) / n
-        g = {"band": h.T @ d_band, "band_bias": d_band.sum(0), "word": np.zeros(SHAPES["word"], np.float32), "word_bias": np.zeros(SHAPES["word_bias"], np.float32)}
+        bounded, ones = _bounded(p), np.ones(n, h.dtype)
+        d_band = _softmax_minus(h @ p["band"] + p["band_bias"], own, bounded) / n
+        g = {"band": h.T @ d_band, "band_bias": ones @ d_band, "word": np.zeros(SHAPES["word"], np.float32), "word_bias": np.zeros(SHAPES["word_bias"], np.float32)}
         d_h = d_band @ p["band"].T
         ends = np.cumsum(np.bincount(own, minlength=BANDS))
         for band, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
             if a < b:
-                d = _softmax_minus(h[a:b] @ p["word"][band] + p["word_bias"][band], target[a:b] % WIDTH) / n
-                g["word"][band], g["word_bias"][band] = h[a:b].T @ d, d.sum(0)
+                d = _softmax_minus(h[a:b] @ p["word"][band] + p["word_bias"][band], target[a:b] % WIDTH, bounded)
+                d *= 1 / n
+                g["word"][band], g["word_bias"][band] = h[a:b].T @ d, ones[a:b] @ d
                 d_h[a:b] += d @ p["word"][band].T
         d_z = d_h * (1 - h * h)
-        g["mixer"], g["mixer_bias"] = x.T @ d_z, d_z.sum(0)
+        g["mixer"], g["mixer_bias"] = x.T @ d_z, ones @ d_z
         d_x = (d_z @ p["mixer"].T).reshape(-1, EMBED)
         flat = context.ravel()
         order = np.argsort(flat.astype(np.uint16), kind="stable")
@@ -167,9 +164,7 @@ class Scorer:
         self.part = [p["embed"] @ m for m in mixer]
         self.part[0] = self.part[0] + p["mixer_bias"]
         self.p = p
-        # With bounded logits the exponentials can't overflow and need no shift.
-        top = max(float(np.abs(p["band"]).sum(0).max() + np.abs(p["band_bias"]).max()), float(np.abs(p["word"]).sum(1).max() + np.abs(p["word_bias"]).max()))
-        self.shift = top > 80
+        self.shift = not _bounded(p)
 
     def __call__(self, flat: np.ndarray, at: np.ndarray, block: int = 16384) -> np.ndarray:
         """As ``log_probs`` of the windows of ``flat`` around the positions ``at``, which are ascending."""
@@ -212,14 +207,22 @@ def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return chosen - np.log(np.exp(logits, out=logits).sum(1))
 
 
-def _softmax_minus(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
+def _softmax_minus(logits: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
+    """Softmax of each row less the indicator of its place ``at``, in place; bounded logits need no shift."""
+    if not bounded:
+        logits -= logits.max(1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
+    logits *= (1 / (logits @ np.ones(logits.shape[1], logits.dtype)))[:, None]
     logits[np.arange(len(at)), at] -= 1
     return logits
 
 
+def _bounded(p: dict[str, np.ndarray]) -> bool:
+    """Whether no logit can be so large that its exponential overflows."""
+    top = max(float(np.abs(p["band"]).sum(0).max() + np.abs(p["band_bias"]).max()), float(np.abs(p["word"]).sum(1).max() + np.abs(p["word_bias"]).max()))
+    return top <= 80
+
+
 def padded(ids: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """``(first row, padded ids, positions of tokens in them, number of tokens per row)`` for runs of about ``CHUNK`` tokens."""
     ids = ids.cast(pa.large_binary())
@@ -288,7 +291,7 @@ def lexicon(docs: DataFrame, text: str = "text") -> Model:
     listed, n = top.column("word").to_pylist(), top.column("n").to_pylist()
     model = Model(listed[:WORDS], Network.new().flat(), dict(zip(listed[WORDS:], n[WORDS:], strict=True)))
     for word, k in model.common.items():
-        model.totals[zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS] += k
+        model.totals[bucket(word) - WORDS] += k
     if len(model.common) == COMMON:  # words as frequent as the last one listed are told apart by name
         last, least = listed[-1], n[-1]
         others = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)))
@@ -304,17 +307,24 @@ def encoded(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     vocabulary, common = model.vocabulary, model.common
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, log = Ids(vocabulary), {w: math.log(n) for w, n in common.items()}
+        listed = [*vocabulary, *common]
+        place = Places(zip(listed, range(len(listed)), strict=True))
+        # By place; the last entry is that of words that are not listed.
+        net_id = np.array([*range(len(vocabulary)), *map(bucket, common), 0], np.uint16)
+        log = np.array([0.0] * len(vocabulary) + [math.log(n) for n in common.values()] + [0.0])
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             blobs, more, beyond = [], [], []
             for value in batch.column(text):
                 own = words(value.as_py() or "")
-                found = np.fromiter(map(ids.__getitem__, own), np.uint16, len(own))
-                blobs.append(found.tobytes())
-                outside = Counter(itertools.compress(own, (found >= WORDS).tolist()))
-                more.append(math.fsum(k * log[w] for w, k in outside.items() if w in log))
-                beyond.append({w: k for w, k in outside.items() if w not in log})
+                at = np.fromiter(map(place.__getitem__, own), np.int32, len(own))
+                ids = net_id[at]
+                others = np.flatnonzero(at < 0).tolist()
+                if others:
+                    ids[others] = [bucket(own[i]) for i in others]
+                blobs.append(ids.tobytes())
+                more.append(float(log[at].sum()))
+                beyond.append(Counter([own[i] for i in others]))
             rows = pa.array(np.arange(row, row + len(blobs)))
             row += len(blobs)
             lists = pa.array([list(c) for c in beyond], pa.list_(pa.string())), pa.array([list(c.values()) for c in beyond], pa.list_(pa.int64()))

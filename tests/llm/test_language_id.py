@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 
 from phrasemill.llm import language_id as li
@@ -39,6 +40,23 @@ def test_no_labels_and_one_label(spark):
     assert li.identify(one.where("false")).count() == 0
 
 
+def test_sample_and_languages_are_bounded(spark):
+    rows = _rows() + [(5000 + i, "qq ww ee rr", "xx") for i in range(5)]
+    df = spark.createDataFrame([*rows, *rows[:7], *rows[:7]], "doc_id long, text string, lang string")
+    model = li.fit(df, 20, 4)  # the rarest label isn't learned
+    assert sorted(g for members in model.families.values() for g in members) == ["de", "en", "es", "fr"]
+    again = li.fit(df.repartition(3), 20, 4)
+    assert all((a[0] == b[0]).all() for a, b in zip(model.pair_svm.values(), again.pair_svm.values(), strict=True))
+    got = li.predict(df.select("doc_id", "text"), model).distinct().collect()  # repeated rows are predicted alike
+    assert len(got) == len(rows)
+
+
+def test_ties_go_to_the_later_name():
+    model = li.LanguageModel({"germanic": ["de", "en"]}, {}, {("de", "en"): (np.zeros(li.DIM, np.float32), 0.0, 1.0)})
+    lang, score = model.predict(["same same", "1 2"])
+    assert lang == ["de", "und"] and score.tolist() == [0.5, 0.0]
+
+
 def test_families():
     assert li.family_of("de") == li.family_of("en") == "germanic" and li.family_of("xx") == "only xx"
 

@@ -130,7 +130,7 @@ def test_words_of_a_bucket_have_their_own_share(spark, monkeypatch, held):
     pl = pseudo_likelihood
     monkeypatch.setattr(pl, "COMMON", held)
     first = "zq0"
-    other = next(w for w in (f"zq{i}" for i in range(1, 10_000)) if pl.Ids([])[w] == pl.Ids([])[first])
+    other = next(w for w in (f"zq{i}" for i in range(1, 10_000)) if pl.bucket(w) == pl.bucket(first))
     common = " ".join(f"w{i}" for i in range(pl.WORDS))
     rows = [(i, common) for i in range(4)] + [(10, f"w0 w1 {first} w2 w3"), (11, f"w0 w1 {first} w2 w3"), (12, f"w0 w1 {other} w2 w3"), (None, f"w0 w1 {first} w2 w3")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -138,7 +138,7 @@ def test_words_of_a_bucket_have_their_own_share(spark, monkeypatch, held):
     assert model.totals.sum() == 4 and first not in model.vocabulary
     got = {r.doc_id: r.log_prob for r in pl.score(pl.encoded(df, model), model).collect()}
     assert got[10] == pytest.approx(got[12] + np.log(3)) and got[10] == got[11] == got[None]
-    unseen = next(w for w in (f"zr{i}" for i in range(10_000)) if pl.Ids([])[w] == pl.Ids([])[first])
+    unseen = next(w for w in (f"zr{i}" for i in range(10_000)) if pl.bucket(w) == pl.bucket(first))
     new = spark.createDataFrame([(1, f"w0 w1 {unseen} w2 w3")], "doc_id long, text string")
     new = pl.score(pl.encoded(new, model), model).first()
     assert new.log_prob == pytest.approx(got[12])
