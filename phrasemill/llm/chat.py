@@ -30,46 +30,58 @@ def _mask(turns: str) -> Column:
     )
 
 
+def _turn() -> Column:
+    return F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def preference_pairs(turns: DataFrame, pair: str = "pair_id", side: str = "side") -> DataFrame:
     """One row per pair of ``turns(pair, side, turn, role, text)``, ``side`` being chosen or rejected.
 
-    Columns: the pair, ``prompt_turns``, ``prompt``, and for each side ``<side>`` (the completion) and
-    ``<side>_mask``. Null roles and texts are rendered as empty and are equal to each other. Turns go by their
-    number, then role and text; exact repeats of a turn are one turn. Turns without pair, number or one of the
-    two sides are left out, as is a pair that lacks a side. If both sides are equal, both completions are empty.
+    Columns as of ``formatted``. Turns go by their number, then role and text; exact repeats of a turn are one turn.
+    Turns without pair, number or one of the two sides are left out, as is a pair that lacks a side.
     """
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     known = turns.where(F.col(pair).isNotNull() & F.col("turn").isNotNull() & F.col(side).isin(*SIDES))
     # A conversation becomes one row of the result, so its turns have to meet; the two sides of a pair do too.
-    lists = known.groupBy(pair).agg(*[F.array_sort(F.collect_set(F.when(F.col(side) == s, turn))).alias(f"__{s}") for s in SIDES])
-    both = lists.where(" AND ".join(f"size(__{s}) > 0" for s in SIDES))
-    same = F.zip_with("__chosen", "__rejected", lambda a, b: F.coalesce((a.role == b.role) & (a.text == b.text), F.lit(False)))
-    n = F.coalesce(F.array_position(same, False).cast("int") - 1, F.lit(0))
-    both = both.withColumn("__n", F.when(F.array_position(same, False) > 0, n).otherwise(F.size("__chosen")))
+    lists = known.groupBy(pair).agg(*[F.array_sort(F.collect_set(F.when(F.col(side) == s, _turn()))).alias(s) for s in SIDES])
+    return formatted(lists.where(" AND ".join(f"size({s}) > 0" for s in SIDES)), pair)
+
+
+def formatted(lists: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """Rows of ``lists(pair, chosen, rejected)``, whose sides are arrays of turns, as prompt and completions.
+
+    Columns: the pair, ``prompt_turns``, ``prompt``, and for each side ``<side>`` (the completion) and
+    ``<side>_mask``. Null roles and texts are rendered as empty and are equal to each other. If both sides are
+    equal, both completions are empty.
+    """
+    same = F.zip_with("chosen", "rejected", lambda a, b: F.coalesce((a.role == b.role) & (a.text == b.text), F.lit(False)))
+    both = lists.withColumn("__at", F.array_position(same, False).cast("int")).withColumn("__n", F.when(F.col("__at") > 0, F.col("__at") - 1).otherwise(F.size("chosen")))
+    both = both.withColumn("__prompt", F.expr("slice(chosen, 1, __n)"))
     for s in SIDES:
-        both = both.withColumn(f"__rest_{s}", F.expr(f"slice(__{s}, __n + 1, size(__{s}))"))
+        both = both.withColumn(f"__rest_{s}", F.expr(f"slice({s}, __n + 1, size({s}))"))
     return both.select(
         pair,
         F.col("__n").cast("long").alias("prompt_turns"),
-        _rendered(F.expr("slice(__chosen, 1, __n)")).alias("prompt"),
+        _rendered(F.col("__prompt")).alias("prompt"),
         *[c for s in SIDES for c in (_rendered(F.col(f"__rest_{s}")).alias(s), _mask(f"__rest_{s}").alias(f"{s}_mask"))],
     )
 
 
 def swapped_endings(conversations: DataFrame) -> DataFrame:
-    """Preference turns from plain conversations: the last turn of every second one replaced by its neighbour's.
+    """``pair_id, chosen, rejected`` (arrays of turns) from plain conversations ``(conv_id, turn, role, text)``.
 
     Conversations 2p and 2p + 1 give two pairs: each is chosen as it is, and rejected with its last turn taken
-    from the other. A conversation whose neighbour is missing has its own last turn left out instead.
+    from the other. A conversation whose neighbour is missing has its own last turn left out instead, and no pair
+    if it has no other. Turns without conversation or number are left out; exact repeats are one turn.
     """
-    turns = conversations.where("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text").distinct()
-    last = turns.groupBy("conv_id").agg(F.max("turn").alias("last"))
-    marked = turns.join(last, "conv_id")
-    ending = marked.where("turn = last").select(F.expr("conv_id ^ 1").alias("conv_id"), F.col("role"), F.col("text"))
-    chosen = turns.select(F.col("conv_id").alias("pair_id"), F.lit("chosen").alias("side"), "turn", "role", "text")
-    kept = marked.where("turn < last").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), "turn", "role", "text")
-    other = ending.join(last, "conv_id").select(F.col("conv_id").alias("pair_id"), F.lit("rejected").alias("side"), F.col("last").alias("turn"), "role", "text")
-    return chosen.unionByName(kept).unionByName(other)
+    own = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id").agg(F.array_sort(F.collect_set(_turn())).alias("turns"))
+    # Two rows at most.
+    pairs = own.groupBy(F.shiftright("conv_id", 1).alias("p")).agg(F.collect_list(F.struct("conv_id", "turns")).alias("both"))
+    rows = pairs.select("both", F.explode("both").alias("own")).select(F.col("own.conv_id").alias("pair_id"), F.col("own.turns").alias("chosen"), "both")
+    rows = rows.withColumn("other", F.expr("get(filter(both, x -> x.conv_id <> pair_id), 0).turns")).withColumn("last", F.expr("element_at(chosen, -1).turn"))
+    ending = F.expr("transform(filter(other, t -> t.turn = element_at(other, -1).turn), t -> named_struct('turn', last, 'role', t.role, 'text', t.text))")
+    ending = F.coalesce(ending, F.expr("filter(chosen, t -> false)"))
+    rejected = F.array_sort(F.concat(F.expr("filter(chosen, t -> t.turn < last)"), ending))
+    return rows.select("pair_id", "chosen", rejected.alias("rejected")).where("size(rejected) > 0")
 
 
 def _oracle() -> str:

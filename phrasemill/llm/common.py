@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -56,6 +58,18 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     jvm.System.gc()
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside it, jobs hand rows to Python in batches of at most ``rows``: for wide rows such as pictures."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` with a broadcast hint if it has at most ``limit`` rows, else as it is (a shuffled join)."""
     return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small

@@ -30,7 +30,7 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.preference_pairs(chat.swapped_endings(table(spark, sf_dir, "conversations")))
+    return chat.formatted(chat.swapped_endings(table(spark, sf_dir, "conversations")))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import pathlib
 import random
 from collections import Counter
 
@@ -171,6 +172,57 @@ def test_preference_pairs(spark):
     assert chat.preference_pairs(df.where("false")).count() == 0
 
 
+def test_swapped_endings(spark):
+    rng = random.Random(3)
+    rows = [(c, t, rng.choice(["user", "assistant", None]), rng.choice(["hi", "", None, "é" * 5, "long " * 300])) for c in (*range(-4, 12), 20, 23) for t in range(rng.randint(1, 4))]
+    rows += rows[:5] + [(2, 0, "user", "another first"), (None, 0, "user", "x"), (3, None, "user", "x"), (40, 1, "user", "alone")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, last long")
+    conversations = {}
+    for c, t, role, text in rows:
+        if c is not None and t is not None:
+            conversations.setdefault(c, set()).add((t, role or "", text or ""))
+    want = {}
+    for c, turns in conversations.items():
+        last, other = max(turns)[0], conversations.get(c ^ 1, set())
+        ending = {(last, *t[1:]) for t in other if t[0] == max(other)[0]}
+        rejected = sorted({t for t in turns if t[0] < last} | ending)
+        if rejected:
+            want[c] = (sorted(turns), rejected)
+    got = {r.pair_id: ([tuple(t) for t in r.chosen], [tuple(t) for t in r.rejected]) for r in chat.swapped_endings(df).collect()}
+    assert got == want
+    for r in chat.formatted(chat.swapped_endings(df)).collect():
+        chosen, rejected = want[r.pair_id]
+        n = next((i for i, (a, b) in enumerate(zip(chosen, rejected, strict=False)) if a[1:] != b[1:]), min(len(chosen), len(rejected)))
+        assert r.prompt_turns == n
+        for side, turns in (("chosen", chosen), ("rejected", rejected)):
+            assert r.prompt + r[side] == "".join(f"<|{role}|>\n{text}<|end|>\n" for _, role, text in turns)
+            spans = [tuple(map(int, x.split(":"))) for x in r[f"{side}_mask"].split(",") if x]
+            assert [r[side][a:b] for a, b in spans] == [f"{text}<|end|>\n" for _, role, text in turns[n:] if role == "assistant"]
+    assert chat.swapped_endings(df.where("false")).count() == 0
+
+
+def test_licence_lines_of_any_length_and_wording(spark, monkeypatch):
+    more = spark.createDataFrame([("Foo", "notice", "This file is covered by the Foo terms"), ("Bar", "digest", "AB" * 32), ("Two", "notice", "two\nlines")], "license string, kind string, text string")
+    known = licenses.known_licences(spark).unionByName(more)
+    framed = "*" * 210 + " Released under the MIT License. " + "*" * 300
+    rows = [(1, framed), (2, "# this FILE is covered, by the foo terms\n" * 2), (3, "two\nlines"), (4, "x\r\n  licensed under the GPL version 3  \r\ny"), (5, "Permission denied " * 50_000), (1, framed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in (20_000, 10):  # in one map, and by a shuffled join
+        monkeypatch.setattr(licenses, "NOTICE_MAP", bound)
+        got = sorted((r.doc_id, r.text_license, r.n_notices, r.notice_licenses) for r in licenses.scan(df, known).collect())
+        assert got == [(1, None, 1, "MIT"), (1, None, 1, "MIT"), (2, None, 2, "Foo"), (3, None, 0, ""), (4, None, 1, "GPL-3.0"), (5, None, 0, "")]
+
+
+def test_digests_of_licence_texts(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(k, " \n".join((folder / k).read_text(errors="replace").upper().split("\n"))) for k in names if (folder / k).exists()]
+    if not texts:
+        pytest.skip("no licence texts on this machine")
+    got = {r.doc_id: r.text_license for r in licenses.scan(spark.createDataFrame(texts, "doc_id string, text string"), licenses.known_licences(spark)).collect()}
+    assert got == {k: names[k] for k, _ in texts}
+
+
 def test_media(spark):
     rng = np.random.default_rng(1)
     base = [media.picture_of(rng.standard_normal(64)) for _ in range(5)]
