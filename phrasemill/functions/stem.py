@@ -1,14 +1,15 @@
 """English stemmer after the published Porter2 (Snowball "english") description; other languages stay as they are.
 
-``stemmed`` runs it once per distinct word and joins the result back.
+``stemmed`` applies it to arrays of tokens and remembers words.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -110,22 +111,25 @@ def _replace(w: str, r1: int, table: dict[str, str], guarded: dict[str, tuple[st
     return w[: -len(found)] + table[found]
 
 
-@F.pandas_udf(T.StringType())
-def _stems(words: pd.Series, langs: pd.Series) -> pd.Series:
-    return pd.Series([stem(w) if (g or "en")[:2] == "en" else w for w, g in zip(words, langs, strict=True)])
+@lru_cache(maxsize=200_000)
+def _known(word: str) -> str:
+    return stem(word)
 
 
-def stemmed(df: DataFrame, key: list[str], tokens: str, lang: Column, into: str) -> DataFrame:
-    """Adds ``into``: the stems of ``tokens``, in order. Each distinct (language, word) is stemmed once.
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _stems(tokens: pd.Series, langs: pd.Series) -> pd.Series:
+    return pd.Series([None if ws is None else list(map(_known, ws)) if (g or "en")[:2] == "en" else list(ws) for ws, g in zip(tokens, langs, strict=True)])
 
-    ``key`` names the columns that identify a row.
+
+def stemmed(tokens: str | Column, lang: str | Column) -> Column:
+    """The stems of an array of tokens, in order; languages without a stemmer keep their words, null counts as English.
+
+    Each worker remembers the words it has met, so that nothing is shuffled and no frequent word is a hot key.
     """
-    rows = df.select(*key, F.coalesce(lang, F.lit("")).alias("__lang"), F.posexplode(tokens).alias("__at", "__word"))
-    known = rows.select("__lang", "__word").distinct().withColumn("__stem", _stems("__word", "__lang"))
-    listed = (
-        rows.join(known, ["__lang", "__word"])
-        .select(*key, "__at", "__stem")
-        .groupBy(*key)
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__stem"))), lambda x: x["__stem"]).alias(into))
-    )
-    return df.join(listed, key, "left").withColumn(into, F.coalesce(into, F.array().cast("array<string>")))
+    return _stems(F.col(tokens) if isinstance(tokens, str) else tokens, F.col(lang) if isinstance(lang, str) else lang)
+
+
+def has_stemmer(lang: str | Column) -> Column:
+    """Whether rows of a language are stemmed, for flags beside results that other languages would change."""
+    lang = F.col(lang) if isinstance(lang, str) else lang
+    return F.substring(F.coalesce(lang, F.lit("en")), 1, 2) == "en"

@@ -65,7 +65,7 @@ def fix_text(text: str | Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _nfkc_lower(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFKC", t).lower())
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).lower())
 
 
 def norm_text(text: str | Column) -> Column:
@@ -78,10 +78,11 @@ def norm_ascii(text: str | Column) -> Column:
     return F.lower(fix_text(text))
 
 
-def normalised(df: DataFrame, text: str, into: str) -> DataFrame:
-    """Adds ``into``: ASCII rows stay in the JVM, the others take the Arrow function; rows are not shuffled."""
-    ascii_ = ~F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x00-\x7F]")
-    return df.where(ascii_).withColumn(into, norm_ascii(text)).unionByName(df.where(~ascii_).withColumn(into, norm_text(text)))
+def normalised(text: str | Column) -> Column:
+    """``norm_text`` of any text: ASCII values stay in the JVM, only the others go through the Arrow function."""
+    text = F.col(text) if isinstance(text, str) else text
+    plain = ~F.coalesce(text, F.lit("")).rlike(r"[^\x00-\x7F]")
+    return F.when(plain, norm_ascii(text)).otherwise(_nfkc_lower(F.when(~plain, fix_text(text))))
 
 
 def norm_phrase(normal: Column) -> Column:
@@ -112,37 +113,43 @@ def tokens_with_sentinels(normal: str | Column) -> Column:
     return F.regexp_extract_all(marked, F.lit(rf"\x01|{WORD}"), F.lit(0))
 
 
-@lru_cache(maxsize=1)
-def _general() -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    """Token, separator and plain-word patterns for texts with combining marks or CJK characters."""
-    marks = "".join(chr(c) for c in range(0x10000) if unicodedata.category(chr(c)).startswith("M"))
-    inside = f"(?:[^\\W_{CJK}]|[{re.escape(marks)}])+"
-    word = f"[{CJK}]|{inside}"
-    punct = f"[^\\w\\s\x01{re.escape(marks)}]+"
-    separator = f"(?:\\s|\\A){punct}|{punct}(?:\\s|\\Z)|{punct}(?=[{CJK}])|(?<=[{CJK}]){punct}"
-    return re.compile(f"\x01|{word}"), re.compile(separator), re.compile(word)
-
-
-_PLAIN = (re.compile(r"\x01|[^\W_]+"), re.compile(r"(?:\s|\A)[^\w\s\x01]+|[^\w\s\x01]+(?:\s|\Z)"), re.compile(r"[^\W_]+"))
-_IS_CJK = re.compile(f"[{CJK}]")
+class _Kinds(dict):
+    """One letter for the kind of each character, decided when it is first met.
 
+    ``c`` a CJK character, ``w`` a letter, number or combining mark of any plane, ``u`` the underscore, ``s`` white
+    space, ``x`` the sentinel, ``p`` any other mark.
+    """
 
-def patterns_for(text: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
-    special = not text.isascii() and (_IS_CJK.search(text) or any(unicodedata.category(c).startswith("M") for c in set(text)))
-    return _general() if special else _PLAIN
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        if char == SENTINEL:
+            kind = "x"
+        elif any(low <= char <= high for low, high in _CJK_RANGES):
+            kind = "c"
+        elif unicodedata.category(char)[0] in "LNM":
+            kind = "w"
+        else:
+            kind = "u" if char == "_" else "s" if char.isspace() else "p"
+        self[code] = kind
+        return kind
 
 
-def token_list(normal: str) -> list[str]:
-    """Tokens with sentinels of any normalised text."""
-    token, separator, _ = patterns_for(normal)
-    return token.findall(separator.sub(f" {SENTINEL} ", normal))
+_CJK_RANGES = [tuple(r.split("-")) for r in re.findall(".-.", CJK)]
+_KINDS = _Kinds()
+# Over kinds: marks with white space, a text end or a CJK character beside them separate.
+_SEPARATING = re.compile(r"(?:s|\A)p+|p+(?:s|\Z)|p+(?=c)|(?<=c)p+")
+_UNITS = re.compile("x|c|w+")
 
 
 def token_spans(normal: str) -> list[tuple[str, int]]:
     """Tokens with sentinels and the offset at which each ends."""
-    token, separator, _ = patterns_for(normal)
-    padded = separator.sub(lambda m: SENTINEL.ljust(len(m[0])), normal)
-    return [(m[0], m.end()) for m in token.finditer(padded)]
+    kinds = _SEPARATING.sub(lambda m: "x" + "s" * (len(m[0]) - 1), normal.translate(_KINDS))
+    return [(SENTINEL if m[0] == "x" else normal[m.start() : m.end()], m.end()) for m in _UNITS.finditer(kinds)]
+
+
+def token_list(normal: str) -> list[str]:
+    """Tokens with sentinels of any normalised text."""
+    return [token for token, _ in token_spans(normal)]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -174,31 +181,36 @@ def normal_offsets(text: str) -> tuple[str, list[int]]:
     return "".join(out), [*at, len(text)]
 
 
-def stop_word_shares(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """``key, lang, share``: the part of a row's tokens that are each language's stop words; none for no token."""
-    spark = df.sparkSession
-    table = spark.createDataFrame([(w, lang) for lang, ws in STOP_WORDS.items() for w in dict.fromkeys(ws.split())], "word string, lang string")
-    rows = df.select(key, F.size(tokens).alias("n"), F.explode(tokens).alias("word")).groupBy(key, "n", "word").count()
-    return rows.join(F.broadcast(table), "word").groupBy(key, "lang").agg((F.sum("count") / F.first("n")).alias("share"))
+def _stop_words(df: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """``word`` and a 0/1 column for each language: some hundred rows whatever the input."""
+    listed = {g: set(STOP_WORDS[g].split()) for g in languages}
+    rows = [(w, *(int(w in own) for own in listed.values())) for w in sorted(set().union(*listed.values()))]
+    return df.sparkSession.createDataFrame(rows, "__word string, " + ", ".join(f"`__{g}` int" for g in languages))
 
 
-def language_share(tokens: str, lang: str) -> Column:
-    """One language's stop-word share as a row-wise expression (0 for no token)."""
-    own = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS[lang].split())])
-    return F.coalesce(F.try_divide(F.size(F.filter(tokens, lambda t: F.array_contains(own, t))), F.size(tokens)), F.lit(0.0))
+def stop_word_shares(df: DataFrame, key: Sequence[str], tokens: str, languages: Sequence[str] = tuple(STOP_WORDS)) -> DataFrame:
+    """``key, shares`` (a map from language to the part of the row's tokens that are its stop words; 0 without tokens).
 
+    ``key`` identifies a row. Tokens meet the broadcast list and are counted where they are; one partial row a text is shuffled.
+    """
+    each = df.select(*key, F.explode_outer(tokens).alias("__word")).join(F.broadcast(_stop_words(df, languages)), "__word", "left")
+    sums = each.groupBy(*key).agg(F.count("__word").alias("__n"), *[F.coalesce(F.sum(f"__{g}"), F.lit(0)).alias(f"__{g}") for g in languages])
+    share = [x for g in languages for x in (F.lit(g), F.coalesce(F.try_divide(f"__{g}", "__n"), F.lit(0.0)))]
+    return sums.select(*key, F.create_map(*share).alias("shares"))
 
-def language_vote(tokens: str, languages: Sequence[str] = tuple(STOP_WORDS)) -> tuple[Column, Column]:
-    """The best language (ties: first in the list; null below the floor) and its share, row by row."""
-    shares = F.array(*[F.struct(language_share(tokens, g).alias("share"), F.lit(-i).alias("order"), F.lit(g).alias("lang")) for i, g in enumerate(languages)])
-    best = F.array_max(shares)
-    return F.when(best["share"] >= VOTE_FLOOR, best["lang"]), best["share"]
 
+def language_vote(shares: str | Column, languages: Sequence[str] = tuple(STOP_WORDS)) -> tuple[Column, Column]:
+    """The best language of a map of shares (ties: first in the list; null below the floor) and its share."""
+    shares = F.col(shares) if isinstance(shares, str) else shares
+    best = F.greatest(*[shares[g] for g in languages]) if len(languages) > 1 else shares[languages[0]]
+    named = F.coalesce(*[F.when(shares[g] == best, g) for g in languages])
+    return F.when(best >= VOTE_FLOOR, named), best
 
-def contradicts(tokens: str, declared: Column) -> Column:
+
+def contradicts(shares: str | Column, declared: Column, languages: Sequence[str] = tuple(STOP_WORDS)) -> Column:
     """Whether the vote contradicts a declared language that has a stop-word list and a far smaller share."""
-    best, share = language_vote(tokens)
-    own = F.coalesce(*[F.when(F.substring(declared, 1, 2) == g, language_share(tokens, g)) for g in STOP_WORDS])
+    best, share = language_vote(shares, languages)
+    own = (F.col(shares) if isinstance(shares, str) else shares)[F.substring(declared, 1, 2)]
     return F.coalesce(best.isNotNull() & (best != F.substring(declared, 1, 2)) & own.isNotNull() & (own < F.lit(CONTRADICTION) * share), F.lit(False))
 
 
@@ -207,29 +219,36 @@ def approximate_tokens(n_words: Column, backend: str = "transformers") -> Column
     return F.bround(n_words * F.lit(TOKENS_PER_WORD.get(backend, OTHER_TOKENS_PER_WORD)), 0).cast("int")
 
 
-def _end(stems: str, pad: str) -> str:
-    """SQL: words before the end of the first contiguous occurrence of ``stems`` in ``pad``, -1 if there is none."""
-    needle = f"concat(' ', array_join({stems}, ' '), ' ')"
-    head = f"substr({pad}, 1, instr({pad}, {needle}) + length({needle}) - 2)"
-    return f"CASE WHEN instr({pad}, {needle}) > 0 THEN (length({head}) - length(replace({head}, ' ', ''))) - 1 - (length({head}) - length(replace({head}, '{SENTINEL}', ''))) ELSE -1 END"
+def padded(tokens: str | Column) -> Column:
+    """Tokens by single spaces, one at each end: what ``prmu`` searches, built once for a document."""
+    return F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL: ``body`` with ``value``, evaluated once, as ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-def prmu(alternatives: str, stems: str) -> Column:
-    """``struct<class, end_word>`` of a phrase's alternatives (arrays of stems) in a document's stems.
+
+def prmu_sql(alternatives: str, pad: str) -> str:
+    """SQL: ``struct<class, end_word>`` of a phrase's alternatives (arrays of stems) in a document's ``padded`` stems.
 
     P: one occurs contiguously (the earliest end counts; sentinels block); R: all of one's stems occur; M: some; U:
     none. The best class over the alternatives stands; empty alternatives are passed over.
     """
-    pad = f"concat(' ', array_join({stems}, ' '), ' ')"
-    each = (
-        f"transform(filter({alternatives}, v -> size(v) > 0), v -> named_struct('end', {_end('v', pad)}, "
-        f"'present', size(array_intersect(array_remove(v, '{SENTINEL}'), {stems})), 'all', size(array_distinct(array_remove(v, '{SENTINEL}')))))"
-    )
-    return F.expr(
-        f"transform(array({each}), e -> CASE WHEN exists(e, x -> x.end >= 0) THEN named_struct('class', 'P', 'end_word', array_min(filter(transform(e, x -> x.end), n -> n >= 0))) "
-        "WHEN exists(e, x -> x.present = x.all) THEN named_struct('class', 'R', 'end_word', -1) "
-        "WHEN exists(e, x -> x.present > 0) THEN named_struct('class', 'M', 'end_word', -1) ELSE named_struct('class', 'U', 'end_word', -1) END)[0]"
-    )
+    words = f"array_distinct(filter(v, w -> w <> '{SENTINEL}'))"
+    head = "length(head) - length(replace(head, ' ', '')) - 1" + f" - (length(head) - length(replace(head, '{SENTINEL}', '')))"
+    end = _let("nd", "concat(' ', array_join(v, ' '), ' ')", _let("p", f"instr({pad}, nd)", f"CASE WHEN p > 0 THEN {_let('head', f'substr({pad}, 1, p + length(nd) - 2)', head)} ELSE -1 END"))
+    each = f"transform(filter({alternatives}, v -> size(v) > 0), v -> named_struct('end', {end}, 'all', size({words}), 'found', size(filter({words}, w -> instr({pad}, concat(' ', w, ' ')) > 0))))"
+    return _let(
+        "e", each,
+        "CASE WHEN exists(e, x -> x.end >= 0) THEN named_struct('class', 'P', 'end_word', array_min(filter(transform(e, x -> x.end), n -> n >= 0))) "
+        "WHEN exists(e, x -> x.found = x.all) THEN named_struct('class', 'R', 'end_word', -1) "
+        "WHEN exists(e, x -> x.found > 0) THEN named_struct('class', 'M', 'end_word', -1) ELSE named_struct('class', 'U', 'end_word', -1) END",
+    )
+
+
+def prmu(alternatives: str, pad: str) -> Column:
+    return F.expr(prmu_sql(alternatives, pad))
 
 
 def present_spans(normal: str, phrases: Sequence[Sequence[str]]) -> list[tuple[int, int]]:

@@ -214,7 +214,7 @@ def histogram(df: DataFrame, value: str, by: Sequence[str], bins: int = 20, uppe
     """Counts in at most ``bins`` bins of whole width up to a quantile; the last bin holds what is beyond."""
     span = df.groupBy(*by).agg(F.min(value).alias("lo"), F.percentile(value, F.lit(upper)).alias("hi"))
     width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / bins))
-    rows = df.join(F.broadcast(span), list(by)).withColumn("width", width)
+    rows = df.join(span, list(by)).withColumn("width", width)
     at = F.least(F.floor((F.col(value) - F.col("lo")) / F.col("width")), F.floor((F.col("hi") - F.col("lo")) / F.col("width")))
     return rows.groupBy(*by, "lo", "width", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -234,9 +234,32 @@ def natural_page(df: DataFrame, key: str, size: int = 15, page: int = 0) -> Data
     return df.orderBy(F.regexp_replace(text, "[0-9]+$", ""), number.asc_nulls_first(), text).offset(size * page).limit(size)
 
 
-def on_every(df: DataFrame, key: Sequence[str], over: str, n: int) -> DataFrame:
-    """Relational division: keys that occur with all ``n`` values of ``over``."""
-    return df.groupBy(*key).agg(F.count_distinct(over).alias("seen")).where(F.col("seen") == n).select(*key)
+def on_every(df: DataFrame, key: Sequence[str], over: str, among: DataFrame | None = None) -> DataFrame:
+    """Relational division: keys that occur with every value of ``over`` (or every value that ``among`` holds)."""
+    if among is not None:
+        df = df.join(among.select(over).distinct(), over, "left_semi")
+    need = (df if among is None else among).agg(F.count_distinct(over).alias("need"))
+    return df.groupBy(*key).agg(F.count_distinct(over).alias("seen")).crossJoin(F.broadcast(need)).where("seen = need").select(*key)  # one row
+
+
+def length_curve(df: DataFrame, x: str, value: str, by: Sequence[str], most: int = 8, least: int = 3, each: int = 12) -> DataFrame:
+    """``by, bin, n, lo, hi, mean``: means of ``value`` in bins of about equal counts along ``x``.
+
+    A bin ends where ``x`` changes, so that equal lengths share one; a last bin of less than half the aim joins the
+    one before it. Rows are counted by ``x`` before any window.
+    """
+    group = Window.partitionBy(*by)
+    upto = group.orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    v = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("c"), F.sum(value).alias("t"))
+    v = v.withColumn("n", F.sum("c").over(group)).withColumn("before", F.sum("c").over(upto) - F.col("c"))
+    v = v.withColumn("bins", F.least(F.lit(most), F.greatest(F.lit(least), F.floor(F.col("n") / each))).cast("int"))
+    places = F.transform(F.sequence(F.lit(1), F.col("bins") - 1), lambda b: F.least(F.bround(b * (F.col("n") / F.col("bins")), 0), F.col("n") - 1))
+    opens = (F.col("before") > 0) & F.exists(places, lambda at: (at >= F.col("before")) & (at < F.col("before") + F.col("c")))
+    v = v.withColumn("bin", F.sum(opens.cast("int")).over(upto))
+    bins = v.groupBy(*by, "bin", "n", "bins").agg(F.sum("c").alias("c"), F.min(x).alias("lo"), F.max(x).alias("hi"), F.sum("t").alias("t"))
+    short = (F.col("bin") == F.max("bin").over(group)) & (F.col("bin") > 0) & (F.col("c") < F.greatest(F.lit(2), F.floor(F.col("n") / F.col("bins") / 2)))
+    bins = bins.withColumn("bin", F.when(short, F.col("bin") - 1).otherwise(F.col("bin")).cast("int"))
+    return bins.groupBy(*by, "bin").agg(F.sum("c").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), (F.sum("t") / F.sum("c")).alias("mean"))
 
 
 def controlled_sweeps(runs: DataFrame, params: str, by: Sequence[str]) -> DataFrame:

@@ -29,72 +29,65 @@ def variants_overlap(gold: str | Column) -> Column:
 
 
 def disjoint_hits(preds: str, gold: str) -> Column:
-    """Hits of unique predicted stems on gold whose variants do not overlap, in rank order."""
-    found = (
-        f"filter(transform({preds}, (s, r) -> named_struct('rank', r, 'gold', "
-        f"array_position(transform({gold}, g -> array_contains(g, s)), true) - 1)), h -> h.gold >= 0)"
-    )
-    # A later variant of a gold phrase that is taken is no hit.
-    return F.expr(
-        f"cast(transform(filter(transform({found}, (h, i) -> named_struct('h', h, 'first', NOT exists(slice({found}, 1, i), e -> e.gold = h.gold))), "
-        f"x -> x.first), x -> named_struct('rank', x.h.rank, 'gold', x.h.gold)) AS {HITS})"
-    )
+    """Hits of unique predicted stems on gold whose variants do not overlap, in rank order.
+
+    Each gold phrase takes the smallest rank of its variants.
+    """
+    rank = "array_min(filter(transform(g, s -> array_position({preds}, s)), p -> p > 0)) - 1".format(preds=preds)
+    each = f"transform({gold}, (g, i) -> named_struct('rank', cast({rank} AS int), 'gold', i))"
+    return F.expr(f"cast(array_sort(filter({each}, h -> h.rank IS NOT NULL)) AS {HITS})")
 
 
 def maximum_matching(preds: Sequence[str], gold: Sequence[Sequence[str]]) -> list[tuple[int, int]]:
     """Maximum one-to-one matching with the earliest ranks: pairs ``(rank, gold index)`` by rank.
 
-    Ranks enter one after the other; each searches breadth first for a chain of reassignments that ends at a
-    free gold phrase, so that a rank once matched stays matched.
+    Ranks enter one after the other. Each goes depth first through the gold phrases that list its stem, in their
+    order: a free one is taken, the holder of a taken one looks for another place first. A phrase is tried once a
+    rank, and a rank once matched stays matched. The search keeps its own stack, as chains can be long.
     """
     fits = [[i for i, variants in enumerate(gold) if stem in variants] for stem in preds]
     holder: dict[int, int] = {}
     for rank in range(len(preds)):
-        came_from: dict[int, int] = {}
-        frontier, free = [rank], None
-        while frontier and free is None:
-            following = []
-            for at in frontier:
-                for g in fits[at]:
-                    if g in came_from:
-                        continue
-                    came_from[g] = at
-                    if g not in holder:
-                        free = g
-                        break
-                    following.append(holder[g])
-                if free is not None:
-                    break
-            frontier = following
-        while free is not None:
-            at = came_from[free]
-            previous = next((g for g, r in holder.items() if r == at), None)
-            if previous is not None:
-                del holder[previous]
-            holder[free] = at
-            free = previous
+        tried: set[int] = set()
+        path = [(rank, iter(fits[rank]))]
+        wants: list[int] = []  # the phrase that each rank of the path is after
+        while path:
+            at, choices = path[-1]
+            place = next((g for g in choices if g not in tried), None)
+            if place is None:
+                path.pop()
+                if wants:
+                    wants.pop()
+                continue
+            tried.add(place)
+            wants.append(place)
+            if place not in holder:
+                for (owner, _), g in zip(path, wants, strict=True):
+                    holder[g] = owner
+                break
+            path.append((holder[place], iter(fits[holder[place]])))
     return sorted((r, g) for g, r in holder.items())
 
 
 @F.pandas_udf(T.ArrayType(T.StructType().add("rank", T.IntegerType()).add("gold", T.IntegerType())))
 def _overlapping_hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for preds, gold in batches:
-        yield pd.Series([[{"rank": r, "gold": g} for r, g in maximum_matching(list(p), [list(v) for v in gs])] for p, gs in zip(preds, gold, strict=True)])
+        yield pd.Series([None if gs is None else [{"rank": r, "gold": g} for r, g in maximum_matching(list(p), [list(v) for v in gs])] for p, gs in zip(preds, gold, strict=True)])
 
 
 def match(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """Matches of ``predictions(dataset, model, arch, run_id, doc_id, stems)`` with
-    ``gold(dataset, doc_id, ann_key, stems)``, whose stems are one array of variants per phrase.
+    ``gold(dataset, doc_id, ann_key, stems, ...)``, whose stems are one array of variants per phrase.
 
-    One join on the document; then row-wise. Documents without gold are left out.
+    One join on the document; then row-wise. Documents without gold are left out; gold's other columns stay.
     """
-    both = predictions.select("dataset", "model", "arch", "run_id", "doc_id", unique_in_order("stems").alias("preds")).join(
-        gold.select("dataset", "doc_id", "ann_key", F.col("stems").alias("gold")), ["dataset", "doc_id"]
-    )
-    keys = ["dataset", "model", "arch", "run_id", "doc_id", "ann_key", F.size("preds").alias("n_uniq"), F.size("gold").alias("n_gold")]
-    plain = both.where(~variants_overlap("gold")).select(*keys, disjoint_hits("preds", "gold").alias("hits"))
-    mixed = both.where(variants_overlap("gold")).select(*keys, _overlapping_hits("preds", "gold").alias("hits"))
-    return plain.unionByName(mixed)
+    gold = gold.withColumnRenamed("stems", "gold").withColumn("__overlap", variants_overlap("gold"))
+    others = [c for c in gold.columns if c not in ("dataset", "doc_id", "ann_key", "gold", "__overlap")]
+    both = predictions.select("dataset", "model", "arch", "run_id", "doc_id", unique_in_order("stems").alias("preds")).join(gold, ["dataset", "doc_id"])
+    # Rows whose variants are disjoint hand nulls to the Arrow function.
+    mixed = _overlapping_hits(F.when(F.col("__overlap"), F.col("preds")), F.when(F.col("__overlap"), F.col("gold")))
+    hits = F.when(F.col("__overlap"), mixed).otherwise(disjoint_hits("preds", "gold"))
+    return both.select("dataset", "model", "arch", "run_id", "doc_id", "ann_key", F.size("preds").alias("n_uniq"), F.size("gold").alias("n_gold"), hits.alias("hits"), *others)
 
 
 def multilingual_hits(ranked: Sequence[dict[str, str]], gold: Sequence[tuple[str, Sequence[str]]]) -> list[tuple[int, int]]:

@@ -52,32 +52,46 @@ def _scored(df: DataFrame, allowed: Column | None) -> DataFrame:
 def per_document(
     matches: DataFrame,
     cutoffs: Sequence[str] = CUTOFFS,
-    allowed: DataFrame | None = None,
+    allowed: DataFrame | Column | None = None,
     include: DataFrame | None = None,
     exclude: DataFrame | None = None,
 ) -> DataFrame:
     """Scores of every run, document, annotation set and cut-off that has gold left.
 
-    ``allowed(dataset, doc_id, ann_key, allowed)`` restricts the gold (see ``allowed_gold``); ``include`` and
-    ``exclude`` hold ``(dataset, doc_id)``. An empty include list means no document, not no filter.
+    ``allowed(dataset, doc_id, ann_key, allowed)`` restricts the gold (see ``allowed_gold``), or a column of the row's
+    own (see ``allowed_of``), which needs no join; ``include`` and ``exclude`` hold ``(dataset, doc_id)``. An empty include list means no document, not no filter.
     """
     base = _base(matches, allowed, include, exclude).where("n_al > 0")
     return _scored(base.withColumn("k", F.explode(F.array(*map(F.lit, cutoffs)))), F.col("allowed") if allowed is not None else None)
 
 
-def skipped(matches: DataFrame, allowed: DataFrame | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
+def skipped(matches: DataFrame, allowed: DataFrame | Column | None = None, include: DataFrame | None = None, exclude: DataFrame | None = None) -> DataFrame:
     """Documents per run and annotation set that have no gold left."""
     base = _base(matches, allowed, include, exclude)
     return base.groupBy(*RUN, "ann_key").agg(F.count_if(F.col("n_al") <= 0).alias("n_skipped"))
 
 
-def _base(matches: DataFrame, allowed: DataFrame | None, include: DataFrame | None, exclude: DataFrame | None) -> DataFrame:
+def allowed_of(gold: str, classes: Sequence[str] | None = None, require_position: bool = False, token_limit: int | None = None) -> Column:
+    """As ``allowed_gold`` for rows that hold their gold: indices of ``gold``, an array of ``(prmu, end_char, tok_end)`` structs."""
+    tests = ["true"]
+    if classes is not None:
+        tests.append("coalesce(g.prmu, 'U') IN ({})".format(", ".join(f"'{c}'" for c in classes)) if classes else "false")
+    if require_position:
+        tests.append("coalesce(g.end_char, -1) >= 0")
+    if token_limit is not None:
+        tests.append(f"coalesce(g.tok_end <= {int(token_limit)}, false)")
+    return F.expr(f"filter(transform({gold}, (g, i) -> CASE WHEN {' AND '.join(tests)} THEN i END), i -> i IS NOT NULL)")
+
+
+def _base(matches: DataFrame, allowed: DataFrame | Column | None, include: DataFrame | None, exclude: DataFrame | None) -> DataFrame:
     for ids, how in ((include, "left_semi"), (exclude, "left_anti")):
         if ids is not None:
             few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
             matches = matches.join(F.broadcast(ids) if few else ids, ["dataset", "doc_id"], how)
     if allowed is None:
         return matches.withColumn("n_al", F.col("n_gold"))
+    if isinstance(allowed, Column):
+        return matches.withColumn("allowed", allowed).withColumn("n_al", F.size("allowed"))
     return matches.join(allowed, DOC, "left").withColumn("n_al", F.coalesce(F.size("allowed"), F.lit(0)))
 
 

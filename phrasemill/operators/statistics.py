@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), rank: str = "rank", ties: str = "ties") -> DataFrame:
-    """Adds the rank from 1 (ties share their mean) and the size of the row's tie group."""
+    """Adds the rank from 1 (ties share their mean) and the size of the row's tie group; for groups of few rows.
+
+    Large groups are ranked by ``value_ranks``, which counts before its window.
+    """
     own = Window.partitionBy(*by, value)
     return df.withColumn(ties, F.count(F.lit(1)).over(own)).withColumn(rank, F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.col(ties) - 1) / 2)
 
@@ -55,7 +58,7 @@ def friedman(scores: DataFrame, block: str, condition: str, value: str, by: Sequ
     # Few conditions per block: the ranks inside a block are a window of k rows.
     k = scores.groupBy(*by).agg(F.count_distinct(condition).alias("k"))
     complete = scores.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy(*by, block)))
-    complete = complete.join(F.broadcast(k), list(by)) if by else complete.crossJoin(F.broadcast(k))
+    complete = complete.join(k, list(by)) if by else complete.crossJoin(F.broadcast(k))  # one row
     ranked = average_ranks(complete.where("own = k"), value, [*by, block])
     t = F.col("ties").cast("double")
     sums = ranked.groupBy(*by, "k", condition).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"), F.sum(t * t - 1).alias("t"))
@@ -95,7 +98,7 @@ def rm_anova(scores: DataFrame, block: str, condition: str, value: str, by: Sequ
     k = scores.groupBy(*by).agg(F.count_distinct(condition).alias("k"))
     blocks = Window.partitionBy(*by, block)
     rows = scores.withColumn("own", F.count(F.lit(1)).over(blocks)).withColumn("of_block", F.avg(value).over(blocks))
-    rows = (rows.join(F.broadcast(k), list(by)) if by else rows.crossJoin(F.broadcast(k))).where("own = k")
+    rows = (rows.join(k, list(by)) if by else rows.crossJoin(F.broadcast(k))).where("own = k")  # one row
     # Sums of squares from conditions' sums of values and of block-centred values: one pass and no second join.
     per = rows.groupBy(*by, "k", condition).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col(value) - F.col("of_block")).alias("effect"), F.sum(F.pow(F.col(value) - F.col("of_block"), F.lit(2.0))).alias("ss")
@@ -145,14 +148,28 @@ def pearson_matrix(means: DataFrame, system: str, group: str, value: str) -> Dat
     return pairs.agg(F.count(F.lit(1)).alias("n"), F.when(spread, F.covar_pop("x", "y") / (F.stddev_pop("x") * F.stddev_pop("y"))).alias("r"))
 
 
-def kendall_pairs(df: DataFrame, item: str, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """``by, concordant, discordant, ties_x, ties_y, tau``; quadratic in the items of a group, which are systems."""
-    a, b = df.select(*by, F.col(item).alias("i"), F.col(x).alias("x1"), F.col(y).alias("y1")), df.select(*by, F.col(item).alias("j"), F.col(x).alias("x2"), F.col(y).alias("y2"))
-    pairs = (a.join(b, list(by)) if by else a.crossJoin(b)).where("i < j")
-    s, t = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    out = pairs.groupBy(*by).agg(
-        F.count_if(s * t > 0).alias("concordant"), F.count_if(s * t < 0).alias("discordant"), F.count_if((s == 0) & (t != 0)).alias("ties_x"), F.count_if((s != 0) & (t == 0)).alias("ties_y")
+def kendall_pairs(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by, concordant, discordant, ties_x, ties_y, tau``.
+
+    Items are counted by ``(x, y)`` first; pairs are made of distinct cells, weighed by their counts, so that the work
+    grows with the square of the distinct cells of a group: it is meant for systems, or scores on few steps.
+    """
+    key = [*by, "__all"]
+    cells = df.withColumn("__all", F.lit(0)).groupBy(*key, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    a, b = (cells.select(*key, *(F.col(c).alias(c + side) for c in ("x", "y", "n"))) for side in "12")
+    # Each unordered pair of different cells once.
+    pairs = a.join(b, key).where("x1 < x2 OR x1 = x2 AND y1 < y2")
+    s, t, w = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2")), F.col("n1") * F.col("n2")
+
+    def total(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, w)), F.lit(0))
+
+    counts = pairs.groupBy(*key).agg(
+        total(s * t > 0).alias("concordant"), total(s * t < 0).alias("discordant"), total((s == 0) & (t != 0)).alias("ties_x"), total((s != 0) & (t == 0)).alias("ties_y")
     )
+    # Groups with pairs of equal items only have no pair of cells.
+    groups = cells.groupBy(*key).agg(F.sum("n").alias("items")).where("items > 1").drop("items")
+    out = groups.join(counts, key, "left").fillna(0, ["concordant", "discordant", "ties_x", "ties_y"]).drop("__all")
     both = F.col("concordant") + F.col("discordant")
     return out.withColumn("tau", F.try_divide((F.col("concordant") - F.col("discordant")).cast("double"), F.sqrt((both + F.col("ties_x")) * (both + F.col("ties_y")))))
 

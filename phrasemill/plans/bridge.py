@@ -7,7 +7,7 @@ live in arrays of the document's row: building, de-duplicating and matching them
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasemill.functions import text
@@ -23,10 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``dataset, doc_id, lang, n_chars, split, toks``: documents of at least two words."""
     split = F.expr("CASE doc_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN NULL WHEN 2 THEN 'valid' WHEN 3 THEN 'Training_large' ELSE ' train ' END")
-    docs = table(spark, sf_dir, "documents").select(
+    # Asked of the text, not of its words: a filter on a derived column would derive it twice.
+    docs = table(spark, sf_dir, "documents").where(F.lower("text").rlike(rf"{text.WORD}[^\p{{L}}\p{{N}}]+{text.WORD}"))
+    return docs.select(
         F.col("source").alias("dataset"), "doc_id", "lang", "n_chars", split.alias("split"), F.regexp_extract_all(F.lower("text"), F.lit(text.WORD), F.lit(0)).alias("toks")
     )
-    return docs.where(F.size("toks") >= 2)
 
 
 def _at(i: str) -> str:
@@ -34,49 +35,57 @@ def _at(i: str) -> str:
 
 
 def gold_arrays(docs: DataFrame) -> DataFrame:
-    """Adds ``gold``: distinct phrases, three present, one reversed, one half unseen, one unseen."""
+    """Adds ``gold``: distinct phrases, three present, one reversed, one half unseen, one unseen; each a struct of
+    ``kp, n_words, prmu, end_word, end_char, tok_end``, classified beside the document's words."""
     p = _at("i")
-    return docs.withColumn(
-        "gold",
-        F.expr(
-            f"array_distinct(transform(sequence(0, {N_GOLD - 1}), i -> CASE WHEN i < 3 THEN concat_ws(' ', toks[{p} - 1], toks[{p}]) "
-            f"WHEN i = 3 THEN concat_ws(' ', toks[{p}], toks[{p} - 1]) WHEN i = 4 THEN concat_ws(' ', toks[{p} - 1], 'zzunseen') ELSE 'zzabsent zzunseen' END))"
-        ),
+    phrases = (
+        f"array_distinct(transform(sequence(0, {N_GOLD - 1}), i -> CASE WHEN i < 3 THEN concat_ws(' ', toks[{p} - 1], toks[{p}]) "
+        f"WHEN i = 3 THEN concat_ws(' ', toks[{p}], toks[{p} - 1]) WHEN i = 4 THEN concat_ws(' ', toks[{p} - 1], 'zzunseen') ELSE 'zzabsent zzunseen' END))"
     )
+    docs = docs.withColumn("phrases", F.expr(phrases)).withColumn("pad", text.padded("toks"))
+    one = f"transform(phrases, k -> named_struct('kp', k, 'n_words', size(split(k, ' ')), 'c', {text.prmu_sql("array(split(k, ' '))", 'pad')}))"
+    docs = docs.withColumn("classified", F.expr(one)).drop("phrases", "pad")
+    def described(x: Column) -> Column:
+        end = x["c"]["end_word"]
+        tokens = F.when(end >= 0, text.approximate_tokens(end + 1))
+        return F.struct(x["kp"].alias("kp"), x["n_words"].alias("n_words"), x["c"]["class"].alias("prmu"), end.alias("end_word"), end.alias("end_char"), tokens.alias("tok_end"))
+
+    return docs.withColumn("gold", F.transform("classified", described)).drop("classified")
+
+
+def gold_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``dataset, doc_id, split, lang, ann_key, gold``: one row per document and annotation set; reader has every second phrase."""
+    docs = gold_arrays(documents(spark, sf_dir)).select("dataset", "doc_id", "split", "lang", "gold")
+    sets = F.array(F.struct(F.lit("author").alias("k"), F.col("gold").alias("g")), F.struct(F.lit("reader").alias("k"), F.filter("gold", lambda g, i: i % 2 == 0).alias("g")))
+    # The outer generators keep Spark from evaluating the arrays once more for a filter on their size.
+    return docs.select("dataset", "doc_id", "split", "lang", F.explode_outer(sets).alias("s")).select("dataset", "doc_id", "split", "lang", F.col("s.k").alias("ann_key"), F.col("s.g").alias("gold"))
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``dataset, doc_id, split, lang, ann_key, kp_idx, kp, n_words, prmu, end_word, end_char``; reader has every second phrase."""
-    docs = gold_arrays(documents(spark, sf_dir))
-    one = docs.select("dataset", "doc_id", "split", "lang", "toks", F.posexplode("gold").alias("kp_idx", "kp"))
-    one = one.withColumn("c", text.prmu("array(split(kp, ' '))", "toks"))
-    one = one.select("dataset", "doc_id", "split", "lang", "kp_idx", "kp", F.size(F.split("kp", " ")).alias("n_words"), F.col("c.class").alias("prmu"), F.col("c.end_word").alias("end_word"))
-    one = one.withColumn("end_char", F.col("end_word"))
-    reader = one.where("kp_idx % 2 = 0").withColumn("kp_idx", F.expr("int(kp_idx div 2)"))
-    return one.withColumn("ann_key", F.lit("author")).unionByName(reader.withColumn("ann_key", F.lit("reader")))
+    """``dataset, doc_id, split, lang, ann_key, kp_idx, kp, n_words, prmu, end_word, end_char, tok_end``."""
+    one = gold_sets(spark, sf_dir).select("dataset", "doc_id", "split", "lang", "ann_key", F.posexplode_outer("gold").alias("kp_idx", "g"))
+    return one.where("kp_idx IS NOT NULL").select("dataset", "doc_id", "split", "lang", "ann_key", "kp_idx", "g.*")
 
 
 def token_positions(gold_: DataFrame) -> DataFrame:
     """Approximate model-token position at which each located phrase ends."""
-    located = gold_.where("end_word >= 0")
-    return located.select("dataset", "doc_id", "ann_key", "kp_idx", text.approximate_tokens(F.col("end_word") + 1).alias("tok_end"))
+    return gold_.where("tok_end IS NOT NULL").select("dataset", "doc_id", "ann_key", "kp_idx", "tok_end")
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``dataset, model, arch, run_id, doc_id, stems``: ranked distinct phrases of every model for evaluation documents."""
-    docs = documents(spark, sf_dir).where(scoring.is_eval_split("split")).withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(N_MODELS - 1))))
+    docs = documents(spark, sf_dir).where(scoring.is_eval_split("split"))
     p = _at(f"(j * (m + 1) + m) % {N_PREDS}")
-    stems = F.expr(f"array_distinct(transform(sequence(0, {N_PREDS - 1}), j -> CASE WHEN (j + doc_id) % 4 = 3 THEN concat('noise ', j) ELSE concat_ws(' ', toks[{p} - 1], toks[{p}]) END))")
-    out = docs.where("doc_id % (7 + m) <> 0").select("dataset", F.expr("concat('model', m)").alias("model"), F.expr("concat('arch', m % 2)").alias("arch"), F.expr("concat('r', m)").alias("run_id"), "doc_id", stems.alias("stems"))
-    return out
+    stems = f"array_distinct(transform(sequence(0, {N_PREDS - 1}), j -> CASE WHEN (j + doc_id) % 4 = 3 THEN concat('noise ', j) ELSE concat_ws(' ', toks[{p} - 1], toks[{p}]) END))"
+    runs = F.expr(f"transform(filter(sequence(0, {N_MODELS - 1}), m -> doc_id % (7 + m) <> 0), m -> named_struct('m', m, 'stems', {stems}))")
+    one = docs.select("dataset", "doc_id", F.explode_outer(runs).alias("r")).where("r IS NOT NULL")
+    return one.select("dataset", F.expr("concat('model', r.m)").alias("model"), F.expr("concat('arch', r.m % 2)").alias("arch"), F.expr("concat('r', r.m)").alias("run_id"), "doc_id", "r.stems")
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of all predictions with both annotation sets (``operators.matching``)."""
-    docs = gold_arrays(documents(spark, sf_dir).where(scoring.is_eval_split("split")))
-    variants = F.transform("gold", lambda g: F.array(g))
-    both = F.array(F.struct(F.lit("author").alias("ann_key"), variants.alias("stems")), F.struct(F.lit("reader").alias("ann_key"), F.filter(variants, lambda g, i: i % 2 == 0).alias("stems")))
-    golds = docs.select("dataset", "doc_id", F.explode(both).alias("g")).select("dataset", "doc_id", "g.*")
+    """Matches of all predictions with both annotation sets (``operators.matching``), with the gold of each row."""
+    golds = gold_sets(spark, sf_dir).where(scoring.is_eval_split("split")).select("dataset", "doc_id", "ann_key", "gold")
+    golds = golds.withColumn("stems", F.transform("gold", lambda g: F.array(g["kp"]))).withColumnRenamed("gold", "of")
     return matching.match(predictions(spark, sf_dir), golds)
 
 

@@ -56,8 +56,7 @@ def _filtered(gold_filter: str) -> str:
 
 @query(_filtered("WHERE coalesce(g.prmu, 'U') IN ('R', 'M', 'U')"))
 def score_filtered_prmu(spark: SparkSession, d: str) -> DataFrame:
-    allowed = scoring.allowed_gold(bridge.gold(spark, d), ["R", "M", "U"])
-    return scoring.run_metrics(bridge.matches(spark, d), allowed=allowed)
+    return scoring.run_metrics(bridge.matches(spark, d), allowed=scoring.allowed_of("of", ["R", "M", "U"]))
 
 
 @query(_filtered("WHERE coalesce(g.end_word, -1) >= 0"))
@@ -67,8 +66,7 @@ def score_position_required(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_filtered("WHERE t.tok_end IS NOT NULL AND t.tok_end <= 128"))
 def score_token_window(spark: SparkSession, d: str) -> DataFrame:
-    gold = bridge.gold(spark, d)
-    return scoring.run_metrics(bridge.matches(spark, d), allowed=scoring.allowed_gold(gold, positions=bridge.token_positions(gold), token_limit=128))
+    return scoring.run_metrics(bridge.matches(spark, d), allowed=scoring.allowed_of("of", token_limit=128))
 
 
 def _third(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +85,7 @@ def score_doc_exclude(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {scored_sql(chr(87) + "HERE g.prmu = 'R'")} SELECT {_RUN}, ann_key, count(*) FILTER (n_al <= 0) AS n_skipped FROM left_ GROUP BY ALL")
 def score_skipped_docs(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.skipped(bridge.matches(spark, d), scoring.allowed_gold(bridge.gold(spark, d), ["R"]))
+    return scoring.skipped(bridge.matches(spark, d), scoring.allowed_of("of", ["R"]))
 
 
 @query(f"WITH {scored_sql()} SELECT {_RUN}, ann_key, k, {_MEANS} FROM scored WHERE (model, arch, run_id) IN (('model0', 'arch0', 'r0'), ('model3', 'arch1', 'r3')) GROUP BY ALL")
@@ -163,8 +161,8 @@ _FOUR = ("en", "fr", "de", "es")
 @query(_vote_sql() + f"SELECT doc_id, {_BEST} AS voted, share FROM b")
 def language_vote(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", text.words(text.norm_ascii("text")).alias("t"))
-    best, share = text.language_vote("t", _FOUR)
-    return docs.select("doc_id", best.alias("voted"), share.alias("share"))
+    best, share = text.language_vote("shares", _FOUR)
+    return text.stop_word_shares(docs, ["doc_id"], "t", _FOUR).select("doc_id", best.alias("voted"), share.alias("share"))
 
 
 @query(_vote_sql() + f", v AS (SELECT *, {_BEST} AS voted, CASE doc_id % 2 WHEN 0 THEN lang ELSE 'en' END AS declared FROM b) SELECT declared, voted, count(*) AS n FROM v "
@@ -172,10 +170,9 @@ def language_vote(spark: SparkSession, d: str) -> DataFrame:
 def language_mismatch_flags(spark: SparkSession, d: str) -> DataFrame:
     declared = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("en")
     docs = table(spark, d, "documents").select("doc_id", declared.alias("declared"), text.words(text.norm_ascii("text")).alias("t"))
-    best, share = text.language_vote("t", _FOUR)
-    own = F.coalesce(*[F.when(F.col("declared") == g, text.language_share("t", g)) for g in _FOUR])
-    voted = docs.select("declared", best.alias("voted"), share.alias("share"), own.alias("own"))
-    return voted.where((F.col("voted") != F.col("declared")) & (F.col("own") < text.CONTRADICTION * F.col("share"))).groupBy("declared", "voted").agg(F.count(F.lit(1)).alias("n"))
+    shares = text.stop_word_shares(docs, ["doc_id", "declared"], "t", _FOUR)
+    flagged = shares.where(text.contradicts("shares", F.col("declared"), _FOUR))
+    return flagged.select("declared", text.language_vote("shares", _FOUR)[0].alias("voted")).groupBy("declared", "voted").agg(F.count(F.lit(1)).alias("n"))
 
 
 # Gold --------------------------------------------------------------------------------------------------------
@@ -497,11 +494,11 @@ def paired_t(spark: SparkSession, d: str) -> DataFrame:
     return statistics.paired_t(_xy(spark, d), ["dataset"])
 
 
-@query(f"{_SC}, a AS (SELECT dataset, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, avg(f1) FILTER (g) AS m1, avg(f1) FILTER (NOT g) AS m2, var_samp(f1) FILTER (g) AS v1, var_samp(f1) FILTER (NOT g) AS v2 FROM (SELECT *, n_uniq < 8 AS g FROM s WHERE model = 'model2' AND doc_id % 2 = 0) GROUP BY 1) "
+@query(f"{_SC}, a AS (SELECT dataset, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, avg(f1) FILTER (g) AS m1, avg(f1) FILTER (NOT g) AS m2, var_samp(f1) FILTER (g) AS v1, var_samp(f1) FILTER (NOT g) AS v2 FROM (SELECT *, n_uniq < 8 AS g FROM s WHERE model = 'model2') GROUP BY 1) "
        "SELECT dataset, n1, n2, CASE WHEN v1 / n1 + v2 / n2 > 0 THEN (m1 - m2) / sqrt(v1 / n1 + v2 / n2) END AS t, CASE WHEN v1 / n1 + v2 / n2 > 0 THEN (v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1)) END AS df, "
        "CASE WHEN (n1 - 1) * v1 + (n2 - 1) * v2 > 0 THEN (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) * (1 - 3.0 / (4 * (n1 + n2) - 9)) END AS g FROM a")
 def welch_t(spark: SparkSession, d: str) -> DataFrame:
-    s = _ten(spark, d).where("model = 'model2' AND doc_id % 2 = 0").withColumn("g", F.col("n_uniq") < 8)
+    s = _ten(spark, d).where("model = 'model2'").withColumn("g", F.col("n_uniq") < 8)
     return statistics.welch_t(s, "f1", "g", ["dataset"])
 
 
@@ -532,7 +529,7 @@ def rq1_pearson_matrix(spark: SparkSession, d: str) -> DataFrame:
        "SELECT *, CASE WHEN (concordant + discordant + ties_x) * (concordant + discordant + ties_y) > 0 THEN (concordant - discordant) / sqrt((concordant + discordant + ties_x) * (concordant + discordant + ties_y)) END AS tau FROM c")
 def kendall_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("i"), F.round("s_acctbal", -3).alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("y"))
-    return statistics.kendall_pairs(s, "i", "x", "y", ["g"])
+    return statistics.kendall_pairs(s, "x", "y", ["g"])
 
 
 # Workbenches ---------------------------------------------------------------------------------------------------
@@ -555,19 +552,30 @@ def pareto_frontier(spark: SparkSession, d: str) -> DataFrame:
        "LEFT JOIN hits h ON h.dataset = m.dataset AND h.run_id = m.run_id AND h.doc_id = m.doc_id AND h.ann_key = m.ann_key WHERE m.ann_key = 'author' GROUP BY m.dataset, m.run_id, m.doc_id, m.n_gold) "
        "SELECT w.dataset, w.run_id, count(*) AS n, avg(o.r) AS r_all, avg(w.r) AS r_window FROM w JOIN o ON o.dataset = w.dataset AND o.run_id = w.run_id AND o.doc_id = w.doc_id GROUP BY ALL")
 def rq3_window_pairs(spark: SparkSession, d: str) -> DataFrame:
-    gold, m = bridge.gold(spark, d), bridge.matches(spark, d).where("ann_key = 'author'")
-    allowed = scoring.allowed_gold(gold, positions=bridge.token_positions(gold), token_limit=128)
-    window = scoring.per_document(m, ["10"], allowed=allowed).select("dataset", "run_id", "doc_id", F.col("r").alias("rw"))
-    every = scoring.per_document(m, ["10"]).select("dataset", "run_id", "doc_id", "r")
-    return window.join(every, ["dataset", "run_id", "doc_id"]).groupBy("dataset", "run_id").agg(F.count(F.lit(1)).alias("n"), F.avg("r").alias("r_all"), F.avg("rw").alias("r_window"))
+    # Both scorings share the hits of one row, so one pass gives the pair.
+    m = bridge.matches(spark, d).where("ann_key = 'author'")
+    window = scoring.per_document(m.withColumn("every", F.expr("size(filter(hits, h -> h.rank < 10)) / n_gold")), ["10"], allowed=scoring.allowed_of("of", token_limit=128))
+    return window.groupBy("dataset", "run_id").agg(F.count(F.lit(1)).alias("n"), F.avg("every").alias("r_all"), F.avg("r").alias("r_window"))
+
+
+_BINS = (
+    "cl AS (SELECT s.dataset, s.model, s.f1, len(docs.toks) AS x FROM s JOIN docs ON docs.dataset = s.dataset AND docs.doc_id = s.doc_id), "
+    "cv AS (SELECT dataset, model, x, count(*) AS c, sum(f1) AS t, sum(count(*)) OVER (PARTITION BY dataset, model) AS n, sum(count(*)) OVER (PARTITION BY dataset, model ORDER BY x) - count(*) AS before FROM cl GROUP BY dataset, model, x), "
+    "cnb AS (SELECT *, least(8, greatest(3, n // 12)) AS nb FROM cv), "
+    # A boundary b stands where the value at position round(b n / nb) begins; a value's bin is the number of boundaries at or before it.
+    "ce AS (SELECT *, (SELECT count(DISTINCT w.before) FROM cnb w, range(1, 8) AS r(b) WHERE w.dataset = nb.dataset AND w.model = nb.model AND b < nb.nb AND w.before > 0 AND w.before <= nb.before "
+    "AND least(round_even(b * nb.n / nb.nb::DOUBLE, 0), nb.n - 1) >= w.before AND least(round_even(b * nb.n / nb.nb::DOUBLE, 0), nb.n - 1) < w.before + w.c) AS bin FROM cnb nb), "
+    "cf AS (SELECT dataset, model, bin, sum(c) AS n, min(x) AS lo, max(x) AS hi, sum(t) AS t, any_value(n) AS total, any_value(nb) AS nb FROM (SELECT dataset, model, bin, c, x, t, n, nb FROM ce) GROUP BY dataset, model, bin), "
+    "ch AS (SELECT *, max(bin) OVER (PARTITION BY dataset, model) AS last FROM cf), "
+    "cg AS (SELECT *, CASE WHEN bin = last AND bin > 0 AND n < greatest(2, floor(total / nb::DOUBLE / 2)) THEN bin - 1 ELSE bin END AS b FROM ch)"
+)
 
 
-@query(f"{_SC}, l AS (SELECT s.*, ntile(8) OVER (PARTITION BY s.dataset, s.model ORDER BY len(docs.toks), s.doc_id) AS bin, len(docs.toks) AS n_words FROM s JOIN docs ON docs.dataset = s.dataset AND docs.doc_id = s.doc_id) SELECT dataset, model, bin::INTEGER AS bin, count(*) AS n, min(n_words) AS lo, max(n_words) AS hi, avg(f1) AS f1_mean FROM l GROUP BY ALL")
+@query(f"{_SC}, {_BINS} SELECT dataset, model, b::INTEGER AS bin, sum(n)::BIGINT AS n, min(lo) AS lo, max(hi) AS hi, sum(t) / sum(n) AS f1_mean FROM cg GROUP BY dataset, model, b")
 def rq3_length_curve(spark: SparkSession, d: str) -> DataFrame:
     length = bridge.documents(spark, d).select("dataset", "doc_id", F.size("toks").alias("n_words"))
-    w = Window.partitionBy("dataset", "model").orderBy("n_words", "doc_id")
-    binned = _ten(spark, d).join(length, ["dataset", "doc_id"]).withColumn("bin", F.ntile(8).over(w))
-    return binned.groupBy("dataset", "model", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("n_words").alias("lo"), F.max("n_words").alias("hi"), F.avg("f1").alias("f1_mean"))
+    scored = _ten(spark, d).join(length, ["dataset", "doc_id"])
+    return facts.length_curve(scored, "n_words", "f1", ["dataset", "model"]).withColumnRenamed("mean", "f1_mean")
 
 
 @query("WITH r AS (SELECT p_brand AS ds, 'r' || p_partkey AS run_id, p_size % 4 AS a, p_partkey % 3 AS b FROM part), "
@@ -586,10 +594,8 @@ def rq5_common_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT user_id FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)")
 def relational_division(spark: SparkSession, d: str) -> DataFrame:
-    ev = table(spark, d, "events").select("user_id", "event_type")
-    need = ev.agg(F.count_distinct("event_type").alias("need"))
-    seen = ev.groupBy("user_id").agg(F.count_distinct("event_type").alias("seen"))
-    return seen.crossJoin(F.broadcast(need)).where("seen = need").select("user_id")
+    ev = table(spark, d, "events")
+    return facts.on_every(ev, ["user_id"], "event_type")
 
 
 @query(f"WITH {BASE}, {_MAJ}, {_IDS}, {_TAGS} SELECT cov.model, cov.dataset, count(*) AS n_runs, min(coverage) AS coverage, max(CASE WHEN len(tags) > 1 THEN 1 ELSE 0 END) AS flagged FROM cov JOIN tags ON tags.dataset = cov.dataset AND tags.run_id = cov.run_id GROUP BY ALL")

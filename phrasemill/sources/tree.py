@@ -6,7 +6,7 @@ predictions. Files are listed by Spark's binary reader, so that any file system
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Path patterns by kind, in order.
@@ -39,11 +39,20 @@ def classified(path: str | Column = "path") -> list[Column]:
 def discovered(spark: SparkSession, root: str) -> DataFrame:
     """Manifest ``path, size, mtime, hash, kind, ...`` of all files below ``root`` that are part of the tree.
 
-    Hidden folders are passed over. Contents are hashed where they are read; they don't reach the driver.
+    Hidden folders are passed over. Contents are hashed where they are read; they don't reach the driver. Line files
+    may have any size: their hash is made of their number of lines and two sums of line hashes, which split files add up
+    to; cards are hashed whole.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = files.where(~F.col("path").rlike(r"/\.[^/]+/")).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"))
-    return rows.select("*", *classified("path")).where("kind IS NOT NULL")
+    rows = files.select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content").where(~F.col("path").rlike(r"/\.[^/]+/"))
+    rows = rows.select("*", *classified("path")).where("kind IS NOT NULL")
+    cards, lines = rows.where("path NOT LIKE '%.jsonl'"), rows.where("path LIKE '%.jsonl'").drop("content")
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root)
+    sums = text.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+        F.sha2(F.concat_ws("|", F.count(F.lit(1)), F.sum(F.xxhash64("value").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("value", F.lit(1)))), 256).alias("hash")
+    )
+    lines = lines.join(sums, "path", "left").withColumn("hash", F.coalesce("hash", F.lit("no lines")))
+    return cards.withColumn("hash", F.sha2("content", 256)).drop("content").unionByName(lines).select("path", "size", "mtime", "hash", *rows.columns[4:])
 
 
 def changes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -54,10 +63,15 @@ def changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def registered(known: DataFrame, found: DataFrame) -> DataFrame:
-    """``path, file_id``: known files keep their number, new ones go on from the largest in the order of paths."""
-    from pyspark.sql import Window
+    """``path, file_id``: known files keep their number, new ones go on from the largest, by folder and path.
 
-    new = found.select("path").distinct().join(known.select("path"), "path", "left_anti")
+    Files are numbered inside their folder; only the folders, of which there are far fewer, are numbered in one task.
+    """
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    new = found.select("path").distinct().join(known.select("path"), "path", "left_anti").withColumn("folder", folder)
+    place = F.row_number().over(Window.partitionBy("folder").orderBy("path"))
+    sizes = new.groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("folder", (F.sum("n").over(Window.orderBy("folder").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")).alias("before"))
     top = known.agg(F.coalesce(F.max("file_id"), F.lit(0)).alias("top"))
-    numbered = new.crossJoin(F.broadcast(top)).select("path", (F.col("top") + F.row_number().over(Window.orderBy("path"))).alias("file_id"))
-    return known.select("path", "file_id").unionByName(numbered)
+    numbered = new.withColumn("place", place).join(before, "folder").crossJoin(F.broadcast(top))  # one row
+    return known.select("path", F.col("file_id").cast("long").alias("file_id")).unionByName(numbered.select("path", (F.col("top") + F.col("before") + F.col("place")).cast("long").alias("file_id")))

@@ -2,18 +2,17 @@
 
 The engine has no streams. A dataset's derived partitions carry the signature of everything they depend on (file
 hashes, the parts of cards that count, code version); partitions whose signature is unchanged are kept. A scan
-writes a new version folder and publishes it last, in one rename; a failed scan publishes nothing.
+writes a new version folder and publishes it last, by one marker file; a failed scan publishes nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,36 +40,49 @@ def removed(old: DataFrame, new: DataFrame, by: list[str]) -> DataFrame:
 def refreshed(table: DataFrame, derived: DataFrame, gone: DataFrame, by: list[str]) -> DataFrame:
     """A table with the rows of derived and removed groups replaced."""
     out = derived.select(*by).distinct().unionByName(gone.select(*by))
-    return table.join(F.broadcast(out), by, "left_anti").unionByName(derived)
+    return table.join(out, by, "left_anti").unionByName(derived)
 
 
 class Versions:
-    """Version folders below ``root`` and a pointer file; the pointer moves only when everything is written."""
+    """Version folders below ``root``, on any file system that Spark writes to.
 
-    def __init__(self, root: str) -> None:
-        self.root = root
+    A version counts once its folder holds the marker ``_PUBLISHED``, which is made last and at once; a scan that
+    fails or is cancelled leaves an unmarked folder that nobody reads.
+    """
 
-    def _pointer(self) -> str:
-        return os.path.join(self.root, "CURRENT")
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.root = root.rstrip("/")
+        jvm = spark._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[int]:
+        if not self._files.exists(self._path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in self._files.listStatus(self._path(self.root))]
+        return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
 
     def current(self) -> str | None:
-        try:
-            with open(self._pointer()) as f:
-                return os.path.join(self.root, f.read().strip())
-        except FileNotFoundError:
-            return None
+        """The latest published version's folder."""
+        for n in reversed(self._versions()):
+            if self._files.exists(self._path(f"{self.root}/v{n}/_PUBLISHED")):
+                return f"{self.root}/v{n}"
+        return None
 
     def begin(self) -> str:
-        os.makedirs(self.root, exist_ok=True)
-        n = max((int(d[1:]) for d in os.listdir(self.root) if d[:1] == "v" and d[1:].isdigit()), default=0) + 1
-        os.makedirs(path := os.path.join(self.root, f"v{n}"))
+        path = f"{self.root}/v{max(self._versions(), default=0) + 1}"
+        if not self._files.mkdirs(self._path(path)):
+            raise RuntimeError(f"{path} can't be made")
         return path
 
     def publish(self, path: str, tables: Iterable[str]) -> None:
-        """Moves the pointer to ``path`` if all its tables were written completely."""
+        """Marks the version at ``path`` if all its tables were written completely."""
         for t in tables:
-            if not os.path.exists(os.path.join(path, t, "_SUCCESS")):
+            if not self._files.exists(self._path(f"{path}/{t}/_SUCCESS")):
                 raise RuntimeError(f"{t} is incomplete; nothing is published")
-        with open(self._pointer() + ".new", "w") as f:
-            f.write(os.path.basename(path))
-        os.replace(self._pointer() + ".new", self._pointer())
+        if not self._files.createNewFile(self._path(f"{path}/_PUBLISHED")):
+            raise RuntimeError(f"{path} is published already")
+
+    def incomplete(self) -> list[str]:
+        """Folders of scans that never ended."""
+        return [f"{self.root}/v{n}" for n in self._versions() if not self._files.exists(self._path(f"{self.root}/v{n}/_PUBLISHED"))]

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -102,11 +103,45 @@ def test_incremental(spark, tmp_path):
     second = tree.discovered(spark, str(root))
     assert [r.change for r in tree.changes(first, second).collect()] == ["changed"]
     assert incremental.stale(sig, incremental.signatures(second, ["dataset"], "code 1"), ["dataset"]).count() == 1
-    versions = incremental.Versions(str(tmp_path / "store"))
+    versions = incremental.Versions(spark, str(tmp_path / "store"))
     path = versions.begin()
     with pytest.raises(RuntimeError):
         versions.publish(path, ["t"])
-    assert versions.current() is None
+    assert versions.current() is None and versions.incomplete() == [path]
     first.write.parquet(f"{path}/t")
     versions.publish(path, ["t"])
-    assert versions.current() == path
+    assert versions.current() == path and versions.begin() != path and versions.current() == path
+    ids = tree.registered(spark.createDataFrame([], "path string, file_id long"), first)
+    more = tree.registered(ids, spark.createDataFrame([("file:///a/b",), ("file:///a/a",)], "path string").unionByName(first.select("path")))
+    assert sorted(r.file_id for r in ids.collect()) == [1, 2, 3]
+    assert {r.path: r.file_id for r in more.where("file_id > 3").collect()} == {"file:///a/a": 4, "file:///a/b": 5}
+
+
+def _curve(lengths, scores):
+    """Bins of equal counts whose edges are lengths, one after the other."""
+    rows = sorted(zip(lengths, scores, strict=True))
+    xs, n = [x for x, _ in rows], len(rows)
+    bins = min(8, max(3, n // 12))
+    starts = {0}
+    for b in range(1, bins):
+        starts.add(xs.index(xs[min(round(b * n / bins), n - 1)]))
+    cuts = [*sorted(starts), n]
+    parts = [rows[a:b] for a, b in zip(cuts, cuts[1:])]
+    if len(parts) > 1 and len(parts[-1]) < max(2, n / bins // 2):
+        parts[-2:] = [parts[-2] + parts[-1]]
+    return [(i, len(p), p[0][0], p[-1][0], pytest.approx(sum(v for _, v in p) / len(p))) for i, p in enumerate(parts)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_length_curve(spark, seed):
+    rng = random.Random(seed)
+    groups = {g: [(rng.choice([3, 5, 5, 5, 7, 20, 21, 30]) if rng.random() < 0.7 else rng.randint(1, 200), rng.random()) for _ in range(rng.choice([1, 5, 40, 130]))] for g in "ab"}
+    df = spark.createDataFrame([(g, x, v) for g, rows in groups.items() for x, v in rows], "g string, x int, v double")
+    got = sorted(map(tuple, facts.length_curve(df, "x", "v", ["g"]).collect()))
+    assert got == [(g, *r) for g, rows in sorted(groups.items()) for r in _curve(*zip(*rows))]
+
+
+def test_division(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (3, "b"), (3, "a"), (3, "c"), (4, None)], "k int, v string")
+    assert {r.k for r in facts.on_every(df, ["k"], "v").collect()} == {3}
+    assert {r.k for r in facts.on_every(df, ["k"], "v", spark.createDataFrame([("a",), ("b",), ("a",)], "v string")).collect()} == {1, 3}

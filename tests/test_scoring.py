@@ -1,6 +1,7 @@
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from phrasemill.operators import matching, scoring
 
@@ -48,6 +49,24 @@ def test_matching(spark):
     assert got == {1: (3, 2, [(0, 1), (1, 0)]), 2: (2, 2, [(0, 1), (1, 0)])}
 
 
+def test_overlapping_variants_go_depth_first():
+    """A rank takes the first phrase in the gold's order; the holder of a taken one looks for another."""
+    assert matching.maximum_matching(["a", "b"], [["a", "b"], ["b"], ["a"]]) == [(0, 2), (1, 0)]
+    assert matching.maximum_matching(["a", "b"], [["a", "b"], ["a"]]) == [(0, 1), (1, 0)]
+    chain = [[f"s{i}", f"s{i + 1}"] for i in range(3000)]
+    assert len(matching.maximum_matching([f"s{i}" for i in range(1, 3001)] + ["s0"], chain)) == 3000
+
+
+def test_filters_on_own_gold(spark):
+    m = _matches(spark, [(1, 4, 3, [(0, 0), (1, 2)]), (2, 4, 3, [(0, 1)])])
+    own = "transform(array(named_struct('prmu', 'P', 'end_char', 3, 'tok_end', 10 * doc_id), named_struct('prmu', null, 'end_char', -1, 'tok_end', null), named_struct('prmu', 'R', 'end_char', null, 'tok_end', null)), x -> x)"
+    m = m.withColumn("of", F.expr(own))
+    for options, want in (({"classes": ["P", "U"]}, {1: (2, 1.0), 2: (2, 1.0)}), ({"token_limit": 10}, {1: (1, 1.0)}), ({"require_position": True}, {1: (1, 1.0), 2: (1, 0.0)}), ({"classes": []}, {})):
+        got = {r.doc_id: (r.n_al, r.tp) for r in scoring.per_document(m, ["5"], allowed=scoring.allowed_of("of", **options)).collect()}
+        assert got == want
+    assert scoring.skipped(m, scoring.allowed_of("of", ["M"])).first().n_skipped == 2
+
+
 def _largest(preds, gold, taken=frozenset(), i=0):
     if i == len(preds):
         return 0

@@ -77,7 +77,7 @@ def test_frames_agree_with_vectors(spark):
     long = spark.createDataFrame([(i, c, float(v[i])) for c, v in (("x", x), ("y", y), ("z", z)) for i in range(40)], "doc int, c string, v double")
     assert statistics.friedman(long, "doc", "c", "v").first().chi2 == pytest.approx(stats.friedman([x, y, z])[0])
     assert statistics.rm_anova(long, "doc", "c", "v").first().f == pytest.approx(stats.rm_anova([x, y, z])[0])
-    k = statistics.kendall_pairs(long.groupBy("doc").pivot("c", ["x", "y"]).sum("v"), "doc", "x", "y").first()
+    k = statistics.kendall_pairs(long.groupBy("doc").pivot("c", ["x", "y"]).sum("v"), "x", "y").first()
     assert k.tau == pytest.approx(stats.kendall(x, y)[0])
 
 

@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from phrasemill.functions import text
-from phrasemill.functions.stem import stem, stemmed
+from phrasemill.functions.stem import has_stemmer, stem, stemmed
 
 
 @pytest.mark.parametrize(
@@ -14,16 +15,14 @@ def test_stems(word, want):
 
 
 def test_stemmed_keeps_order_and_other_languages(spark):
-    from pyspark.sql import functions as F
-
-    df = spark.createDataFrame([(1, ["networks", "hoping", "networks"], "en"), (2, ["réseaux"], "fr"), (3, [], "en")], "id int, t array<string>, lang string")
-    got = {r.id: r.s for r in stemmed(df, ["id"], "t", F.col("lang"), "s").collect()}
-    assert got == {1: ["network", "hope", "network"], 2: ["réseaux"], 3: []}
+    df = spark.createDataFrame([(1, ["networks", "hoping", "networks"], "en"), (2, ["réseaux"], "fr"), (3, [], "en"), (4, None, "en"), (5, ["hopes"], None), (5, ["hoping"], None)], "id int, t array<string>, lang string")
+    got = sorted((r.id, r.s, r.own) for r in df.select("id", stemmed("t", F.col("lang")).alias("s"), has_stemmer("lang").alias("own")).collect())
+    assert got == [(1, ["network", "hope", "network"], True), (2, ["réseaux"], False), (3, [], True), (4, None, True), (5, ["hope"], True), (5, ["hope"], True)]
 
 
 def test_normalisation(spark):
     df = spark.createDataFrame([(1, "d\x92Analyse  ﬁn\x00"), (2, "ABC\x07d"), (3, None)], "id int, t string")
-    got = {r.id: r.n for r in text.normalised(df, "t", "n").collect()}
+    got = {r.id: r.n for r in df.select("id", text.normalised("t").alias("n")).collect()}
     assert got == {1: "d’analyse  fin ", 2: "abc d", 3: ""}
 
 
@@ -44,6 +43,13 @@ def test_general_tokens():
     assert text.token_spans("a, bc") == [("a", 1), ("\x01", 2), ("bc", 5)]
 
 
+def test_tokens_of_all_planes():
+    assert text.token_list("a\U000101fdb") == ["a\U000101fdb"]  # a combining mark beyond the first plane
+    assert text.token_list("snake_case, x_") == ["snake", "case", "\x01", "x"]
+    assert text.token_list("網，路 a\x01b") == ["網", "\x01", "路", "a", "\x01", "b"]
+    assert text.token_list("") == [] and text.token_list("...") == ["\x01"]
+
+
 def test_offsets_map_back():
     normal, at = text.normal_offsets("ﬁn été")
     assert normal == "fin été"
@@ -59,17 +65,20 @@ DOC = "graph base rank of candid keyphras \x01 we studi neural network for extra
 )
 def test_prmu(spark, alternatives, want):
     df = spark.createDataFrame([(DOC, alternatives)], "s array<string>, a array<array<string>>")
-    got = df.select(text.prmu("a", "s").alias("c")).first().c
+    got = df.withColumn("pad", text.padded("s")).select(text.prmu("a", "pad").alias("c")).first().c
     assert (got["class"], got.end_word) == want
 
 
 def test_language_vote(spark):
     rows = [(1, "the of and to in word".split()), (2, "le la les des du mot".split()), (3, ["zzz"] * 20), (4, [])]
     df = spark.createDataFrame(rows, "id int, t array<string>")
-    best, _ = text.language_vote("t")
-    assert {r.id: r.v for r in df.select("id", best.alias("v")).collect()} == {1: "en", 2: "fr", 3: None, 4: None}
-    shares = {(r.id, r.lang): r.share for r in text.stop_word_shares(df, "id", "t").collect()}
-    assert shares[1, "en"] == pytest.approx(5 / 6) and (3, "en") not in shares
+    shares = text.stop_word_shares(df, ["id"], "t")
+    best, _ = text.language_vote("shares")
+    assert {r.id: r.v for r in shares.select("id", best.alias("v")).collect()} == {1: "en", 2: "fr", 3: None, 4: None}
+    got = {r.id: r.shares for r in shares.collect()}
+    assert got[1]["en"] == pytest.approx(5 / 6) and got[3]["en"] == 0 == got[4]["en"]
+    declared = shares.select("id", text.contradicts("shares", F.lit("de")).alias("c"), text.contradicts("shares", F.lit("en")).alias("own"), text.contradicts("shares", F.lit("xx")).alias("no"))
+    assert {r.id: (r.c, r.own, r.no) for r in declared.collect()} == {1: (True, False, False), 2: (True, True, False), 3: (False,) * 3, 4: (False,) * 3}
 
 
 def test_present_spans_merge():
