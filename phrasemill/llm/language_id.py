@@ -87,29 +87,35 @@ def vectors(texts: list[str]) -> np.ndarray:
     return out
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 8.0, epochs: int = 30) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and slope of an L2-loss linear SVM, by dual coordinate descent.
+def fit_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, cost: float = 8.0, epochs: int = 30) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and slope of an L2-loss linear SVM on ``rows`` of ``x`` (all if None), by dual coordinate descent.
 
-    Classes weigh alike. The slope turns margins into probabilities; it is a one-parameter logistic fit.
+    Classes weigh alike. The slope turns margins into probabilities; it is a one-parameter logistic fit. ``x`` is not
+    copied.
     """
+    rows = np.arange(len(x)) if rows is None else rows
     n = len(y)
     each = np.where(y > 0, n / (2 * max(1, (y > 0).sum())), n / (2 * max(1, (y < 0).sum()))) * cost
-    xb = np.hstack([x, np.ones((n, 1), np.float32)])
-    w, alpha = np.zeros(xb.shape[1], np.float64), np.zeros(n)
-    diag, curve = 0.5 / each, (xb * xb).sum(1) + 0.5 / each
+    # The bias is the weight of a feature that is always 1.
+    w, bias, alpha = np.zeros(x.shape[1], np.float64), 0.0, np.zeros(n)
+    diag = 0.5 / each
+    curve = np.array([x[r] @ x[r] for r in rows], np.float64) + 1 + diag
     rng = np.random.Generator(np.random.PCG64(7))
     for _ in range(epochs):
         for i in rng.permutation(n):
-            g = y[i] * (xb[i] @ w) - 1 + diag[i] * alpha[i]
+            own = x[rows[i]]
+            g = y[i] * (own @ w + bias) - 1 + diag[i] * alpha[i]
             new = max(alpha[i] - g / curve[i], 0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * xb[i]
+                step = (new - alpha[i]) * y[i]
+                w += step * own
+                bias += step
                 alpha[i] = new
-    margin, slope = y * (xb @ w), 1.0
+    margin, slope = y * (np.array([x[r] @ w for r in rows]) + bias), 1.0
     for _ in range(25):
         p = 1 / (1 + np.exp(np.clip(slope * margin, -30, 30)))
         slope = float(np.clip(slope + (p * margin).sum() / max((p * (1 - p) * margin**2).sum(), 1e-6), 0.5, 8.0))
-    return w[:-1].astype(np.float32), float(w[-1]), slope
+    return w.astype(np.float32), float(bias), slope
 
 
 @dataclass
@@ -131,8 +137,8 @@ class LanguageModel:
                 model.family_svm[name] = fit_svm(x, np.where(fam == name, 1.0, -1.0))
         for members in model.families.values():
             for a, b in combinations(members, 2):
-                rows = (own == a) | (own == b)
-                model.pair_svm[a, b] = fit_svm(x[rows], np.where(own[rows] == a, 1.0, -1.0))
+                rows = np.flatnonzero((own == a) | (own == b))
+                model.pair_svm[a, b] = fit_svm(x, np.where(own[rows] == a, 1.0, -1.0), rows)
         return model
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -201,7 +207,9 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG, most: int = MAX_LANGS)
     sample = rows.withColumn("place", first).where(F.col("place") <= per_lang).orderBy("lang", "place").select("lang", "x").toArrow()
     if not sample.num_rows:
         return LanguageModel()
-    x = np.frombuffer(b"".join(sample.column("x").to_pylist()), np.float32).reshape(sample.num_rows, -1)
+    data = sample.column("x").combine_chunks()
+    start = np.frombuffer(data.buffers()[1], np.int32)[data.offset]
+    x = np.frombuffer(data.buffers()[2], np.float32, sample.num_rows * DIM, start).reshape(-1, DIM)
     return LanguageModel.fit(x, sample.column("lang").to_pylist())
 
 

@@ -44,12 +44,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import buckets_of, candidates, components, discard, sized, still_open, stored
+from phrasemill.llm.common import arrow_rows, buckets_of, candidates, components, discard, sized, still_open, stored
 
 WIDTH, P, Q = 3, 90, 100
 CHUNK = 1 << 20
 #: Independent partitions that open buckets go through, and the most nodes of a bucket all of whose pairs are compared.
 LEVELS, SMALL = 3, 64
+#: Texts that are handed to Python at once.
+AT_ONCE = 1000
 #: Where kept cells hold fewer shingles on average than this, sets get one more part for each ten, and
 #: those of thresholds up to ``SMALL_K`` more signatures.
 DENSE, SMALL_K = 10, 22
@@ -515,15 +517,8 @@ def _own_nodes(docs: DataFrame, feats: DataFrame, several: DataFrame, low: DataF
     return loose, stored(texts), stored(ends.join(star, "doc_id").select(F.col("node").alias("a"), "b"))
 
 
-def jaccard_components(docs: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of each row of ``docs(doc_id, text, ...)``.
-
-    Two documents link when ``q * |A & B| >= p * |A | B|``; ``component_id`` is the smallest doc_id
-    that links reach. Null or wordless text: empty set, no link, its own id. Repeated rows link like
-    any copies, and rows that repeat an id with other texts are one document, linked by any of them. A null
-    doc_id gets the component of its text's documents, null if there are none. Extra columns are ignored,
-    an empty table gives an empty result.
-    """
+def _grouped(docs: DataFrame, width: int, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """The ``features`` of the rows, and ``d1, d2, root`` of the sets that copies or links join to an id."""
     feats = stored(features(docs, width))
     several = stored(_several(feats))
     repeated = not several.isEmpty()
@@ -549,6 +544,20 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, p: int = P, q: int =
         known = stored(known)
         ids = feats.where("n_shingles > 0").join(known, ["d1", "d2"]).groupBy("root").agg(F.min("doc_id").alias("id"))
         known = known.join(ids, "root").select("d1", "d2", F.col("id").alias("root"))
+    return feats, known
+
+
+def jaccard_components(docs: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of each row of ``docs(doc_id, text, ...)``.
+
+    Two documents link when ``q * |A & B| >= p * |A | B|``; ``component_id`` is the smallest doc_id
+    that links reach. Null or wordless text: empty set, no link, its own id. Repeated rows link like
+    any copies, and rows that repeat an id with other texts are one document, linked by any of them. A null
+    doc_id gets the component of its text's documents, null if there are none. Extra columns are ignored,
+    an empty table gives an empty result.
+    """
+    with arrow_rows(docs.sparkSession, AT_ONCE):
+        feats, known = _grouped(docs, width, p, q)
     return feats.join(known, ["d1", "d2"], "left").select(
         "doc_id",
         "n_shingles",
