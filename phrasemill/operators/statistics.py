@@ -29,14 +29,14 @@ def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def mann_whitney(df: DataFrame, value: str, group: str, by: Sequence[str] = ()) -> DataFrame:
-    """``by, n1, n2, u, ties``: the smaller U of ``group`` (boolean: true is the first sample)."""
+    """``by, n1, n2, u, ties, u1``: the smaller U of ``group`` (boolean: true is the first sample), and that sample's."""
     counted = df.groupBy(*by, value).agg(F.count_if(group).alias("n1"), F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = counted.withColumn("rank", before - (F.col("n") - 1) / 2)
     n = F.col("n").cast("double")
     sums = ranked.groupBy(*by).agg(F.sum("n1").alias("n1"), (F.sum("n") - F.sum("n1")).alias("n2"), F.sum(F.col("n1") * F.col("rank")).alias("r1"), F.sum(n * n * n - n).alias("ties"))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
-    return sums.select(*by, "n1", "n2", F.least(u, F.col("n1") * F.col("n2") - u).alias("u"), "ties")
+    return sums.select(*by, "n1", "n2", F.least(u, F.col("n1") * F.col("n2") - u).alias("u"), "ties", u.alias("u1"))
 
 
 def wilcoxon(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -114,6 +114,24 @@ def rm_anova(scores: DataFrame, block: str, condition: str, value: str, by: Sequ
     )
 
 
+def sphericity(scores: DataFrame, block: str, condition: str, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``by, k, eps``: Greenhouse and Geisser's epsilon from the covariances of conditions over complete blocks.
+
+    A block gives the square of its conditions in pairs; conditions are few.
+    """
+    scores = scores.select(*by, block, condition, value)
+    k = scores.groupBy(*by).agg(F.count_distinct(condition).alias("k"))
+    rows = scores.withColumn("own", F.count(F.lit(1)).over(Window.partitionBy(*by, block)))
+    rows = (rows.join(k, list(by)) if by else rows.crossJoin(F.broadcast(k))).where("own = k")  # one row
+    a, b = (rows.select(*by, "k", block, F.col(condition).alias(f"c{i}"), F.col(value).alias(f"v{i}")) for i in "12")
+    cov = a.join(b, [*by, "k", block]).groupBy(*by, "k", "c1", "c2").agg(F.covar_samp("v1", "v2").alias("c"))
+    # Centred both ways, the matrix has rows and columns that sum to zero.
+    centred = F.col("c") - F.avg("c").over(Window.partitionBy(*by, "c1")) - F.avg("c").over(Window.partitionBy(*by, "c2")) + F.avg("c").over(Window.partitionBy(*by))
+    sums = cov.withColumn("s", centred).groupBy(*by, "k").agg(F.sum(F.when(F.col("c1") == F.col("c2"), F.col("s"))).alias("trace"), F.sum(F.col("s") * F.col("s")).alias("square"))
+    eps = F.try_divide(F.col("trace") * F.col("trace"), (F.col("k") - 1) * F.col("square"))
+    return sums.select(*by, "k", F.when((F.col("k") > 2) & (F.col("square") > 0), F.least(F.lit(1.0), F.greatest(1 / (F.col("k") - 1), eps))).otherwise(1.0).alias("eps"))
+
+
 def adjusted(df: DataFrame, p: str = "p", by: Sequence[str] = (), order: Sequence[str] = ()) -> DataFrame:
     """Adds ``bonferroni``, ``holm`` and ``bh`` inside each family; null p-values stay null and do not count."""
     family = Window.partitionBy(*by)

@@ -469,7 +469,7 @@ def _xy(spark: SparkSession, d: str) -> DataFrame:
        "r AS (SELECT dataset, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, coalesce(sum(rk) FILTER (g), 0) AS r1 FROM v GROUP BY 1) SELECT r.dataset, n1, n2, least(r1 - n1 * (n1 + 1) / 2, n1 * n2 - (r1 - n1 * (n1 + 1) / 2)) AS u, ties FROM r JOIN tt USING (dataset)")
 def mann_whitney_u(spark: SparkSession, d: str) -> DataFrame:
     s = _ten(spark, d).where("model = 'model2'").select("dataset", "f1", (F.col("doc_id") % 2 == 0).alias("g"))
-    return statistics.mann_whitney(s, "f1", "g", ["dataset"])
+    return statistics.mann_whitney(s, "f1", "g", ["dataset"]).drop("u1")
 
 
 @query(f"{_SC}, {_XY}, d AS (SELECT dataset, round(x - y, 12) AS d FROM xy WHERE round(x - y, 12) <> 0), k AS (SELECT dataset, d, rank() OVER (PARTITION BY dataset ORDER BY abs(d)) + (count(*) OVER (PARTITION BY dataset, abs(d)) - 1) / 2 AS rk FROM d), "
