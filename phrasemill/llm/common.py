@@ -94,14 +94,14 @@ def candidates(buckets: DataFrame, small: int) -> DataFrame:
 
 
 def still_open(buckets: DataFrame, small: int, links: DataFrame) -> DataFrame:
-    """The rows of buckets of more than ``small`` nodes that ``links(a, b)`` don't join to one component."""
+    """The rows, with each node's ``root``, of buckets of more than ``small`` nodes that ``links(a, b)`` don't join to one component."""
     large = buckets.where(F.col("n") > small)
     # A node's root reaches its rows by a window over the node: one exchange, whatever the buckets' sizes.
-    root = components(links).where("root <> node").select(F.lit(None).cast("long").alias("bucket"), "node", "root")
-    both = large.select("bucket", "node", F.lit(None).cast("long").alias("root")).unionByName(root)
+    root = components(links).where("root <> node").select("node", F.lit(None).cast("long").alias("low"), F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("bucket"), "root")
+    both = large.select("node", "low", "n", "bucket", F.lit(None).cast("long").alias("root")).unionByName(root)
     rooted = both.withColumn("root", F.coalesce(F.max("root").over(Window.partitionBy("node")), "node")).where("bucket is not null")
     ends = rooted.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last")
-    return large.join(ends, "bucket", "left_semi")
+    return rooted.join(ends, "bucket", "left_semi")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

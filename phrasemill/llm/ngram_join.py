@@ -13,13 +13,15 @@ meet there. A set with at most ``e`` parts in which kept cells are empty leaves
 ``e + 1`` agreeing parts one has none of them, so nothing is lost. Any other set keeps all.
 
 Equal sets collapse to one node first. Nodes that share a signature form a bucket, and equal buckets
-are taken once. All pairs of a bucket of at most ``SMALL`` nodes are candidates, of a larger one those with
-its smallest node. Candidates are sifted by parity sketches (the bits in which two sketches differ
-bound the symmetric difference from below) and then compared exactly.
-
-A large bucket whose nodes are not all joined by then is open, and the nodes of open buckets go through a
-second, independent partition of the domain: a linked pair not found yet shares an open bucket of every
-level. What is open after ``LEVELS`` partitions are texts much alike, not chance. Stars of their
+are taken once. Pairs of nodes are sifted by parity sketches (the bits in which two sketches differ bound
+the symmetric difference from below) and then compared exactly: first every node of a bucket with its
+smallest; then, in buckets of at most ``LARGE`` nodes that these links don't join to one component, all pairs
+of nodes of different components, sketch against sketch where the bucket's rows meet, so that only pairs
+that pass the sieve are ever written.
+
+A larger open bucket is no group to compare in one task; its nodes go through a second, independent partition
+of the domain, in which sets that met by chance part: a linked pair not found yet shares an open bucket of every
+level. What is open after ``LEVELS`` partitions are many texts much alike. Stars of their
 buckets form families, in which links are found exactly and still without all pairs, by differences to the
 family's majority set C (shingles that more than half of its members have):
 
@@ -44,12 +46,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import arrow_rows, buckets_of, candidates, components, discard, sized, still_open, stored
+from phrasemill.llm.common import arrow_rows, buckets_of, components, discard, sized, still_open, stored
 
 WIDTH, P, Q = 3, 90, 100
 CHUNK = 1 << 20
-#: Independent partitions that open buckets go through, and the most nodes of a bucket all of whose pairs are compared.
-LEVELS, SMALL = 3, 64
+#: Independent partitions that large open buckets go through, and the most nodes of a bucket that are compared with each other.
+LEVELS, LARGE = 3, 2048
 #: Texts that are handed to Python at once.
 AT_ONCE = 1000
 #: Where kept cells hold fewer shingles on average than this, sets get one more part for each ten, and
@@ -368,27 +370,96 @@ def _prefixes(members: DataFrame, p: int, q: int) -> DataFrame:
     return members.mapInArrow(run, "family long, la long, lb long, node long, e long, out long, side long, h long")
 
 
-def _of_nodes(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose node occurs in ``pairs``."""
-    nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    return docs.join(sized(nodes), "node")
-
-
-def _linked(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int) -> DataFrame:
-    """Those of the candidate ``pairs`` (a table) whose sets are similar enough, as a table."""
+def _sketched(docs: DataFrame, width: int) -> DataFrame:
+    """``node, n, bits`` of ``docs(node, text)``: set size and parity sketch."""
 
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, flat, sizes in shingle_sets(batch.column("text"), width):
                 cols = [batch.column("node").slice(i, len(sizes)), pa.array(sizes, pa.int64()), pa.array(sketches(flat, sizes), pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["node", "n", "bits"])
 
-    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return docs.select("node", "text").mapInArrow(run, "node long, n long, bits binary")
+
+
+def _ends(values: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
+    """``values(node, ...)`` for either end of a pair: ``a`` and ``b`` with the other columns renamed."""
+    return tuple(values.select(F.col("node").alias(end), *(F.col(k).alias(new + end) for k, new in zip(values.columns[1:], names, strict=True))) for end in "ab")
+
+
+def _sifted(pairs: DataFrame, sketched: DataFrame, p: int, q: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that the sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             least = np.fromiter(map(least_difference, batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist()), np.int64, len(n))
             yield batch.select(["a", "b"]).filter(pa.array((q + p) * least <= (q - p) * n))
 
+    at_a, at_b = _ends(sketched, "n", "bits_")
+    return pairs.join(at_a, "a").join(at_b, "b").mapInArrow(run, "a long, b long")
+
+
+def near_pairs(nodes: np.ndarray, roots: np.ndarray, sizes: np.ndarray, bits: list[bytes], p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes of different components that the sketches don't rule out, of one bucket."""
+    _, which, count = np.unique(roots, return_inverse=True, return_counts=True)
+    # Members of the largest component need no look at each other.
+    rest = np.flatnonzero(which != int(count.argmax()))
+    if not len(rest):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    words = min(len(x) for x in bits) // 8
+    table = np.empty((len(bits), words), np.uint64)
+    for i, x in enumerate(bits):
+        table[i] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), 0)  # folded to the shortest
+    order = np.full(len(nodes), -1)
+    order[rest] = np.arange(len(rest))
+    first, second, step = [], [], max(1, CHUNK // (len(bits) * words))
+    for at in range(0, len(rest), step):
+        own = rest[at : at + step]
+        far = np.bitwise_count(table[own, None] ^ table[None]).sum(2, dtype=np.int64)
+        ok = ((q + p) * far <= (q - p) * (sizes[own, None] + sizes[None])) & (which[own, None] != which[None]) & (order[None] < np.arange(at, at + len(own))[:, None])
+        i, j = np.nonzero(ok)
+        first.append(own[i])
+        second.append(j)
+    a, b = nodes[np.concatenate(first)], nodes[np.concatenate(second)]
+    return np.minimum(a, b), np.maximum(a, b)
+
+
+def _met(rows: DataFrame, sketched: DataFrame, p: int, q: int) -> DataFrame:
+    """Distinct ``a, b``: near pairs of the buckets of ``rows(bucket, node, root)``, each of at most ``LARGE`` nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            bucket, node, root, size = (table.column(k).to_numpy() for k in ("bucket", "node", "root", "size"))
+            bits = table.column("bits").to_pylist()
+            edges = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1 if len(bucket) else 0, append=bucket[-1] + 1 if len(bucket) else 0))
+            found = [near_pairs(node[i:j], root[i:j], size[i:j], bits[i:j], p, q) for i, j in zip(edges[:-1], edges[1:], strict=True) if j - i > 1]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            # The last bucket may go on in the next batch.
+            bucket = table.column("bucket").to_numpy()
+            cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if (bucket != bucket[-1]).any() else 0
+            if cut:
+                yield from pairs(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield from pairs(held)
+
+    joined = rows.select("bucket", "node", "root").join(sketched.withColumnRenamed("n", "size"), "node").select("bucket", "node", "root", "size", "bits")
+    return joined.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
+
+
+def _linked(docs: DataFrame, near: DataFrame, width: int, p: int, q: int) -> DataFrame:
+    """Those of the pairs ``near(a, b)`` (a table) whose sets are similar enough, as a table."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, flat, sizes in shingle_sets(batch.column("text"), width):
@@ -403,36 +474,42 @@ def _linked(docs: DataFrame, pairs: DataFrame, width: int, p: int, q: int) -> Da
                 same.append(q * both >= p * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
-    def ends(values: DataFrame, *names: str) -> tuple[DataFrame, DataFrame]:
-        return tuple(values.select(F.col("node").alias(end), *(F.col(k).alias(new + end) for k, new in zip(values.columns[1:], names, strict=True))) for end in "ab")
-
-    sketched = stored(_of_nodes(docs, pairs).mapInArrow(sketch, "node long, n long, bits binary"))
-    at_a, at_b = ends(sketched, "n", "bits_")
-    near = stored(pairs.join(at_a, "a").join(at_b, "b").mapInArrow(sift, "a long, b long"))
-    grams = stored(_of_nodes(docs, near).mapInArrow(sets, "node long, grams array<long>"))
-    at_a, at_b = ends(grams, "g")
+    nodes = stored(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    grams = stored(docs.join(sized(nodes), "node").select("node", "text").mapInArrow(sets, "node long, grams array<long>"))
+    at_a, at_b = _ends(grams, "g")
     linked = stored(near.join(at_a, "a").join(at_b, "b").mapInArrow(compare, "a long, b long"))
-    discard(docs.sparkSession, sketched, near, grams)
+    discard(docs.sparkSession, nodes, grams)
     return linked
 
 
 def links(docs: DataFrame, width: int = WIDTH, p: int = P, q: int = Q) -> DataFrame:
-    """Links ``(a, b)`` (a table) that make up the components of the exact join of ``docs(node, text)``.
+    """Links ``(a, b)`` that make up the components of the exact join of ``docs(node, text)``.
 
     ``docs`` holds one row of each distinct set. Every pair of linked nodes is either returned or joined by
     a path of returned links.
     """
-    found, texts = None, docs
+    spark, texts, found = docs.sparkSession, docs, None
     for level in range(LEVELS):
         buckets = stored(buckets_of(signature_rows(texts, width, p, q, level)))
-        pairs = stored(candidates(buckets, SMALL))
-        new = _linked(texts, pairs, width, p, q)
+        nodes = stored(buckets.select("node").distinct())
+        discard(spark)  # the signatures' shuffle
+        sketched = stored(_sketched(texts.join(sized(nodes), "node"), width))
+        stars = buckets.select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b").distinct()
+        near = stored(_sifted(stars, sketched, p, q))
+        new = _linked(texts, near, width, p, q)
         found = found.unionByName(new) if found else new
-        stars = stored(still_open(buckets, SMALL, found).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
-        discard(docs.sparkSession, buckets, pairs, *([texts] if level else []))
-        if stars.isEmpty():
+        open_ = stored(still_open(buckets, 2, found))
+        discard(spark, buckets, nodes, near)
+        near = stored(_met(open_.where(F.col("n") <= LARGE), sketched, p, q))
+        found = found.unionByName(_linked(texts, near, width, p, q))
+        large = open_.where(F.col("n") > LARGE)
+        more = not large.isEmpty()
+        if more:
+            stars = stored(still_open(large.drop("root"), LARGE, found).select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
+            more = not stars.isEmpty()
+        discard(spark, open_, sketched, near, *([texts] if level else []))
+        if not more:
             return found
-        # A bucket's smallest node is one of its nodes.
         texts = stored(docs.join(sized(stored(stars.select(F.col("a").alias("node")).distinct())), "node"))
     return found.unionByName(_within_families(texts, stars, width, p, q))
 

@@ -89,9 +89,10 @@ def test_repeated_ids(spark):
     assert got == sorted(want, key=str)
 
 
-def test_hot_families(spark, monkeypatch):
-    """Large buckets of unlinked and linked near copies go through all levels and the families."""
-    monkeypatch.setattr(nj, "SMALL", 2)
+@pytest.mark.parametrize("large", [3, 2048])
+def test_hot_families(spark, monkeypatch, large):
+    """Large buckets of unlinked and linked near copies are compared in place, or go through all levels and the families."""
+    monkeypatch.setattr(nj, "LARGE", large)
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(3000)}"
     base, rows = [word() for _ in range(150)], []
@@ -110,6 +111,26 @@ def test_hot_families(spark, monkeypatch):
         assert 1 < len({c for i, (_, c) in want.items() if i % 2 == 0}) < 70
 
 
+def test_near_pairs_against_all_pairs(monkeypatch):
+    monkeypatch.setattr(nj, "CHUNK", 200)  # many blocks
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(1, 2**63, 60).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(40, 60)], rng.integers(1, 2**63, rng.integers(0, 12)).astype(np.uint64)])) for _ in range(30)]
+    sizes, nodes, roots = np.array([len(s) for s in sets]), rng.permutation(1000)[:30], rng.choice([1, 1, 1, 2, 3, 4], 30)
+    bits = nj.sketches(np.concatenate(sets), sizes)
+    got = {(int(x), int(y)) for x, y in zip(*nj.near_pairs(nodes, roots, sizes, bits, 80, 100), strict=True)}
+    near, linked = set(), set()
+    for i in range(30):
+        for j in range(i):
+            pair = (min(nodes[i], nodes[j]), max(nodes[i], nodes[j]))
+            if roots[i] != roots[j] and 180 * nj.least_difference(bits[i], bits[j]) <= 20 * (sizes[i] + sizes[j]):
+                near.add(pair)
+            if roots[i] != roots[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])):
+                linked.add(pair)
+    assert linked <= got and near <= got and linked
+    assert nj.near_pairs(nodes, roots * 0, sizes, bits, 80, 100)[0].size == 0
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(4)
     for n in (1, 5, 40, 300, 2000):

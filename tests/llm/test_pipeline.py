@@ -38,6 +38,17 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert set(last) == set(texts) and all(r.lossless and r.n_pieces == len(r.pieces) > 0 for r in last.values())
 
 
+def test_repeated_and_missing_ids(spark):
+    """One row of each id stays, the same one in whatever order rows come; rows without an id stay."""
+    text = "the of and with that this from have been there " * 4
+    rows = [(1, "b " + text, "s"), (1, "a " + text, "s"), (1, None, "s"), (2, "quite another text about rivers", "s"), (2, "quite another text about rivers", "t"), (None, text, "s"), (None, text, "s"), (7, "z " + text, "s"), (9, None, "s")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string")
+        kept = cp.keep_one_of_each_group(spark, docs, "")
+        got = sorted(map(tuple, kept.collect()), key=str)
+        assert got == sorted([(1, "a " + text, "s"), (2, "quite another text about rivers", "s"), (None, text, "s"), (None, text, "s"), (9, None, "s")], key=str)
+
+
 def test_stages_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
