@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phrasemill.llm import decontaminate, language_id, ngram_join, pieces, pii
-from phrasemill.llm.common import sized, stored, table
+from phrasemill.llm.common import discard, sized, stored, table
 
 #: A document is rejected below this score of its language; texts without letters have none.
 MIN_LANGUAGE_SCORE = 0.5
@@ -26,15 +26,18 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id; documents without an id stay."""
-    groups = ngram_join.jaccard_components(docs, SHINGLE, P, Q)
+    """Of each group of linked documents the one of the smallest id, one row of each id; documents without an id stay."""
+    groups = stored(ngram_join.jaccard_components(docs, SHINGLE, P, Q))
     spare = stored(groups.where("component_id <> doc_id").select("doc_id"))
     kept = docs.join(sized(spare), "doc_id", "left_anti").select(docs.columns)
-    # Rows that repeat an id are one document: one of them stays.
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = sized(stored(repeated))
-    single = kept.join(repeated, "doc_id", "left_anti").select(docs.columns)
-    return single.unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
+    # Rows that repeat an id are one document: the one of the smallest text stays, whatever order they come in.
+    repeated = stored(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    single = kept.join(sized(repeated), "doc_id", "left_anti").select(docs.columns)
+    whole = F.struct(*docs.columns)
+    first = kept.join(sized(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct(F.col("text").isNull(), "text", F.to_json(whole))).alias("row"))
+    return single.unionByName(first.select("row.*").select(docs.columns))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = []
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        # What the stage before has written is read by nothing any more.
+        discard(spark, *before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
