@@ -22,6 +22,7 @@ same files give the same scores, files written anew slightly different ones.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import zlib
@@ -45,12 +46,14 @@ WORDS = VOCABULARY - BUCKETS - 1
 #: The last id stands for what is beyond a text's ends.
 EDGE = VOCABULARY - 1
 EMBED, HIDDEN = 12, 16
-ROUNDS, STEP, RATE = 2, 4096, 0.15
+ROUNDS, STEP, RATE = 2, 8192, 0.2
+#: First steps of a task, which are an eighth as long.
+WARM = 100
 FOLD = 64
 #: Words of a task's count before it is emptied.
 MEMORY = 500_000
 #: Words beyond the vocabulary whose counts every task holds.
-COMMON = 200_000
+COMMON = 300_000
 #: Tokens that a task trains on or scores at once.
 CHUNK = 1 << 17
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -72,14 +75,7 @@ def words(text: str) -> list[str]:
 
 def bucket(word: str) -> int:
     """The id of the bucket that a word beyond the vocabulary falls in."""
-    return WORDS + zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
-
-
-class Places(dict):
-    """Places of words in the order of their counts; words that are not listed have place -1."""
-
-    def __missing__(self, word: str) -> int:
-        return -1
+    return WORDS + zlib.crc32(word.encode()) % BUCKETS
 
 
 @dataclass
@@ -166,7 +162,7 @@ class Scorer:
         self.p = p
         self.shift = not _bounded(p)
 
-    def __call__(self, flat: np.ndarray, at: np.ndarray, block: int = 16384) -> np.ndarray:
+    def __call__(self, flat: np.ndarray, at: np.ndarray, block: int = 1 << 16) -> np.ndarray:
         """As ``log_probs`` of the windows of ``flat`` around the positions ``at``, which are ascending."""
         out = np.empty(len(at))
         for i in range(0, len(at), block):
@@ -308,8 +304,8 @@ def encoded(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         listed = [*vocabulary, *common]
-        place = Places(zip(listed, range(len(listed)), strict=True))
-        # By place; the last entry is that of words that are not listed.
+        place = dict(zip(listed, range(len(listed)), strict=True))
+        # By place; the last entry is that of words that are not listed, whose place is -1.
         net_id = np.array([*range(len(vocabulary)), *map(bucket, common), 0], np.uint16)
         log = np.array([0.0] * len(vocabulary) + [math.log(n) for n in common.values()] + [0.0])
         row = TaskContext.get().partitionId() << 33
@@ -317,7 +313,7 @@ def encoded(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             blobs, more, beyond = [], [], []
             for value in batch.column(text):
                 own = words(value.as_py() or "")
-                at = np.fromiter(map(place.__getitem__, own), np.int32, len(own))
+                at = np.fromiter(map(place.get, own, itertools.repeat(-1)), np.int32, len(own))
                 ids = net_id[at]
                 others = np.flatnonzero(at < 0).tolist()
                 if others:
@@ -340,14 +336,19 @@ def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
         start = model.flat
 
         def run(batches: Iterator[pa.RecordBatch], start=start, round_=round_) -> Iterator[pa.RecordBatch]:
-            net, seen, total = Network.of(start), {}, 0
+            net, seen, total, taken = Network.of(start), {}, 0, 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
-            def learn(least: int) -> None:
-                while held and sum(len(t) for _, t in held) >= least:
-                    c, t = (np.concatenate(x) for x in zip(*held, strict=True))
-                    net.train(c[:STEP], t[:STEP], seen)
-                    held[:] = [(c[STEP:], t[STEP:])] if len(t) > STEP else []
+            def learn(last: bool) -> None:
+                nonlocal taken
+                while held:
+                    size = STEP if taken >= WARM else STEP // 8
+                    if not last and sum(len(t) for _, t in held) < size:
+                        return
+                    c, t = (np.concatenate(x) for x in zip(*held, strict=True)) if len(held) > 1 else held[0]
+                    net.train(c[:size], t[:size], seen)
+                    taken += 1
+                    held[:] = [(c[size:], t[size:])] if len(t) > size else []
 
             for batch in batches:
                 for first, flat, at, per in padded(batch.column("ids")):
@@ -358,8 +359,8 @@ def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
                     total += len(at)
                     for i in range(0, len(at), STEP):
                         held.append((around(flat, at[i : i + STEP]), flat[at[i : i + STEP]]))
-                        learn(STEP)
-            learn(1)
+                        learn(False)
+            learn(True)
             if total:
                 yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([net.flat().tobytes()], pa.binary())], ["n", "flat"])
 
