@@ -46,7 +46,7 @@ WORDS = VOCABULARY - BUCKETS - 1
 #: The last id stands for what is beyond a text's ends.
 EDGE = VOCABULARY - 1
 EMBED, HIDDEN = 12, 16
-ROUNDS, STEP, RATE = 2, 8192, 0.2
+ROUNDS, STEP, RATE = 2, 8192, 0.15
 #: First steps of a task, which are an eighth as long.
 WARM = 100
 FOLD = 64
