@@ -57,6 +57,16 @@ def _repairs() -> tuple[str, str]:
     return "".join(map(chr, source)), "".join(target)
 
 
+def repaired(text: str) -> str:
+    """``fix_text`` of one string."""
+    return text.translate(str.maketrans(*_repairs()))
+
+
+def normal(text: str) -> str:
+    """``norm_text`` of one string."""
+    return unicodedata.normalize("NFKC", repaired(text)).lower()
+
+
 def fix_text(text: str | Column) -> Column:
     """Repaired control characters, length preserved; null becomes empty."""
     text = F.col(text) if isinstance(text, str) else text
@@ -163,12 +173,14 @@ def general_token_spans(normal: pd.Series) -> pd.Series:
     return normal.map(lambda t: [{"token": w, "stop": e} for w, e in token_spans(t)])
 
 
-def normal_offsets(text: str) -> tuple[str, list[int]]:
+def normal_offsets(text: str) -> tuple[str, Sequence[int]]:
     """Normalised text and, for every offset in it, the offset in ``text`` where its cluster of characters began.
 
     Clusters start at characters that neither combine nor compose with what stands before; each is normalised on
     its own, so that offsets are exact whatever a cluster expands or shrinks to.
     """
+    if text.isascii():
+        return text.lower(), range(len(text) + 1)
     out, at, start = [], [], 0
     while start < len(text):
         stop = start + 1
@@ -208,10 +220,16 @@ def language_vote(shares: str | Column, languages: Sequence[str] = tuple(STOP_WO
 
 
 def contradicts(shares: str | Column, declared: Column, languages: Sequence[str] = tuple(STOP_WORDS)) -> Column:
-    """Whether the vote contradicts a declared language that has a stop-word list and a far smaller share."""
+    """Whether the vote contradicts all ``declared`` languages (an array): none of them is the best one or comes near it.
+
+    Without a declared language, or one that has a stop-word list, nothing is contradicted.
+    """
+    shares = F.col(shares) if isinstance(shares, str) else shares
     best, share = language_vote(shares, languages)
-    own = (F.col(shares) if isinstance(shares, str) else shares)[F.substring(declared, 1, 2)]
-    return F.coalesce(best.isNotNull() & (best != F.substring(declared, 1, 2)) & own.isNotNull() & (own < F.lit(CONTRADICTION) * share), F.lit(False))
+    short = F.transform(declared, lambda x: F.substring(x, 1, 2))
+    listed = F.array_intersect(short, F.array(*map(F.lit, languages)))
+    own = F.array_max(F.transform(listed, lambda x: shares[x]))
+    return F.coalesce(best.isNotNull() & (F.size(listed) > 0) & ~F.array_contains(short, best) & (own < F.lit(CONTRADICTION) * share), F.lit(False))
 
 
 def approximate_tokens(n_words: Column, backend: str = "transformers") -> Column:

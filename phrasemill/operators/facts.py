@@ -159,6 +159,7 @@ def run_tags(facts: DataFrame) -> DataFrame:
         F.when(F.col("n_unknown") > 0, F.concat(F.lit("unresolved_ids:"), F.col("n_unknown").cast("string"))),
         F.when(F.col("n_unscored") > 0, F.concat(F.lit("unscored:"), F.col("n_unscored").cast("string"))),
         F.when(F.col("n_splits") > 1, F.concat(F.lit("multi_split:"), F.col("n_splits").cast("string"))),
+        *([F.when(F.col("n_repeated") > 0, F.concat(F.lit("duplicate_docs:"), F.col("n_repeated").cast("string")))] if "n_repeated" in facts.columns else []),
     )
     return facts.select(*RUN, F.filter(tags, lambda t: t.isNotNull()).alias("tags"))
 

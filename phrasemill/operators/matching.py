@@ -75,6 +75,15 @@ def _overlapping_hits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterato
         yield pd.Series([None if gs is None else [{"rank": r, "gold": g} for r, g in maximum_matching(list(p), [list(v) for v in gs])] for p, gs in zip(preds, gold, strict=True)])
 
 
+def hits(preds: str, gold: str, overlap: Column) -> Column:
+    """Hits of unique predicted stems on gold: an expression, and a maximum matching where variants ``overlap``.
+
+    Rows whose variants are disjoint hand nulls to the Arrow function.
+    """
+    mixed = _overlapping_hits(F.when(overlap, F.col(preds)), F.when(overlap, F.col(gold)))
+    return F.when(overlap, mixed).otherwise(disjoint_hits(preds, gold))
+
+
 def match(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     """Matches of ``predictions(dataset, model, arch, run_id, doc_id, stems)`` with
     ``gold(dataset, doc_id, ann_key, stems, ...)``, whose stems are one array of variants per phrase.
@@ -84,10 +93,7 @@ def match(predictions: DataFrame, gold: DataFrame) -> DataFrame:
     gold = gold.withColumnRenamed("stems", "gold").withColumn("__overlap", variants_overlap("gold"))
     others = [c for c in gold.columns if c not in ("dataset", "doc_id", "ann_key", "gold", "__overlap")]
     both = predictions.select("dataset", "model", "arch", "run_id", "doc_id", unique_in_order("stems").alias("preds")).join(gold, ["dataset", "doc_id"])
-    # Rows whose variants are disjoint hand nulls to the Arrow function.
-    mixed = _overlapping_hits(F.when(F.col("__overlap"), F.col("preds")), F.when(F.col("__overlap"), F.col("gold")))
-    hits = F.when(F.col("__overlap"), mixed).otherwise(disjoint_hits("preds", "gold"))
-    return both.select("dataset", "model", "arch", "run_id", "doc_id", "ann_key", F.size("preds").alias("n_uniq"), F.size("gold").alias("n_gold"), hits.alias("hits"), *others)
+    return both.select("dataset", "model", "arch", "run_id", "doc_id", "ann_key", F.size("preds").alias("n_uniq"), F.size("gold").alias("n_gold"), hits("preds", "gold", F.col("__overlap")).alias("hits"), *others)
 
 
 def multilingual_hits(ranked: Sequence[dict[str, str]], gold: Sequence[tuple[str, Sequence[str]]]) -> list[tuple[int, int]]:

@@ -171,7 +171,7 @@ def language_mismatch_flags(spark: SparkSession, d: str) -> DataFrame:
     declared = F.when(F.col("doc_id") % 2 == 0, F.col("lang")).otherwise("en")
     docs = table(spark, d, "documents").select("doc_id", declared.alias("declared"), text.words(text.norm_ascii("text")).alias("t"))
     shares = text.stop_word_shares(docs, ["doc_id", "declared"], "t", _FOUR)
-    flagged = shares.where(text.contradicts("shares", F.col("declared"), _FOUR))
+    flagged = shares.where(text.contradicts("shares", F.array("declared"), _FOUR))
     return flagged.select("declared", text.language_vote("shares", _FOUR)[0].alias("voted")).groupBy("declared", "voted").agg(F.count(F.lit(1)).alias("n"))
 
 

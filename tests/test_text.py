@@ -77,7 +77,7 @@ def test_language_vote(spark):
     assert {r.id: r.v for r in shares.select("id", best.alias("v")).collect()} == {1: "en", 2: "fr", 3: None, 4: None}
     got = {r.id: r.shares for r in shares.collect()}
     assert got[1]["en"] == pytest.approx(5 / 6) and got[3]["en"] == 0 == got[4]["en"]
-    declared = shares.select("id", text.contradicts("shares", F.lit("de")).alias("c"), text.contradicts("shares", F.lit("en")).alias("own"), text.contradicts("shares", F.lit("xx")).alias("no"))
+    declared = shares.select("id", text.contradicts("shares", F.array(F.lit("de"))).alias("c"), text.contradicts("shares", F.array(F.lit("en"))).alias("own"), text.contradicts("shares", F.array(F.lit("xx"))).alias("no"))
     assert {r.id: (r.c, r.own, r.no) for r in declared.collect()} == {1: (True, False, False), 2: (True, True, False), 3: (False,) * 3, 4: (False,) * 3}
 
 
