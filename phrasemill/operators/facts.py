@@ -235,6 +235,12 @@ def natural_page(df: DataFrame, key: str, size: int = 15, page: int = 0) -> Data
     return df.orderBy(F.regexp_replace(text, "[0-9]+$", ""), number.asc_nulls_first(), text).offset(size * page).limit(size)
 
 
+def updated(table: DataFrame, changes: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """A table with the columns of matching rows replaced; rows without a change, and null changes, keep theirs."""
+    new = changes.select(*key, *[F.col(c).alias(f"__{c}") for c in columns])
+    return table.join(new, list(key), "left").withColumns({c: F.coalesce(f"__{c}", c) for c in columns}).drop(*[f"__{c}" for c in columns])
+
+
 def on_every(df: DataFrame, key: Sequence[str], over: str, among: DataFrame | None = None) -> DataFrame:
     """Relational division: keys that occur with every value of ``over`` (or every value that ``among`` holds)."""
     if among is not None:

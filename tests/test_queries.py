@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from phrasemill.plans import catalog
+from phrasemill.plans import catalog, pages
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -18,6 +18,15 @@ def _plain(v):
     return str(v)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
+@pytest.mark.parametrize("name", [n for n in catalog.queries() if n not in catalog.oracle_sql()])
+def test_query_without_sql(spark, name):
+    rows = catalog.queries()[name](spark, DATA).collect()
+    assert rows and hasattr(pages, name)
+    for r in rows:
+        assert all(v is None or 0 <= v <= 1 for k, v in r.asDict().items() if k == "p" or k.endswith(("_p", "p_adjusted")))
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the driver's tables")
 @pytest.mark.parametrize("name", list(catalog.oracle_sql()))
 def test_query(spark, name):
