@@ -40,10 +40,10 @@ _U = np.uint64
 class Pieces:
     """The pieces of a SentencePiece model: ids, log weights, byte pieces, and what each id spells."""
 
-    def __init__(self, model: str = MODEL, alpha: float = ALPHA) -> None:
+    def __init__(self, model: bytes, alpha: float = ALPHA) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        sp = SentencePieceProcessor(model_proto=Path(model).read_bytes())
+        sp = SentencePieceProcessor(model_proto=model)
         self.ids: dict[str, int] = {}
         self.bytes_ = [-1] * 256
         self.spelling = [b""] * sp.get_piece_size()
@@ -117,12 +117,12 @@ class Pieces:
 
 
 @lru_cache(maxsize=4)
-def load(model: str, alpha: float) -> Pieces:
+def load(model: bytes, alpha: float) -> Pieces:
     return Pieces(model, alpha)
 
 
 @lru_cache(maxsize=1)
-def lexicon_of(model: str, alpha: float) -> Lexicon:
+def lexicon_of(model: bytes, alpha: float) -> Lexicon:
     return Lexicon(load(model, alpha))
 
 
@@ -290,13 +290,14 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     and text get the same pieces. A column named ``pieces`` is replaced; other columns are carried along.
     ``check`` names a boolean column that tells whether the pieces, decoded, are the text (null for null).
     """
+    data = Path(model).read_bytes()  # travels with the function; workers need no file
     rest = docs.drop("pieces", *[check] * bool(check))
     seed = F.coalesce(F.xxhash64(key), F.lit(0)).alias("__seed")
     names = rest.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + ["pieces array<int>"] + [f"`{check}` boolean"] * bool(check))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lexicon_of(model, alpha)
+        known = lexicon_of(data, alpha)
         for batch in batches:
             seeds = batch.column("__seed").to_numpy()
             for a, b in _lengths(batch.column(text)):
@@ -316,12 +317,13 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
 
 def decode(docs: DataFrame, pieces: str = "pieces", into: str = "decoded", model: str = MODEL) -> DataFrame:
     """``docs`` with ``into``, the text that ``pieces`` spell; null for null. Lossless for ``encode``."""
+    data = Path(model).read_bytes()
     rest = docs.drop(into)
     names = rest.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema] + [f"`{into}` string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = load(model, ALPHA)
+        known = load(data, ALPHA)
         for batch in batches:
             lists = batch.column(pieces)
             texts = [spell(x.values.to_numpy(), known) if x.is_valid else None for x in lists]

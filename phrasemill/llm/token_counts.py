@@ -95,10 +95,10 @@ class _Memory(dict):
 
 
 @lru_cache(maxsize=2)
-def load(model: str) -> Automaton:
+def load(model: bytes) -> Automaton:
     from sentencepiece import SentencePieceProcessor
 
-    sp = SentencePieceProcessor(model_proto=Path(model).read_bytes())
+    sp = SentencePieceProcessor(model_proto=model)
     own = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
     initial = {p[1:] for p in own if p[0] == "▁" and "▁" not in p[1:]} - {""}
     return Automaton(initial, {p for p in own if "▁" not in p})
@@ -114,9 +114,10 @@ def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", model
     Null and empty text: zeros. Long words are cut like any other. Repeated rows count each for themselves;
     an empty table gives an empty result; other columns are ignored.
     """
+    data = Path(model).read_bytes()  # travels with the function; workers need no file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory = _Memory(load(model))
+        memory = _Memory(load(data))
         for batch in batches:
             n_words, n_tokens, n_unknown = [], [], []
             for value in batch.column(text):

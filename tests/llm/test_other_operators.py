@@ -1,5 +1,6 @@
 import pathlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -39,6 +40,22 @@ def test_token_counts(spark):
     assert token_counts.token_counts(df.where("false")).count() == 0
 
 
+def test_token_counts_of_whole_texts(spark):
+    """Counts of texts against greedy cutting of each of their words."""
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=token_counts.MODEL)
+    own = [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+    initial, continuing = {p[1:] for p in own if p[0] == "▁" and "▁" not in p[1:]} - {""}, {p for p in own if "▁" not in p}
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["networks", "Keyphrase", "extraction,", "zxqv", "réseaux", "漢", "a_b", "unbelievably", "😀"]) for _ in range(rng.randrange(40))) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in token_counts.token_counts(spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")).collect()}
+    for i, t in rows:
+        counts = [_greedy(w, initial, continuing) for w in re.findall(r"[^\W_]+|[^\w\s]|_", t.lower())]
+        assert got[i] == (len(counts), sum(counts) + counts.count(0), counts.count(0))
+
+
 def test_gradient_is_right():
     net = pseudo_likelihood.Network({k: v.astype(float) for k, v in pseudo_likelihood.Network.new().p.items()})
     rng = np.random.default_rng(0)

@@ -1,3 +1,4 @@
+import pathlib
 from collections import Counter
 
 import numpy as np
@@ -11,7 +12,7 @@ TEXTS = ["a", "hello  world\n\n x", "▁ own ▁▁ mark", "ünïcödé 漢字
 
 
 def _sampled(texts, keys=None):
-    lexicon = pieces.lexicon_of(pieces.MODEL, 1.0)
+    lexicon = pieces.lexicon_of(pathlib.Path(pieces.MODEL).read_bytes(), 1.0)
     ids, per = pieces.sample(texts, np.arange(len(texts)) if keys is None else keys, lexicon)
     ends = np.cumsum(per)
     return [ids[e - n : e] for e, n in zip(ends, per, strict=True)], lexicon.pieces
@@ -66,6 +67,12 @@ def test_frames(spark):
     assert pieces.segmented(df.where("false")).count() == 0
 
 
-def test_other_models_are_refused(tmp_path):
+def test_very_long_text_without_spaces(spark):
+    text = "漢字かな" * 15_000
+    row = pieces.segmented(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.lossless and 0 < row.n_pieces <= 4 * len(text)
+
+
+def test_missing_models_are_refused(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
-        pieces.Pieces(str(tmp_path / "none.model"))
+        pieces.encode(spark.createDataFrame([(1, "x")], "doc_id long, text string"), model=str(tmp_path / "none.model"))
