@@ -199,7 +199,7 @@ _COSTED = (
     "rt(arch, unit, variable, rate) AS (VALUES ('arch0', 'usd', 'time', 2.0), ('arch0', 'usd', 'chars', 0.001), ('arch1', 'usd', 'time', 1.0), ('arch1', 'usd', 'chars', 0.002), ('arch0', 'co2', 'time', 1.0), ('arch1', 'co2', 'gpu', 1.0)), "
     "tv AS (SELECT dataset, model, arch, run_id, 'time' AS variable, sum(t) AS total, count(t) AS n, count(*) AS n_docs FROM obs GROUP BY ALL UNION ALL SELECT dataset, model, arch, run_id, 'chars', sum(c), count(c), count(*) FROM obs GROUP BY ALL), "
     "rn AS (SELECT dataset, model, arch, run_id, count(*) AS n_docs FROM obs GROUP BY ALL), "
-    "pc AS (SELECT rn.dataset, rn.model, rn.arch, rn.run_id, rt.unit, rn.n_docs, sum(rate * total) AS s, count(*) FILTER (total IS NULL) AS missing, count(*) FILTER (n / tv.n_docs < 0.999) AS partials FROM rn JOIN rt ON rt.arch = rn.arch LEFT JOIN tv ON tv.dataset = rn.dataset AND tv.run_id = rn.run_id AND tv.variable = rt.variable GROUP BY ALL), "
+    "pc AS (SELECT rn.dataset, rn.model, rn.arch, rn.run_id, rt.unit, rn.n_docs, sum(rate::DOUBLE * total) AS s, count(*) FILTER (total IS NULL) AS missing, count(*) FILTER (n / tv.n_docs < 0.999) AS partials FROM rn JOIN rt ON rt.arch = rn.arch LEFT JOIN tv ON tv.dataset = rn.dataset AND tv.run_id = rn.run_id AND tv.variable = rt.variable GROUP BY ALL), "
     "cs AS (SELECT dataset, model, arch, run_id, unit, n_docs, CASE WHEN missing = 0 THEN s END AS total, CASE WHEN missing = 0 THEN s / n_docs END AS per_doc, missing = 0 AS known, missing = 0 AND partials = 0 AS complete FROM pc)"
 )
 
