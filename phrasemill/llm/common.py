@@ -10,8 +10,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only after a count has shown at most so many rows.
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only after a count has shown at most so many rows, and bytes of strings in them.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +71,11 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``small`` with a broadcast hint if it has at most ``limit`` rows, else as it is (a shuffled join)."""
-    return F.broadcast(small) if small.limit(limit + 1).count() <= limit else small
+    """``small`` with a broadcast hint if it has at most ``limit`` rows of at most ``BROADCAST_BYTES`` of strings, else as it is (a shuffled join)."""
+    strings = [F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in small.schema if f.dataType.simpleString() in ("string", "binary")]
+    size = F.coalesce(F.sum(sum(strings, F.lit(0))), F.lit(0)) if strings else F.lit(0)
+    rows, content = small.limit(limit + 1).agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(small) if rows <= limit and content <= BROADCAST_BYTES else small
 
 
 def buckets_of(rows: DataFrame) -> DataFrame:
