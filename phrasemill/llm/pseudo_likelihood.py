@@ -418,8 +418,8 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> Model:
 def pseudo_likelihood(docs: DataFrame) -> DataFrame:
     """The scores of ``docs(doc_id, text, ...)`` under a network trained on all of them.
 
-    Null, empty and wordless texts: no token, log_prob 0, mean null. Repeated rows score alike (and weigh as
-    often in training). An empty table gives an empty result; other columns are ignored.
+    Null, empty and wordless texts: no token, log_prob 0, mean null. Repeated rows score alike but for the
+    last digits of single precision (and weigh as often in training). An empty table gives an empty result; other columns are ignored.
     """
     model = lexicon(docs)
     rows = encoded(docs, model)
