@@ -88,12 +88,12 @@ def buckets_of(rows: DataFrame) -> DataFrame:
     return met.where("n > 1").select("node", "low", "n", F.xxhash64("n", "low", "mark").alias("bucket")).dropDuplicates(["bucket", "node"])
 
 
-def candidates(buckets: DataFrame, small: int) -> DataFrame:
-    """Distinct ``a, b``: all pairs of buckets of at most ``small`` nodes, and the stars of larger ones."""
-    few = buckets.where(F.col("n") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    few = few.select("m", F.posexplode("m").alias("i", "a")).select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    many = buckets.where(F.col("n") > small).select(F.col("low").alias("a"), F.col("node").alias("b")).where("a <> b")
-    return few.unionByName(many).distinct()
+def open_pairs(rows: DataFrame, small: int) -> DataFrame:
+    """Distinct ``a, b``: pairs of nodes of different roots in buckets of at most ``small`` nodes, of the rows of ``still_open``."""
+    few = rows.where(F.col("n") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("node", "root"))).alias("m"))
+    one = few.select("m", F.posexplode("m").alias("i", "a"))
+    both = one.select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b")).where("a.root <> b.root")
+    return both.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
 def still_open(buckets: DataFrame, small: int, links: DataFrame) -> DataFrame:

@@ -23,7 +23,6 @@ same files give the same scores, files written anew slightly different ones.
 from __future__ import annotations
 
 import itertools
-import math
 import re
 import zlib
 from collections import Counter
@@ -52,8 +51,8 @@ WARM = 100
 FOLD = 64
 #: Words of a task's count before it is emptied.
 MEMORY = 500_000
-#: Words beyond the vocabulary whose counts every task holds.
-COMMON = 300_000
+#: Words beyond the vocabulary whose counts every worker holds, and their longest: a bound of some tens of MB.
+COMMON, LONGEST = 1_000_000, 40
 #: Tokens that a task trains on or scores at once.
 CHUNK = 1 << 17
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -270,8 +269,8 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
 @dataclass
 class Model:
-    """``common``: counts of the most frequent words beyond the vocabulary; ``rare``: ``word, n`` of the others that were
-    counted more than once; ``totals``: counts of each bucket."""
+    """``common``: counts of the most frequent words beyond the vocabulary, if above 1; ``rare``: ``word, n`` of the others that were
+    counted more than once, if there are any; ``totals``: counts of each bucket."""
 
     vocabulary: list[str]
     flat: np.ndarray
@@ -283,31 +282,56 @@ class Model:
 def lexicon(docs: DataFrame, text: str = "text") -> Model:
     """The words of all rows, and a network as initialised."""
     counts = stored(count_words(docs, text))
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS + COMMON).toArrow()
+    order = [F.desc("n"), "word"]
+    vocabulary = [r.word for r in counts.orderBy(*order).limit(WORDS).collect()]
+    model = Model(vocabulary, Network.new().flat())
+    known = F.broadcast(docs.sparkSession.createDataFrame([(w,) for w in vocabulary], "word string"))  # at most WORDS rows
+    others = counts.join(known, "word", "left_anti")
+    top = others.where(F.col("n") > 1).where(F.length("word") <= LONGEST).orderBy(*order).limit(COMMON).toArrow()
     listed, n = top.column("word").to_pylist(), top.column("n").to_pylist()
-    model = Model(listed[:WORDS], Network.new().flat(), dict(zip(listed[WORDS:], n[WORDS:], strict=True)))
-    for word, k in model.common.items():
-        model.totals[bucket(word) - WORDS] += k
-    if len(model.common) == COMMON:  # words as frequent as the last one listed are told apart by name
-        last, least = listed[-1], n[-1]
-        others = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > last)))
-        model.rare = others.where("n > 1")
-        for row in others.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).collect():
-            model.totals[row.bucket] += row.n
+    model.common = dict(zip(listed, n, strict=True))
+    long = F.length("word") > LONGEST
+    if len(listed) == COMMON and COMMON:  # words as frequent as the last one listed are told apart by name
+        rest = others.where(long | (F.col("n") < n[-1]) | ((F.col("n") == n[-1]) & (F.col("word") > listed[-1])))
+    else:
+        rest = others.where(long) if COMMON else others
+    rest = rest.where("n > 1")
+    model.rare = None if rest.isEmpty() else rest
+    for row in others.groupBy((F.crc32(F.col("word").cast("binary")) % BUCKETS).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        model.totals[row.bucket] += row.n
     return model
 
 
+class _Held:
+    """What a worker makes of the broadcast words, once: places by word, and by place the network's id and the log count."""
+
+    def __init__(self, value: tuple[list[str], dict[str, int]]) -> None:
+        vocabulary, common = value
+        self.value = value
+        self.place = dict(zip([*vocabulary, *common], range(len(vocabulary) + len(common)), strict=True))
+        # The last entries are those of words that are not listed, whose place is -1.
+        self.net_id = np.array([*range(len(vocabulary)), *map(bucket, common), 0], np.uint16)
+        self.log = np.concatenate([np.zeros(len(vocabulary)), np.log(np.fromiter(common.values(), np.float64, len(common))), [0.0]])
+
+
+_held: list[_Held] = []
+
+
+def _holding(value: tuple[list[str], dict[str, int]]) -> _Held:
+    if not _held or _held[0].value is not value:
+        _held[:] = [_Held(value)]
+    return _held[0]
+
+
 def encoded(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``row, key, ids, more, words, times`` (a table): 16-bit ids of each row's tokens, the summed log counts of its
     common words, and how often it holds each of the other words beyond the vocabulary."""
-    vocabulary, common = model.vocabulary, model.common
+    # Bounded by WORDS and COMMON words of at most LONGEST characters; workers keep what they make of it.
+    words_ = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed = [*vocabulary, *common]
-        place = dict(zip(listed, range(len(listed)), strict=True))
-        # By place; the last entry is that of words that are not listed, whose place is -1.
-        net_id = np.array([*range(len(vocabulary)), *map(bucket, common), 0], np.uint16)
-        log = np.array([0.0] * len(vocabulary) + [math.log(n) for n in common.values()] + [0.0])
+        held = _holding(words_.value)
+        place, net_id, log = held.place, held.net_id, held.log
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             blobs, more, beyond = [], [], []
