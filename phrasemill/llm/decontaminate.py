@@ -42,6 +42,9 @@ UNIT = (
     r"miles?|metres?|meters?|litres?|liters?|grams?|dollars?|euros?|percent)([^\p{L}0-9]|$)"
 )
 NUMBER = r"([0-9]+(?:[.,][0-9]+)*)"
+# Java matches a repeated group by recursion, which a long run of names or figures overflows, unless it is possessive. Nothing
+# follows the groups, so that they match the same.
+LONG_NAME, LONG_NUMBER = (p.removesuffix("*)") + "*+)" for p in (NAME, NUMBER))
 SLOTS = {"name": "\x01", "unit": "\x02", "number": "\x03"}
 TOKEN = "[\x01-\x03][^\x05]*\x05|\x04?[\\p{L}\\p{M}]+"
 
@@ -51,9 +54,9 @@ def _canonical(df: DataFrame, text: str = "text") -> DataFrame:
     # A text's own control characters must not pass for marks.
     t = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\x01-\x05]", " ")
     t = F.regexp_replace(F.concat(F.lit("\n"), t), OPENING, f"$1{OPEN}$2")
-    t = F.regexp_replace(t, NAME, f"$1 \x01$2{END} ")
+    t = F.regexp_replace(t, LONG_NAME, f"$1 \x01$2{END} ")
     t = F.regexp_replace(t, UNIT, f"$1 \x02$2{END} $3")
-    t = F.regexp_replace(t, NUMBER, f" \x03$1{END} ")
+    t = F.regexp_replace(t, LONG_NUMBER, f" \x03$1{END} ")
     return df.withColumn("tokens", F.regexp_extract_all(F.lower(t), F.lit(TOKEN), F.lit(0)))
 
 

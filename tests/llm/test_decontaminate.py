@@ -58,3 +58,12 @@ def test_long_copy_with_one_changed_number(spark):
     passage = "the old mill by the river ground 12 sacks of corn before the miller closed the heavy wooden doors for the long cold winter and counted all 12 sacks again"
     near = passage.replace("12", "30", 1)
     assert _run(spark, [(1, f"x {near} y"), (2, passage)], [(7, passage)]) == {(1, 7): False, (2, 7): True}
+
+
+def test_long_runs_of_names_and_numbers(spark):
+    """Repeated groups of the patterns must not recurse: such a text ended the executor, and with it the job."""
+    docs = [(1, "see " + "Ann Bob " * 10_000 + ITEM), (2, "1" + ".1" * 50_000 + " " + ITEM), (3, "the " + "Ann-Lee O'Hara " * 3 + "and 1,000.5, 2.")]
+    assert _run(spark, docs, [(7, ITEM)]) == {(1, 7): True, (2, 7): True}
+    d = spark.createDataFrame(docs[2:], "doc_id long, text string")
+    tokens = dc._canonical(d).first().tokens
+    assert tokens == ["the", "\x01ann-lee o'hara ann-lee o'hara ann-lee o'hara\x05", "and", "\x031,000.5\x05", "\x032\x05"]
