@@ -13,9 +13,9 @@ Pictures are grey; PNM (P5, P6) and non-interlaced 8-bit PNG are decoded in nump
 
 Equal pictures collapse to one first. Pictures that share a key form a bucket. Every picture is verified
 against the smallest one that it meets; then, in buckets that are not all joined by that, pictures of other components
-against the bucket's smallest; then, in open buckets of at most ``SMALL`` pictures, all pairs of different components. A larger open bucket sends its pictures through tables of other, independent parts. Buckets still open
-after ``LEVELS`` rounds of tables hold pictures that share a corner without being copies; there the next pictures of each
-bucket meet all others in turn, until it is joined or all have met.
+against the bucket's smallest; then, in open buckets of at most ``SMALL`` pictures, all pairs of different components. A larger open bucket sends its pictures through tables of other, independent parts. Buckets of any of the
+``LEVELS`` rounds of tables that are still open after the last one hold pictures that share a corner without being copies; there
+the next pictures of each bucket, twice as many each time, meet all others of other components, until it is joined or all have met.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from phrasemill.llm.common import arrow_rows, buckets_of, components, discard, o
 #: Scales of a picture: at most so many, each smaller than the one before by the factor ``STEP``.
 SCALES, STEP, PATCH = 6, math.sqrt(2), 11
 BITS, PARTS, CELLS = 256, 4, 3
-#: Independent rounds of tables, the most pictures of a bucket all of whose pairs are verified, and those that meet all others at once.
+#: Independent rounds of tables, the most pictures of a bucket whose pairs are verified at once, and the first ones that meet all others of a larger one.
 LEVELS, SMALL, PIVOTS = 3, 8, 8
 #: Bits by which two descriptors of one corner may differ once two pictures are compared.
 REACH = 32
@@ -313,7 +313,7 @@ def _verified(pairs: DataFrame, described: DataFrame, least: int) -> DataFrame:
 
 def links(described: DataFrame, least: int = MIN_VOTES) -> DataFrame:
     """Verified links ``(a, b)`` that join all pictures of ``described(node, points, bits)`` that meet and are copies."""
-    found = tried = None
+    found = tried = rest = None
     nodes = described
 
     def verify(pairs: DataFrame) -> None:
@@ -335,22 +335,25 @@ def links(described: DataFrame, least: int = MIN_VOTES) -> DataFrame:
         discard(described.sparkSession, open_)
         open_ = stored(still_open(buckets, 2, found))
         verify(open_pairs(open_, SMALL))
-        large = open_.where(F.col("n") > SMALL)
-        more = not large.isEmpty()
-        live = stored(still_open(large.drop("root"), SMALL, found).select("bucket", "node")) if more else None
+        large = open_.where(F.col("n") > SMALL).drop("root")
+        live = None if large.isEmpty() else stored(still_open(large, SMALL, found).drop("root"))
         discard(described.sparkSession, buckets, open_)
-        if not more or live.isEmpty():
-            return found
+        if live is None or live.isEmpty():
+            break
+        # Later tables join most of them; pairs that meet only here are compared at the end.
+        rest = live.unionByName(rest) if rest else live
         nodes = described.join(sized(stored(live.select("node").distinct())), "node", "left_semi")
+    if not rest:
+        return found
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-    live = stored(live.join(components(found), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), place.alias("place")))
-    done = 0
+    live = stored(still_open(rest.distinct(), SMALL, found).select("bucket", "node", "root", place.alias("place")))
+    done, some = 0, PIVOTS
     while not live.isEmpty():
-        pivots = live.where(F.col("place").between(done + 1, done + PIVOTS))
+        pivots = live.where(F.col("place").between(done + 1, done + some))
         pivots = pivots.select("bucket", F.col("node").alias("a"), F.col("place").alias("of"), F.col("root").alias("with"))
         pairs = live.join(pivots, "bucket").where("place > of and root <> with").select("a", F.col("node").alias("b")).distinct()
         verify(pairs)
-        done += PIVOTS
+        done, some = done + some, 2 * some
         root = stored(components(found))
         live = live.drop("root").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
         ends = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("place").alias("n"))

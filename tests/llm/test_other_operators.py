@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from phrasemill.llm import chat, licenses, media, pseudo_likelihood, token_counts
 
@@ -328,6 +329,17 @@ def test_media_recall_against_all_pairs(spark, monkeypatch):
     assert all(root(i) == root(c) for i, c in got.items())
 
 
+def test_media_pairs_that_meet_in_one_large_bucket_only(spark, monkeypatch):
+    """Tables of later rounds need not bring together what met by luck in a bucket that was too large to compare at once."""
+    monkeypatch.setattr(media, "SMALL", 2)
+    monkeypatch.setattr(media, "_keyed", lambda described, level: described.select("node", (F.col("node") if level else F.lit(1).cast("long")).alias("sig")))
+    rng = np.random.default_rng(5)
+    first, copied, last = (media.picture_of(rng.standard_normal(64)) for _ in range(3))
+    rows = [(i, media.png(p)) for i, p in enumerate([first, copied, copied + rng.normal(0, 1, copied.shape), last])]
+    got = {r.id: r.class_id for r in media.copies(spark.createDataFrame(rows, "id long, data binary")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3}
+
+
 def test_picture_formats():
     grey = np.arange(48.0).reshape(6, 8)
     assert np.array_equal(media.decode(media.png(grey)), grey)
