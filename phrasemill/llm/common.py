@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only after a count has shown at most so many rows, and bytes of strings in them.
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 64 << 20
 
+#: A narrow table of at most so many rows is worked on in one task.
+FEW_ROWS = 200_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -78,6 +81,11 @@ def sized(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if rows <= limit and content <= BROADCAST_BYTES else small
 
 
+def few(narrow: DataFrame) -> DataFrame:
+    """``narrow`` in one partition if a count shows at most ``FEW_ROWS`` rows, so that grouping and joining them takes no exchange; else as it is."""
+    return narrow.coalesce(1) if narrow.count() <= FEW_ROWS else narrow
+
+
 def buckets_of(rows: DataFrame) -> DataFrame:
     """``node, low, n, bucket`` of ``rows(node, sig)``: nodes that share a signature, the smallest of them and their number.
 
@@ -146,3 +154,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return nodes.join(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select(
         "node", F.coalesce("root", "node").alias("root")
     )
+
+
+def united(root: DataFrame, edges: DataFrame) -> DataFrame:
+    """``root(node, root)`` of components, roots being their smallest nodes and left out, after ``edges(a, b)`` have joined more of them.
+
+    Only the components that an edge joins are gone through: what they are called, not their nodes, and nothing if there are none.
+    """
+    edges, known = few(edges), sized(root)
+    for end in "ab":
+        edges = edges.join(known.withColumnsRenamed({"node": end, "root": "to"}), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    between = stored(edges.where("a <> b").distinct())
+    if between.isEmpty():
+        return root
+    joined = stored(components(few(between)).where("root <> node"))
+    moved = root.join(sized(joined.select(F.col("node").alias("root"), F.col("root").alias("to"))), "root", "left")
+    new = stored(few(moved.select("node", F.coalesce("to", "root").alias("root")).unionByName(joined)))
+    discard(root.sparkSession, between, joined)
+    return new

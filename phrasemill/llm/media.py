@@ -16,6 +16,9 @@ against the smallest one that it meets; then, in buckets that are not all joined
 against the bucket's smallest; then, in open buckets of at most ``SMALL`` pictures, all pairs of different components. A larger open bucket sends its pictures through tables of other, independent parts. Buckets of any of the
 ``LEVELS`` rounds of tables that are still open after the last one hold pictures that share a corner without being copies; there
 the next pictures of each bucket, twice as many each time, meet all others of other components, until it is joined or all have met.
+
+What is known of classes is carried on from verification to verification; buckets and pairs that are few are worked on in one task
+(``few``), since dealing some hundred rows to hundreds of partitions dozens of times takes longer than all verification.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import arrow_rows, buckets_of, components, discard, open_pairs, sized, still_open, stored
+from phrasemill.llm.common import arrow_rows, buckets_of, discard, few, open_pairs, sized, stored, united
 
 #: Scales of a picture: at most so many, each smaller than the one before by the factor ``STEP``.
 SCALES, STEP, PATCH = 6, math.sqrt(2), 11
@@ -48,6 +51,8 @@ MIN_VOTES = 6
 PLACE, LEAST_PLACE, TURN = 0.02, 2.5, 0.6
 #: Pictures, or pairs of them, that are handed to Python at once.
 AT_ONCE = 500
+#: The most pictures that are broadcast for a verification of few pairs.
+CARRIED = 1000
 #: Other matches that each match is paired with to fix a change; matches compared at once.
 PARTNERS, BLOCK = 8, 1 << 22
 _PAIRS = np.clip(np.random.Generator(np.random.PCG64(5)).normal(0, PATCH / 2.5, (BITS, 4)), -PATCH + 1, PATCH - 1)
@@ -305,60 +310,79 @@ def _verified(pairs: DataFrame, described: DataFrame, least: int) -> DataFrame:
             ok = [consensus(x, y) >= least for x, y in zip(*side, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
+    # The pictures of few pairs go to every task, and the pairs are dealt anew; else the pictures are joined as they are.
+    nodes = few(pairs).select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if nodes.limit(CARRIED + 1).count() <= CARRIED:
+        described = sized(described.join(F.broadcast(nodes), "node", "left_semi"), CARRIED)
+        pairs = pairs.repartition(2 * pairs.sparkSession.sparkContext.defaultParallelism)
     sides = [described.select(F.col("node").alias(s), F.col("points").alias(f"p{s}"), F.col("bits").alias(f"d{s}")) for s in "ab"]
     both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "pa", "da", "pb", "db")
     with arrow_rows(pairs.sparkSession, AT_ONCE):
         return stored(both.mapInArrow(run, "a long, b long, ok boolean"))
 
 
-def links(described: DataFrame, least: int = MIN_VOTES) -> DataFrame:
-    """Verified links ``(a, b)`` that join all pictures of ``described(node, points, bits)`` that meet and are copies."""
-    found = tried = rest = None
-    nodes = described
+def _open(rows: DataFrame, root: DataFrame) -> DataFrame:
+    """The rows ``(node, bucket, ...)`` of buckets that ``root(node, root)`` doesn't join to one class.
+
+    With each node's ``root``, the bucket's number of nodes ``n``, its smallest node ``low`` and that one's ``low_root``.
+    """
+    rooted = rows.join(sized(root), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.min_by("root", "node").alias("low_root"), F.min("root").alias("first"), F.max("root").alias("last"))
+    return rooted.join(ends.where("first <> last").drop("first", "last"), "bucket")
+
+
+def classes(described: DataFrame, least: int = MIN_VOTES) -> DataFrame:
+    """``node, root`` of the pictures of ``described(node, points, bits)`` whose class has a smaller picture, root being the smallest.
+
+    Classes are what the verified links join; every change of them goes on from the classes before, and open buckets from those before.
+    """
+    spark, tried, rest, kept, nodes = described.sparkSession, None, None, None, described
+    root = spark.createDataFrame([], "node long, root long")
 
     def verify(pairs: DataFrame) -> None:
-        nonlocal found, tried
-        new = stored(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs)
-        checked = _verified(new, described, least)
-        discard(described.sparkSession, new)
-        links_ = checked.where("ok").select("a", "b")
-        found, tried = (links_.unionByName(found), checked.select("a", "b").unionByName(tried)) if tried else (links_, checked.select("a", "b"))
+        nonlocal root, tried
+        new = stored(pairs.join(sized(tried), ["a", "b"], "left_anti") if tried else pairs)
+        if not new.isEmpty():
+            checked = _verified(new, described, least)
+            root = united(root, checked.where("ok").select("a", "b"))
+            tried = checked.select("a", "b").unionByName(tried) if tried else checked.select("a", "b")
+        discard(spark, new)
+
+    def reopened(rows: DataFrame, *others: str) -> DataFrame:
+        nonlocal kept
+        before, kept = kept, stored(_open(rows.select("node", "bucket", *others), root))
+        if before:
+            discard(spark, before)
+        return few(kept)
 
     for level in range(LEVELS):
-        buckets = stored(buckets_of(_keyed(nodes, level)))
+        kept = stored(buckets_of(_keyed(nodes, level)))
+        live = few(kept)
         # One pair a picture first: what that joins need not be verified again in every bucket.
-        verify(buckets.groupBy("node").agg(F.min("low").alias("a")).where("a <> node").select("a", F.col("node").alias("b")))
-        open_ = stored(still_open(buckets, 1, found))
-        low_root = F.min_by("root", "node").over(Window.partitionBy("bucket"))
-        stars = open_.withColumn("low_root", low_root).where("root <> low_root")
-        verify(stars.select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
-        discard(described.sparkSession, open_)
-        open_ = stored(still_open(buckets, 2, found))
-        verify(open_pairs(open_, SMALL))
-        large = open_.where(F.col("n") > SMALL).drop("root")
-        live = None if large.isEmpty() else stored(still_open(large, SMALL, found).drop("root"))
-        discard(described.sparkSession, buckets, open_)
-        if live is None or live.isEmpty():
+        verify(live.groupBy("node").agg(F.min("low").alias("a")).where("a <> node").select("a", F.col("node").alias("b")))
+        live = reopened(live)
+        verify(live.where("root <> low_root").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct())
+        live = reopened(live.where("n > 2"))
+        verify(open_pairs(live, SMALL))
+        live = reopened(live.where(F.col("n") > SMALL))
+        if live.isEmpty():
             break
         # Later tables join most of them; pairs that meet only here are compared at the end.
-        rest = live.unionByName(rest) if rest else live
+        rest = live.select("node", "bucket").unionByName(rest) if rest else live.select("node", "bucket")
         nodes = described.join(sized(stored(live.select("node").distinct())), "node", "left_semi")
     if not rest:
-        return found
+        return root
     place = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-    live = stored(still_open(rest.distinct(), SMALL, found).select("bucket", "node", "root", place.alias("place")))
+    kept = None
+    live = reopened(few(rest).distinct().withColumn("place", place), "place")
     done, some = 0, PIVOTS
     while not live.isEmpty():
         pivots = live.where(F.col("place").between(done + 1, done + some))
         pivots = pivots.select("bucket", F.col("node").alias("a"), F.col("place").alias("of"), F.col("root").alias("with"))
-        pairs = live.join(pivots, "bucket").where("place > of and root <> with").select("a", F.col("node").alias("b")).distinct()
-        verify(pairs)
+        verify(live.join(pivots, "bucket").where("place > of and root <> with").select("a", F.col("node").alias("b")).distinct())
         done, some = done + some, 2 * some
-        root = stored(components(found))
-        live = live.drop("root").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        ends = live.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.max("place").alias("n"))
-        live = stored(live.join(ends.where((F.col("x") != F.col("y")) & (F.col("n") > done + 1)), "bucket", "left_semi"))
-    return found
+        live = reopened(live.where(F.col("n") > done + 1), "place")
+    return root
 
 
 def copies(pictures: DataFrame, key: str = "id", data: str = "data", least: int = MIN_VOTES) -> DataFrame:
@@ -374,7 +398,7 @@ def copies(pictures: DataFrame, key: str = "id", data: str = "data", least: int
         described = stored(descriptors(distinct))
     same = described.select("digest", "rows", "node")
     discard(pictures.sparkSession)
-    known = same.join(components(links(described, least)), "node", "left").select("digest", "rows", F.coalesce("root", "node").alias("root"))
+    known = same.join(classes(described, least), "node", "left").select("digest", "rows", F.coalesce("root", "node").alias("root"))
     known = known.withColumn("class_size", F.sum("rows").over(Window.partitionBy("root"))).select("digest", "root", "class_size")
     return rows.join(known, "digest", "left").select(
         F.col("id").alias(key), F.coalesce("root", "id").alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from phrasemill.llm import chat, licenses, media, pseudo_likelihood, token_counts
+from phrasemill.llm import chat, common, licenses, media, pseudo_likelihood, token_counts
 
 
 def _greedy(word, initial, continuing):
@@ -340,6 +340,59 @@ def test_media_pairs_that_meet_in_one_large_bucket_only(spark, monkeypatch):
     assert got == {0: 0, 1: 1, 2: 1, 3: 3}
 
 
+def _small_album():
+    rng = np.random.default_rng(12)
+    base = [media.picture_of(rng.standard_normal(64)) for _ in range(4)]
+    pictures = [*base, *(p + rng.normal(0, 2, p.shape) for p in (base[0], base[0], base[2]))]
+    return [(i, media.png(p)) for i, p in enumerate(pictures)], {0: 0, 1: 1, 2: 2, 3: 3, 4: 0, 5: 0, 6: 2}
+
+
+def test_media_few_rows_take_few_tasks(spark):
+    """Classes, open buckets and pairs of a small table are not dealt to all shuffle partitions again and again."""
+    rows, want = _small_album()
+    pictures = spark.createDataFrame(rows, "id long, data binary")
+    launched = lambda: spark.sparkContext._jsc.sc().taskScheduler().nextTaskId()
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        first = launched()
+        got = {r.id: r.class_id for r in media.copies(pictures).collect()}
+        tasks = launched() - first
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert got == want
+    assert tasks < 1000, tasks
+
+
+def test_media_many_rows(spark, monkeypatch):
+    """The same classes where nothing is small enough for one task or a broadcast."""
+    rows, want = _small_album()
+    monkeypatch.setattr(common, "FEW_ROWS", -1)
+    monkeypatch.setattr(media, "CARRIED", 0)
+    monkeypatch.setattr(media, "SMALL", 2)
+    got = {r.id: r.class_id for r in media.copies(spark.createDataFrame(rows, "id long, data binary")).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("few", [-1, 1000])
+def test_united_components(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    rng = random.Random(3)
+    parent = list(range(60))
+
+    def root(i):
+        return i if parent[i] == i else root(parent[i])
+
+    known = spark.createDataFrame([], "node long, root long")
+    for edges in ([(rng.randrange(60), rng.randrange(60)) for _ in range(20)], [], [(rng.randrange(60), rng.randrange(60)) for _ in range(20)], [(5, 5)]):
+        for i, j in edges:
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+        known = common.united(known, spark.createDataFrame(edges, "a long, b long"))
+        assert {r.node: r.root for r in known.collect()} == {i: root(i) for i in range(60) if root(i) != i}
+
+
 def test_picture_formats():
     grey = np.arange(48.0).reshape(6, 8)
     assert np.array_equal(media.decode(media.png(grey)), grey)
