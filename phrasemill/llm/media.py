@@ -326,7 +326,9 @@ def _open(rows: DataFrame, root: DataFrame) -> DataFrame:
 
     With each node's ``root``, the bucket's number of nodes ``n``, its smallest node ``low`` and that one's ``low_root``.
     """
-    rooted = rows.join(sized(root), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # A node's root reaches its rows by a window over the node, as in ``still_open``: a join would make all rows once more.
+    both = few(rows.unionByName(root, allowMissingColumns=True))
+    rooted = both.withColumn("root", F.coalesce(F.max("root").over(Window.partitionBy("node")), "node")).where("bucket is not null")
     ends = rooted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.min_by("root", "node").alias("low_root"), F.min("root").alias("first"), F.max("root").alias("last"))
     return rooted.join(ends.where("first <> last").drop("first", "last"), "bucket")
 
