@@ -7,6 +7,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +54,8 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables of ``stored`` that nothing reads any more, and lets go of the shuffles of ended jobs.
 
     Spark deletes a shuffle's files once the driver has collected what refers to it, which a driver with memory
-    to spare does seldom; a long operator asks for it here.
+    to spare does seldom; a long operator asks for it here. What the driver's JVM has freed outside its heap (compilers,
+    codecs) goes back to the system, too: malloc keeps it for every thread as long as the driver lives.
     """
     jvm = spark._jvm
     for table in tables:
@@ -59,6 +63,28 @@ def discard(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
     jvm.System.gc()
+    trim(spark)
+
+
+def trim(spark: SparkSession) -> bool:
+    """Makes the driver's JVM return freed native memory to the system; false where JVM or system can't."""
+    jvm = spark._jvm
+
+    def array(kind, *values):
+        out = spark.sparkContext._gateway.new_array(kind, len(values))
+        for i, value in enumerate(values):
+            out[i] = value
+        return out
+
+    try:
+        # By reflection, since the server's own class is closed to callers.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        none = array(jvm.Object), array(jvm.String)
+        invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), array(jvm.Object, command, "systemTrimNativeHeap", *none))
+    except Py4JError:
+        return False
+    return True
 
 
 @contextmanager
@@ -115,10 +141,37 @@ def still_open(buckets: DataFrame, small: int, links: DataFrame) -> DataFrame:
     return rooted.join(ends, "bucket", "left_semi")
 
 
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the edges from ``a`` to ``b``, and the smallest node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(root[x], root[y]), root.copy()
+        for end in (x, y):
+            np.minimum.at(new, root[end], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return nodes, nodes[root]
+        root = new
+
+
+def _components_of_few(edges: DataFrame) -> DataFrame:
+    """As ``components``, of at most ``FEW_ROWS`` edges: in one task, without a round of joins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches if batch.num_rows]
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in roots(*(np.concatenate(x) for x in zip(*held, strict=True)))], ["node", "root"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(node, root)``, root being the smallest node.
 
-    Alternates large-star and small-star steps until no edge changes; every step is a grouped
+    Few edges between longs are gone through in one task: every round is a plan that the driver makes, compiles and
+    remembers. Others: alternates large-star and small-star steps until no edge changes; every step is a grouped
     minimum (partial aggregation absorbs hubs) and a join back on the node. Only nodes that have
     an edge come back. Null ends and self-loops are ignored.
     """
@@ -127,6 +180,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .distinct()
     )
+    if edges.schema["a"].dataType.simpleString() == "bigint" and edges.count() <= FEW_ROWS:
+        return _components_of_few(edges)
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     seen = None
     for _ in range(max_rounds):

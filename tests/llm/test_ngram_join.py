@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from phrasemill.llm import common
 from phrasemill.llm import ngram_join as nj
 
 
@@ -139,3 +140,24 @@ def test_sketches_bound_the_difference():
         x, y = nj.sketches(np.concatenate([a, b]), np.array([len(a), len(b)]))
         assert nj.least_difference(x, y) == nj.least_difference(y, x) <= len(np.setxor1d(a, b))
         assert nj.least_difference(x, x) == 0
+
+
+def test_components_of_few_edges_take_few_jobs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    pairs = [tuple(map(int, x)) for x in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(10**15, 5), (None, 3), (7, 7), (-5, 390)]
+    root = {x: x for a, b in pairs if a is not None and a != b for x in (a, b)}
+    for _ in pairs:
+        for a, b in pairs:
+            if a in root and b in root:
+                root[a] = root[b] = min(root[a], root[b])
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    jobs = {}
+    for few in (common.FEW_ROWS, 0):
+        monkeypatch.setattr(common, "FEW_ROWS", few)
+        spark.sparkContext.setJobGroup(f"components {few}", "")
+        rows = common.components(edges).collect()
+        assert len(rows) == len(root) and dict(map(tuple, rows)) == root
+        jobs[few] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {few}"))
+    spark.sparkContext.setJobGroup("tests", "")
+    assert jobs.pop(0) > 20 and max(jobs.values()) <= 8
+    assert common.trim(spark) in (True, False)
