@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phrasemill.llm.common import discard, sized, stored
+from phrasemill.llm.common import arrow_rows, discard, sized, stored
 
 WINDOW = 2
 BANDS, WIDTH = 32, 64
@@ -53,6 +53,8 @@ FOLD = 64
 MEMORY = 500_000
 #: Words beyond the vocabulary whose counts every worker holds, and their longest: a bound of some tens of MB.
 COMMON, LONGEST = 1_000_000, 40
+#: Texts that are handed to Python at once.
+AT_ONCE = 1000
 #: Tokens that a task trains on or scores at once.
 CHUNK = 1 << 17
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -251,6 +253,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter: Counter = Counter()
+        _release()  # a worker outlives the query before
 
         def emit() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array(list(counter), pa.string()), pa.array(list(counter.values()), pa.int64())], ["word", "n"])
@@ -281,7 +284,8 @@ class Model:
 
 def lexicon(docs: DataFrame, text: str = "text") -> Model:
     """The words of all rows, and a network as initialised."""
-    counts = stored(count_words(docs, text))
+    with arrow_rows(docs.sparkSession, AT_ONCE):
+        counts = stored(count_words(docs, text))
     order = [F.desc("n"), "word"]
     vocabulary = [r.word for r in counts.orderBy(*order).limit(WORDS).collect()]
     model = Model(vocabulary, Network.new().flat())
@@ -302,32 +306,46 @@ def lexicon(docs: DataFrame, text: str = "text") -> Model:
     return model
 
 
+def listed(vocabulary: list[str], common: dict[str, int]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The words, a line each, and each one's code; by code the network's id and the log count. The last code is that of other words."""
+    ids = np.array([*range(len(vocabulary)), *map(bucket, common)], np.int64)
+    n = np.concatenate([np.ones(len(vocabulary), np.int64), np.fromiter(common.values(), np.int64, len(common))])
+    # Words of the same id and count share a code: far fewer codes than words.
+    both, code = np.unique(n * VOCABULARY + ids, return_inverse=True)
+    return "\n".join([*vocabulary, *common]), code.astype(np.int32), np.append(both % VOCABULARY, 0).astype(np.uint16), np.append(np.log(both // VOCABULARY), 0.0)
+
+
 class _Held:
-    """What a worker makes of the broadcast words, once: places by word, and by place the network's id and the log count."""
+    """What a worker makes of the broadcast words, once: codes by word, which are one object a code, and by code the network's id and the log count."""
 
-    def __init__(self, value: tuple[list[str], dict[str, int]]) -> None:
-        vocabulary, common = value
+    def __init__(self, value: tuple[str, np.ndarray, np.ndarray, np.ndarray]) -> None:
         self.value = value
-        self.place = dict(zip([*vocabulary, *common], range(len(vocabulary) + len(common)), strict=True))
-        # The last entries are those of words that are not listed, whose place is -1.
-        self.net_id = np.array([*range(len(vocabulary)), *map(bucket, common), 0], np.uint16)
-        self.log = np.concatenate([np.zeros(len(vocabulary)), np.log(np.fromiter(common.values(), np.float64, len(common))), [0.0]])
+        lines, code, self.net_id, self.log = value
+        codes = list(range(len(self.log)))
+        parts = (code[i : i + CHUNK].tolist() for i in range(0, len(code), CHUNK))
+        self.place = dict(zip(lines.split("\n") if lines else [], map(codes.__getitem__, itertools.chain.from_iterable(parts)), strict=True))
 
 
 _held: list[_Held] = []
 
 
-def _holding(value: tuple[list[str], dict[str, int]]) -> _Held:
+def _holding(value: tuple[str, np.ndarray, np.ndarray, np.ndarray]) -> _Held:
     if not _held or _held[0].value is not value:
-        _held[:] = [_Held(value)]
+        _release()  # before the next one is made
+        _held.append(_Held(value))
     return _held[0]
 
 
+def _release() -> None:
+    """A function of the module: the list that a pickled function names would be another one."""
+    _held.clear()
+
+
 def encoded(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``row, key, ids, more, words, times`` (a table): 16-bit ids of each row's tokens, the summed log counts of its
     common words, and how often it holds each of the other words beyond the vocabulary."""
-    # Bounded by WORDS and COMMON words of at most LONGEST characters; workers keep what they make of it.
-    words_ = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.common))
+    # Bounded by WORDS and COMMON words of at most LONGEST characters; workers keep what they make of it until another step begins.
+    words_ = docs.sparkSession.sparkContext.broadcast(listed(model.vocabulary, model.common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _holding(words_.value)
@@ -351,7 +369,8 @@ def encoded(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([rows, batch.column(key), pa.array(blobs, pa.binary()), pa.array(more, pa.float64()), *lists], ["row", key, "ids", "more", "words", "times"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return stored(docs.select(key, text).mapInArrow(run, f"row long, `{key}` {kind}, ids binary, more double, words array<string>, times array<long>"))
+    with arrow_rows(docs.sparkSession, AT_ONCE):
+        return stored(docs.select(key, text).mapInArrow(run, f"row long, `{key}` {kind}, ids binary, more double, words array<string>, times array<long>"))
 
 
 def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
@@ -360,6 +379,7 @@ def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
         start = model.flat
 
         def run(batches: Iterator[pa.RecordBatch], start=start, round_=round_) -> Iterator[pa.RecordBatch]:
+            _release()
             net, seen, total, taken = Network.of(start), {}, 0, 0
             held: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -410,6 +430,7 @@ def score(rows: DataFrame, model: Model, key: str = "doc_id") -> DataFrame:
     below = np.concatenate([np.zeros(WORDS), np.log(model.totals + 1), [0.0]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _release()
         scorer = Scorer(Network.of(start))
         for batch in batches:
             sums, count = [np.empty(0)], [np.empty(0, np.int64)]

@@ -1,6 +1,9 @@
+import itertools
 import pathlib
+import pickle
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -399,3 +402,20 @@ def test_picture_formats():
     assert np.array_equal(media.decode(b"P5\n# note\n8 6\n255\n" + grey.astype(np.uint8).tobytes()), grey)
     assert media.decode(b"P6 1 1 255\n\x03\x06\x09")[0, 0] == 6
     assert media.decode(None) is None and media.decode(b"\x89PNG\r\n\x1a\nxx") is None
+
+
+def test_a_worker_holds_listed_words_in_little_memory():
+    pl = pseudo_likelihood
+    vocabulary, common_ = [f"v{i}" for i in range(pl.WORDS)], {f"word{i}": 2 + 10**6 // (i + 1) for i in range(100_000)}
+    value = pickle.loads(pickle.dumps(pl.listed(vocabulary, common_)))
+    tracemalloc.start()
+    held = pl._holding(value)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 110 * 100_000  # its words and one table; a number a word, counts by word, and both again as broadcast take half as much again
+    for word, n in itertools.islice(common_.items(), 0, None, 997):
+        assert held.net_id[held.place[word]] == pl.bucket(word) and held.log[held.place[word]] == np.log(n)
+    assert [int(held.net_id[held.place[w]]) for w in vocabulary] == list(range(pl.WORDS)) and held.log[held.place["v7"]] == 0
+    assert held.net_id[-1] == 0 and held.log[-1] == 0
+    pl._release()
+    assert not pl._held and pl._Held(pl.listed([], {})).place == {}
